@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tillroll.functions import rounded_revenue_sum
 from tillroll.operators.explore import distinct_lines, top_k
 from tillroll.operators.quality import clean_sales
 from tillroll.operators.shape import with_revenue
 from tillroll.operators.windows import top_ranked
+from tillroll.session import freeze
 
 
 def top_lines_by_quantity(df: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` largest distinct single lines with a price.
 
-    Revenue follows from quantity and price, so it is computed after the
-    de-duplication rather than carried through it.
+    Each quantity in use belongs to at least one distinct line, so the answer
+    lies within the ``n`` largest quantities. Those are found first, in a pass
+    over one column with a small shuffle, and only the lines that reach them
+    are de-duplicated, instead of shuffling the whole table for ``n`` rows.
     """
-    columns = ["stockcode", "description", "quantity", "unitprice"]
-    lines = distinct_lines(df.filter(F.col("unitprice") != 0), columns)
+    priced = df.filter(F.col("unitprice") != 0)
+    quantities = priced.select("quantity").distinct()
+    smallest = top_k(quantities, [F.col("quantity").desc_nulls_last()], n).agg(
+        # NULL if there are fewer than n quantities to be had: keep every line.
+        F.when(F.count("quantity") == n, F.min("quantity"))
+    )
+    large_enough = F.coalesce(F.col("quantity") >= smallest.scalar(), F.lit(True))
+    lines = distinct_lines(
+        priced.filter(large_enough), ["stockcode", "description", "quantity", "unitprice"]
+    )
     order = [F.col("quantity").desc_nulls_last()]
     order += [F.col(c).asc_nulls_last() for c in ("stockcode", "description", "unitprice")]
     return with_revenue(top_k(lines, order, n))
@@ -44,11 +55,30 @@ def top_products(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def top_lines_by_country(df: DataFrame, n: int = 3) -> DataFrame:
-    """Distinct single lines with the ``n`` top ranks by quantity per country."""
-    lines = distinct_lines(
-        clean_sales(df), ["stockcode", "description", "quantity", "country"]
+    """Distinct single lines with the ``n`` top ranks by quantity per country.
+
+    Those lines hold one of their country's ``n`` largest quantities. A first
+    job finds these pairs and stores them, so that Spark knows their size when
+    it plans the rest: it broadcasts them if they are small, as they are for
+    any real list of countries, and joins by shuffle if not. Only the lines
+    that match are then de-duplicated and ranked.
+    """
+    lines = clean_sales(df).select("stockcode", "description", "quantity", "country")
+    largest_first = Window.partitionBy("country").orderBy(F.col("quantity").desc())
+    largest = freeze(
+        lines.select("country", "quantity")
+        .distinct()
+        .withColumn("_place", F.row_number().over(largest_first))
+        .filter(F.col("_place") <= n)
+        .select(F.col("country").alias("_country"), F.col("quantity").alias("_quantity")),
+        "largest",
+    )
+    matches = F.col("country").eqNullSafe(F.col("_country")) & (
+        F.col("quantity") == F.col("_quantity")
+    )
+    return top_ranked(
+        lines.join(largest, matches, "left_semi").distinct(), "country", "quantity", n
     )
-    return top_ranked(lines, "country", "quantity", n)
 
 
 def top_products_by_country(df: DataFrame, n: int = 3, method: str = "rank") -> DataFrame:
