@@ -129,7 +129,7 @@ def test_top_lines(mini):
         ("A3", 100, 10.0), ("A1", 10, 5.0), ("A1", 10, 19.99)
     ]
     assert float(largest[0].revenue) == 1000.0
-    # Twelve of the thirteen lines have a price or more rows than asked for.
+    # Fewer lines than asked for: two of the thirteen have no price.
     assert ops.top_lines_by_quantity(mini, 50).count() == 11
     france = ops.top_lines_by_country(mini).filter("country = 'France'")
     assert rows(france, "quantity", "ranking") == [(1, 2), (2, 1)]

@@ -1,0 +1,42 @@
+"""Where intermediate tables go."""
+
+from __future__ import annotations
+
+from types import SimpleNamespace
+
+import pytest
+
+from tillroll.session import freeze, scratch_path, shared_folder
+
+
+def fake_session(master: str, configured=None, checkpoint=None):
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: checkpoint)
+    conf = SimpleNamespace(get=lambda key, default=None: configured or default)
+    return SimpleNamespace(sparkContext=context, conf=conf)
+
+
+def test_the_clusters_folder_is_used():
+    assert shared_folder(fake_session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_folder(fake_session("yarn", None, "s3a://b/c")) == "s3a://b/c"
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(fake_session("spark://host:7077"))
+
+
+def test_local_mode_gets_its_own_folder():
+    made = []
+    session = fake_session("local[2]")
+    session.sparkContext.setCheckpointDir = made.append
+    assert made == [] and shared_folder(session) in made
+
+
+def test_paths_are_not_shared(spark):
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_frozen_rows_keep_their_types(spark, mini):
+    frozen = freeze(mini, "types")
+    assert [f.dataType for f in frozen.schema] == [f.dataType for f in mini.schema]
+    assert frozen.exceptAll(mini).count() == 0 and frozen.count() == 13
