@@ -46,7 +46,7 @@ def csv_bytes(rows, header: str = HEADER) -> bytes:
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("tillroll-tests", memory="6g")
+    return local_session("tillroll-tests", cpus=4, memory="6g")
 
 
 @pytest.fixture(scope="session")

@@ -93,7 +93,17 @@ def test_csv_extract_has_header_and_sorted_rows(mini, tmp_path):
     (file,) = (tmp_path / "months").glob("*.csv")
     lines = file.read_text().splitlines()
     assert lines[0] == "month,total_revenue,previous_month,revenue_change"
-    assert [line[:7] for line in lines[1:]] == ["2010-12", "2011-01", "2011-03"]
+    assert [line[:19] for line in lines[1:]] == [
+        "2010-12-01 00:00:00", "2011-01-01 00:00:00", "2011-03-01 00:00:00"
+    ]
+
+
+def test_csv_extract_can_be_sorted_otherwise(mini, tmp_path):
+    results = {"countries": dashboard_extracts(mini)["country_revenue"]}
+    write_extracts(results, str(tmp_path), order={"countries": ["-total_revenue"]})
+    (file,) = (tmp_path / "countries").glob("*.csv")
+    countries = [line.split(",")[0] for line in file.read_text().splitlines()[1:]]
+    assert countries == ["United Kingdom", "France", "EIRE"]
 
 
 def test_large_extract_keeps_its_partitions(mini, tmp_path):

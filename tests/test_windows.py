@@ -14,9 +14,9 @@ from tillroll.operators import exact_ntile, pct_of_total, top_ranked
 
 
 def tiles_of(df, k):
-    order = [F.col("total").desc(), F.col("id").asc()]
-    expected = df.withColumn("tile", F.ntile(k).over(Window.orderBy(*order)).cast("bigint"))
-    return rows(exact_ntile(df, k, order, "tile")), rows(expected)
+    by = Window.orderBy(F.col("total").desc(), F.col("id").asc())
+    expected = df.withColumn("tile", F.ntile(k).over(by).cast("bigint"))
+    return rows(exact_ntile(df, k, ["-total", "id"], "tile")), rows(expected)
 
 
 @pytest.mark.parametrize(
@@ -32,14 +32,13 @@ def test_ntile_equals_window(spark, size, distinct, k):
 
 def test_ntile_sizes(spark):
     df = spark.range(4338).select("id", (F.col("id") % 100).alias("total"))
-    order = [F.col("total").desc(), F.col("id").asc()]
-    sizes = rows(exact_ntile(df, 4, order, "tile").groupBy("tile").count())
+    sizes = rows(exact_ntile(df, 4, ["-total", "id"], "tile").groupBy("tile").count())
     assert sizes == [(1, 1085), (2, 1085), (3, 1084), (4, 1084)]
 
 
 def test_ntile_result_is_stable_when_read_twice(spark):
     df = spark.range(5000).select("id", F.lit(1).alias("total"))
-    tiled = exact_ntile(df, 4, [F.col("total").desc(), F.col("id").asc()], "tile")
+    tiled = exact_ntile(df, 4, ["-total", "id"], "tile")
     assert rows(tiled) == rows(tiled)
 
 

@@ -8,12 +8,14 @@ from tillroll.functions.money import (
     round_half_away,
     rounded_revenue_sum,
 )
+from tillroll.functions.ordering import order_columns
 
 __all__ = [
     "as_invoice_text",
     "divide_rounded",
     "exact_revenue_sum",
     "month_start",
+    "order_columns",
     "parse_invoice_date",
     "revenue",
     "round_half_away",

@@ -20,8 +20,7 @@ def top_customers(df: DataFrame, n: int = 20) -> DataFrame:
         .groupBy("customerid", "country")
         .agg(rounded_revenue_sum(df).alias("total_revenue"))
     )
-    order = [F.col("total_revenue").desc(), F.col("customerid").asc()]
-    return top_k(spend, [*order, F.col("country").asc_nulls_last()], n)
+    return top_k(spend, ["-total_revenue", "customerid", "country"], n)
 
 
 def customer_revenue(df: DataFrame) -> DataFrame:
@@ -39,7 +38,7 @@ def customer_quartiles(df: DataFrame, k: int = 4) -> DataFrame:
     The lower customer id goes first where totals tie. Runs a job at once,
     which writes the sorted customers to the shared folder.
     """
-    order = [F.col("total_revenue").desc(), F.col("customerid").asc()]
+    order = ["-total_revenue", "customerid"]
     return exact_ntile(customer_revenue(df), k, order, "rev_quartiles")
 
 

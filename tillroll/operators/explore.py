@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from tillroll.functions import order_columns
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -22,16 +24,16 @@ def date_range(df: DataFrame) -> DataFrame:
     )
 
 
-def top_k(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows by ``order``.
+def top_k(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows by ``order``, column names with ``-`` for descending.
 
     Each task keeps only its own ``n`` best rows, so one small merge remains.
     End ``order`` with a unique key to make ties come out the same every time.
     """
-    return df.orderBy(*order).limit(n)
+    return df.orderBy(*order_columns(order)).limit(n)
 
 
-def preview(df: DataFrame, n: int = 10, order: Sequence[Column] | None = None) -> DataFrame:
+def preview(df: DataFrame, n: int = 10, order: Sequence[str] | None = None) -> DataFrame:
     """``n`` rows to look at: any, or the first by ``order``."""
     return df.limit(n) if order is None else top_k(df, order, n)
 

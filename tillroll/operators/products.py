@@ -22,7 +22,7 @@ def top_lines_by_quantity(df: DataFrame, n: int = 10) -> DataFrame:
     """
     priced = df.filter(F.col("unitprice") != 0)
     quantities = priced.select("quantity").distinct()
-    smallest = top_k(quantities, [F.col("quantity").desc_nulls_last()], n).agg(
+    smallest = top_k(quantities, ["-quantity"], n).agg(
         # NULL if there are fewer than n quantities to be had: keep every line.
         F.when(F.count("quantity") == n, F.min("quantity"))
     )
@@ -30,8 +30,7 @@ def top_lines_by_quantity(df: DataFrame, n: int = 10) -> DataFrame:
     lines = distinct_lines(
         priced.filter(large_enough), ["stockcode", "description", "quantity", "unitprice"]
     )
-    order = [F.col("quantity").desc_nulls_last()]
-    order += [F.col(c).asc_nulls_last() for c in ("stockcode", "description", "unitprice")]
+    order = ["-quantity", "stockcode", "description", "unitprice"]
     return with_revenue(top_k(lines, order, n))
 
 
@@ -49,9 +48,7 @@ def top_products(df: DataFrame, n: int = 10) -> DataFrame:
             rounded_revenue_sum(df).alias("total_revenue"),
         )
     )
-    order = [F.col("total_quantity_sold").desc()]
-    order += [F.col(c).asc_nulls_last() for c in ("stockcode", "description")]
-    return top_k(totals, order, n)
+    return top_k(totals, ["-total_quantity_sold", "stockcode", "description"], n)
 
 
 def top_lines_by_country(df: DataFrame, n: int = 3) -> DataFrame:

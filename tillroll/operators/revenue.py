@@ -64,7 +64,6 @@ def best_worst_month(monthly: DataFrame) -> DataFrame:
 
     The earlier month wins a tie; a single month appears in both rows.
     """
-    revenue, month = F.col("total_revenue"), F.col("month")
-    best = top_k(monthly, [revenue.desc(), month.asc_nulls_last()], 1)
-    worst = top_k(monthly, [revenue.asc_nulls_last(), month.asc_nulls_last()], 1)
+    best = top_k(monthly, ["-total_revenue", "month"], 1)
+    worst = top_k(monthly, ["total_revenue", "month"], 1)
     return best.unionByName(worst)

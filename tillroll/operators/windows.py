@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tillroll.functions import divide_rounded
+from tillroll.functions import divide_rounded, order_columns
 from tillroll.session import freeze
 
 # monotonically_increasing_id() = partition number * 2^33 + row in partition.
@@ -65,10 +65,11 @@ def top_ranked(
     ).drop("_group", "_value")
 
 
-def exact_ntile(df: DataFrame, k: int, order: Sequence[Column], name: str) -> DataFrame:
+def exact_ntile(df: DataFrame, k: int, order: Sequence[str], name: str) -> DataFrame:
     """``ntile(k)`` over the whole table without moving it into one task.
 
-    ``order`` must be a total order. The rows are range-partitioned and sorted,
+    ``order`` lists column names, ``-`` for descending, and must end in a unique
+    key. The rows are range-partitioned and sorted,
     numbered within their partition, and written once so that the numbers stay
     fixed. The rows ahead of each partition follow from the partition sizes,
     a table of one row per range partition whatever the size of the data, which is
@@ -76,9 +77,10 @@ def exact_ntile(df: DataFrame, k: int, order: Sequence[Column], name: str) -> Da
     ``size, extra = divmod(rows, k)`` the first ``extra`` tiles hold
     ``size + 1`` rows and the others ``size``.
     """
+    by = order_columns(order)
     numbered = freeze(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        df.repartitionByRange(*by)
+        .sortWithinPartitions(*by)
         .withColumn("_id", F.monotonically_increasing_id()),
         "ntile",
     )

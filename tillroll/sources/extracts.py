@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tillroll.functions import order_columns
+
+# A space between date and time is what spreadsheet and dashboard tools expect.
+_CSV_FORMAT = {
+    "header": True,
+    "escape": '"',
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
+}
+
 
 def write_extracts(
     results: Mapping[str, DataFrame],
     out_dir: str,
     fmt: str = "csv",
     single_file: bool = True,
+    order: Mapping[str, Sequence[str]] | None = None,
 ) -> dict[str, str]:
     """Write each result to ``out_dir/<name>`` and return the folders.
 
-    ``single_file`` moves the finished rows to one file, sorted by their first
-    column. It is meant for summaries of a few rows; the work before it keeps
+    ``single_file`` moves the finished rows to one file, sorted by the columns
+    ``order`` names for the result or else by its first column. It is meant for summaries of a few rows; the work before it keeps
     its own parallelism because the move is a shuffle of its own. Pass
     ``False`` for results that grow with the data.
     """
@@ -27,10 +37,11 @@ def write_extracts(
     for name, df in results.items():
         folder = f"{out_dir.rstrip('/')}/{name}"
         if single_file:
-            df = df.repartition(1).sortWithinPartitions(df.columns[0])
+            by = (order or {}).get(name, df.columns[:1])
+            df = df.repartition(1).sortWithinPartitions(*order_columns(by))
         writer = df.write.mode("overwrite")
         if fmt == "csv":
-            writer.csv(folder, header=True, escape='"')
+            writer.options(**_CSV_FORMAT).csv(folder)
         else:
             writer.parquet(folder)
         folders[name] = folder
@@ -42,7 +53,6 @@ def read_extract(
 ) -> DataFrame:
     """Open an extract again, with the schema it was written from."""
     if fmt == "csv":
-        return spark.read.csv(
-            folder, schema=schema, header=True, escape='"', mode="FAILFAST"
-        )
+        reader = spark.read.schema(schema).options(**_CSV_FORMAT, mode="FAILFAST")
+        return reader.csv(folder)
     return spark.read.schema(schema).parquet(folder)
