@@ -67,12 +67,17 @@ def sales(spark, lines, price="decimal(12,4)"):
 
 
 @pytest.mark.parametrize("ansi", ["true", "false"])
-def test_sums_are_exact(spark, ansi):
+@pytest.mark.parametrize("precision, scale", [(12, 4), (12, 2), (15, 3), (18, 2), (9, 0)])
+def test_sums_are_exact(spark, ansi, precision, scale):
     draw = random.Random(5)
-    lines = [(draw.randrange(-90, 90000), Decimal(draw.randrange(10**9)).scaleb(-4))
-             for _ in range(500)]
+    # Large prices and small quantities: 400 * 9 * 10^15 still fits a BIGINT.
+    largest = 10 ** min(precision, 15)
+    lines = [
+        (draw.randrange(-9, 10), Decimal(draw.randrange(largest)).scaleb(-scale))
+        for _ in range(400)
+    ]
     with setting(spark, "spark.sql.ansi.enabled", ansi):
-        df = sales(spark, lines)
+        df = sales(spark, lines, f"decimal({precision},{scale})")
         found = df.agg(exact_revenue_sum(df)).first()[0]
     assert found == sum(q * p for q, p in lines)
 

@@ -7,8 +7,7 @@ tiles and shares are the textbook window functions.
 from __future__ import annotations
 
 # The retail table over the star tables.
-_CTES = {
-    "sales": """
+SALES_SQL = """
         SELECT CASE WHEN l_returnflag = 'R' AND o_orderkey % 10 = 3
                     THEN concat('C', CAST(o_orderkey AS VARCHAR))
                     ELSE CAST(o_orderkey AS VARCHAR) END AS invoiceno,
@@ -27,7 +26,10 @@ _CTES = {
         JOIN orders   ON l_orderkey = o_orderkey
         JOIN customer ON o_custkey = c_custkey
         JOIN nation   ON c_nationkey = n_nationkey
-        JOIN part     ON l_partkey = p_partkey""",
+        JOIN part     ON l_partkey = p_partkey"""
+
+_CTES = {
+    "sales": SALES_SQL,
     "clean": """
         SELECT *, quantity * unitprice AS value FROM sales
         WHERE invoiceno NOT LIKE 'C%' AND quantity > 0 AND unitprice > 0

@@ -21,7 +21,7 @@ SESSION_OPTIONS = {
 # to the advisory size, so the same setting serves small and large inputs.
 CLUSTER_OPTIONS = {
     **SESSION_OPTIONS,
-    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.shuffle.partitions": "40000",
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.files.maxPartitionBytes": "512m",
