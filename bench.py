@@ -17,7 +17,7 @@ import time
 
 from tillroll.plans import ORACLE_SQL, REPORTS, publish, run_report
 from tillroll.plans.oracle import SALES_SQL
-from tillroll.session import local_session, scratch_path
+from tillroll.session import local_session, remove_at_exit, scratch_path
 from tillroll.sources import read_retail, save_retail, star_sales
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
@@ -72,6 +72,7 @@ def main() -> None:
             lambda: save_retail(star_sales(spark, FOLDER), path, mode="overwrite")
         )
     }
+    remove_at_exit(spark, path)
     table = read_retail(spark, path)
     for name, report in REPORTS.items():
         queries[name] = best_time(lambda: discard(publish(report(table))))

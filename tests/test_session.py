@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+import time
 from types import SimpleNamespace
 
 import pytest
+from conftest import ROOT
 
 from tillroll.session import freeze, scratch_path, shared_folder
 
@@ -40,3 +44,26 @@ def test_frozen_rows_keep_their_types(spark, mini):
     frozen = freeze(mini, "types")
     assert [f.dataType for f in frozen.schema] == [f.dataType for f in mini.schema]
     assert frozen.exceptAll(mini).count() == 0 and frozen.count() == 13
+
+
+def test_scratch_files_last_until_the_application_ends(tmp_path):
+    script = f"""
+from pathlib import Path
+from pyspark.sql import SparkSession
+folder = Path({str(tmp_path)!r})
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", str(folder)).getOrCreate())
+from tillroll.session import freeze
+frozen = freeze(spark.range(5), "numbers")
+assert len(list(folder.glob("tillroll/numbers-*/*.parquet"))) > 0
+assert frozen.count() == 5
+print("ran", flush=True)
+"""
+    done = subprocess.run(
+        [sys.executable, "-c", script], cwd=ROOT, capture_output=True, text=True, timeout=300
+    )
+    assert "ran" in done.stdout, done.stderr
+    deadline = time.monotonic() + 30
+    while list(tmp_path.glob("tillroll/numbers-*")) and time.monotonic() < deadline:
+        time.sleep(0.5)
+    assert list(tmp_path.glob("tillroll/numbers-*")) == []

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tillroll import operators as ops
 from tillroll.functions import as_invoice_text, order_columns
 from tillroll.schema import COLUMNS, CSV_ENCODING
-from tillroll.session import freeze, scratch_path
+from tillroll.session import freeze, remove_at_exit, scratch_path
 from tillroll.sources import (
     read_extract,
     read_retail,
@@ -40,9 +40,11 @@ def _raw(df: DataFrame) -> DataFrame:
 
 
 def _stored(df: DataFrame, label: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     save_retail(df, path, mode="overwrite")
-    return read_retail(df.sparkSession, path)
+    remove_at_exit(spark, path)
+    return read_retail(spark, path)
 
 
 def load_csv(df: DataFrame) -> DataFrame:
@@ -50,6 +52,7 @@ def load_csv(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "csv")
     _raw(df).write.csv(path, header=True, encoding=CSV_ENCODING, escape='"')
+    remove_at_exit(spark, path)
     return _stored(ops.with_invoice_timestamp(read_retail_csv(spark, path)), "retail")
 
 
@@ -88,7 +91,9 @@ def export_extract(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     results = dashboard_extracts(df)
-    folders = write_extracts(results, scratch_path(spark, "extracts"), order=EXTRACT_ORDER)
+    out_dir = scratch_path(spark, "extracts")
+    folders = write_extracts(results, out_dir, order=EXTRACT_ORDER)
+    remove_at_exit(spark, out_dir)
     listed = []
     for name, result in results.items():
         written = read_extract(spark, folders[name], result.schema)
