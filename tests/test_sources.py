@@ -77,7 +77,7 @@ def test_catalog_table_by_short_and_full_name(spark, mini):
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
 def test_extracts_come_back_as_written(spark, mini, tmp_path, fmt):
     results = dashboard_extracts(mini)
-    folders = write_extracts(results, str(tmp_path), fmt)
+    folders = write_extracts(results, str(tmp_path), fmt, single_file=True)
     assert set(folders) == {
         "monthly_revenue", "country_revenue", "invoice_buckets", "customer_quartiles"
     }
@@ -89,7 +89,7 @@ def test_extracts_come_back_as_written(spark, mini, tmp_path, fmt):
 
 def test_csv_extract_has_header_and_sorted_rows(mini, tmp_path):
     results = {"months": dashboard_extracts(mini)["monthly_revenue"]}
-    write_extracts(results, str(tmp_path))
+    write_extracts(results, str(tmp_path), single_file=True)
     (file,) = (tmp_path / "months").glob("*.csv")
     lines = file.read_text().splitlines()
     assert lines[0] == "month,total_revenue,previous_month,revenue_change"
@@ -100,7 +100,8 @@ def test_csv_extract_has_header_and_sorted_rows(mini, tmp_path):
 
 def test_csv_extract_can_be_sorted_otherwise(mini, tmp_path):
     results = {"countries": dashboard_extracts(mini)["country_revenue"]}
-    write_extracts(results, str(tmp_path), order={"countries": ["-total_revenue"]})
+    order = {"countries": ["-total_revenue"]}
+    write_extracts(results, str(tmp_path), single_file=True, order=order)
     (file,) = (tmp_path / "countries").glob("*.csv")
     countries = [line.split(",")[0] for line in file.read_text().splitlines()[1:]]
     assert countries == ["United Kingdom", "France", "EIRE"]
@@ -108,7 +109,7 @@ def test_csv_extract_can_be_sorted_otherwise(mini, tmp_path):
 
 def test_large_extract_keeps_its_partitions(mini, tmp_path):
     results = {"lines": mini.repartition(3)}
-    write_extracts(results, str(tmp_path), "parquet", single_file=False)
+    write_extracts(results, str(tmp_path), "parquet")
     assert len(list((tmp_path / "lines").glob("*.parquet"))) == 3
 
 

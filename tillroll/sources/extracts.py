@@ -21,15 +21,16 @@ def write_extracts(
     results: Mapping[str, DataFrame],
     out_dir: str,
     fmt: str = "csv",
-    single_file: bool = True,
+    single_file: bool = False,
     order: Mapping[str, Sequence[str]] | None = None,
 ) -> dict[str, str]:
     """Write each result to ``out_dir/<name>`` and return the folders.
 
-    ``single_file`` moves the finished rows to one file, sorted by the columns
-    ``order`` names for the result or else by its first column. It is meant for summaries of a few rows; the work before it keeps
-    its own parallelism because the move is a shuffle of its own. Pass
-    ``False`` for results that grow with the data.
+    A result is written from the partitions it has, in parallel. For finished
+    summaries of a few rows, which reporting tools want in one piece,
+    ``single_file`` moves them to one file, sorted by the columns ``order``
+    names for the result or else by its first column. The move is a shuffle of
+    its own, so the work before it keeps its parallelism.
     """
     if fmt not in ("csv", "parquet"):
         raise ValueError(f"unknown extract format {fmt!r}")
