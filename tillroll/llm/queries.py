@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm.common import open_table
+from tillroll.llm.packing import pack_documents
 from tillroll.llm.token_counts import token_counts
 
 
@@ -12,7 +13,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(open_table(spark, sf_dir, "documents"), limit=512)
 
 
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(open_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op7_token_counts": op7_token_counts,
 }
 
