@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm.common import open_table
+from tillroll.llm.sharding import shard_records
 from tillroll.llm.packing import pack_documents
 from tillroll.llm.token_counts import token_counts
 
@@ -18,7 +19,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(open_table(spark, sf_dir, "documents"))
 
 
+
+def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_records(open_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op7_token_counts": op7_token_counts,
 }
