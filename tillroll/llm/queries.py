@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillroll.llm import sql
 from tillroll.llm.common import open_table
+from tillroll.llm.mixing import by_position, mix
 from tillroll.llm.sharding import shard_records
 from tillroll.llm.packing import pack_documents
 from tillroll.llm.token_counts import token_counts
@@ -24,10 +26,21 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(open_table(spark, sf_dir, "documents"))
 
 
+
+def op2_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix(open_table(spark, sf_dir, "documents"))
+    columns = ("doc_id", "size", "source_size", "target", "taken", "position")
+    return by_position(plan.select(*columns), "doc_id").drop("position")
+
+
 QUERIES = {
+    "op2_curriculum_mixing": op2_curriculum_mixing,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op7_token_counts": op7_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_curriculum_mixing": sql.MIXING,
+    "op3_rendezvous_sharding": sql.SHARDING,
+}

@@ -12,17 +12,76 @@ def _least(shards: int) -> str:
     return f"list_position([{scores}], list_min([{scores}])) - 1"
 
 
+# The checksum byte by byte, with the usual table of its reflected polynomial.
+_CRC_TABLE = """steps AS (
+    SELECT i AS byte, i AS value, 0 AS k FROM range(256) t(i)
+    UNION ALL
+    SELECT byte,
+           CASE WHEN value % 2 = 1 THEN xor(value >> 1, 3988292384) ELSE value >> 1 END,
+           k + 1
+    FROM steps WHERE k < 8
+), crc_table AS (SELECT list(value ORDER BY byte) AS crc FROM steps WHERE k = 8)"""
+_CRC = """xor(list_reduce(
+               list_prepend(4294967295::BIGINT, list_transform(
+                   regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                   lambda x: ('0x' || x)::BIGINT)),
+               lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295)"""
+
 SHARDING = f"""
-WITH placed AS (
+WITH RECURSIVE {_CRC_TABLE}, placed AS (
     SELECT doc_id,
            strlen(coalesce(text, '')) + 1 AS size,
+           {_CRC} AS text_crc32,
            {_least(SHARDS)} AS shard,
            {_least(SHARDS + 1)} AS grown_shard,
            md5(concat(doc_id)) AS digest
-    FROM documents
+    FROM documents, crc_table
 )
-SELECT doc_id, size, 'key' AS law, CAST(shard AS INTEGER) AS shard,
-       row_number() OVER (PARTITION BY shard ORDER BY digest, doc_id, size) - 1 AS slot,
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (
+           PARTITION BY shard ORDER BY digest, doc_id NULLS FIRST, text_crc32, size
+       ) - 1 AS slot,
        CAST(grown_shard AS INTEGER) AS grown_shard
 FROM placed
 """
+
+# With sources in the order in which they reach their ceiling, stopping the first
+# k leaves a level for the others; the largest level is the true one.
+MIXING = """
+WITH sized AS (
+    SELECT doc_id, source, md5(concat(doc_id)) AS digest,
+           CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT)
+               AS size
+    FROM documents
+), sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+           CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+               WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+    FROM sized GROUP BY source
+), ordered AS (
+    SELECT *,
+           (3 * sum(source_size) OVER () - 4 * coalesce(sum(source_size) OVER before, 0)) / 2.0
+               / sum(weight) OVER after AS level
+    FROM sources
+    WINDOW before AS (
+               ORDER BY source_size::DOUBLE / weight, source NULLS LAST
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+           after AS (
+               ORDER BY source_size::DOUBLE / weight, source NULLS LAST
+               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), targets AS (
+    SELECT source, source_size,
+           least(2.0 * source_size,
+                 weight * max(level) OVER ()) AS target
+    FROM ordered
+), placed AS (
+    SELECT *, coalesce(sum(size) OVER (
+               PARTITION BY source ORDER BY digest, doc_id NULLS FIRST, size
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+    FROM sized JOIN targets USING (source)
+)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
+       CAST(greatest(0, least(size, round(target) - ahead))
+            + greatest(0, least(size, round(target) - source_size - ahead)) AS BIGINT) AS taken
+FROM placed
+"""
