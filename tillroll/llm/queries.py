@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import sql
 from tillroll.llm.common import open_table
+from tillroll.llm.toxicity import fit_toxicity, score_toxicity
 from tillroll.llm.mixing import by_position, mix
 from tillroll.llm.sharding import shard_records
 from tillroll.llm.packing import pack_documents
@@ -33,7 +34,14 @@ def op2_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_position(plan.select(*columns), "doc_id").drop("position")
 
 
+
+def op1_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = open_table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, open_table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op1_factorization_toxicity": op1_factorization_toxicity,
     "op2_curriculum_mixing": op2_curriculum_mixing,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
