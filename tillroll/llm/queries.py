@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import sql
 from tillroll.llm.common import open_table
+from tillroll.llm.quality import fit_quality, graded, score_quality
 from tillroll.llm.toxicity import fit_toxicity, score_toxicity
 from tillroll.llm.mixing import by_position, mix
 from tillroll.llm.sharding import shard_records
@@ -40,7 +41,14 @@ def op1_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, open_table(spark, sf_dir, "labels")))
 
 
+
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = open_table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, graded(open_table(spark, sf_dir, "labels"))))
+
+
 QUERIES = {
+    "op4_ordinal_quality": op4_ordinal_quality,
     "op1_factorization_toxicity": op1_factorization_toxicity,
     "op2_curriculum_mixing": op2_curriculum_mixing,
     "op3_rendezvous_sharding": op3_rendezvous_sharding,
