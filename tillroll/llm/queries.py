@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import sql
 from tillroll.llm.common import open_table
+from tillroll.llm.fingerprints import fingerprint_edits
 from tillroll.llm.quality import fit_quality, graded, score_quality
 from tillroll.llm.toxicity import fit_toxicity, score_toxicity
 from tillroll.llm.mixing import by_position, mix
@@ -47,7 +48,13 @@ def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, graded(open_table(spark, sf_dir, "labels"))))
 
 
+
+def op5_quartile_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(open_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_quartile_fingerprints": op5_quartile_fingerprints,
     "op4_ordinal_quality": op4_ordinal_quality,
     "op1_factorization_toxicity": op1_factorization_toxicity,
     "op2_curriculum_mixing": op2_curriculum_mixing,
