@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import sql
 from tillroll.llm.common import open_table
+from tillroll.llm.privacy import personal_data, span_report
 from tillroll.llm.fingerprints import fingerprint_edits
 from tillroll.llm.quality import fit_quality, graded, score_quality
 from tillroll.llm.toxicity import fit_toxicity, score_toxicity
@@ -53,7 +54,13 @@ def op5_quartile_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(open_table(spark, sf_dir, "documents"))
 
 
+
+def op9_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(personal_data(open_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op9_disclosure_pii": op9_disclosure_pii,
     "op5_quartile_fingerprints": op5_quartile_fingerprints,
     "op4_ordinal_quality": op4_ordinal_quality,
     "op1_factorization_toxicity": op1_factorization_toxicity,
