@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import sql
 from tillroll.llm.common import open_table
+from tillroll.llm.jaccard import near_duplicates
 from tillroll.llm.privacy import personal_data, span_report
 from tillroll.llm.fingerprints import fingerprint_edits
 from tillroll.llm.quality import fit_quality, graded, score_quality
@@ -59,7 +60,13 @@ def op9_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_report(personal_data(open_table(spark, sf_dir, "documents")))
 
 
+
+def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(open_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_grouped_prefix_join": op10_grouped_prefix_join,
     "op9_disclosure_pii": op9_disclosure_pii,
     "op5_quartile_fingerprints": op5_quartile_fingerprints,
     "op4_ordinal_quality": op4_ordinal_quality,
