@@ -47,14 +47,6 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def bounded_sample(labelled: DataFrame, limit: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``limit`` rows, those whose key has the smallest hash.
-
-    The same rows whatever the layout of the table.
-    """
-    return labelled.orderBy(F.xxhash64(id_col), F.col(id_col)).limit(limit)
-
-
 def training_rows(
     docs: DataFrame,
     sample: DataFrame,

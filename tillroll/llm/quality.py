@@ -9,10 +9,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tillroll.llm.common import map_rows
-from tillroll.llm.features import (
-    MEMO_ENTRIES, BucketMemo, bounded_sample, sigmoid, training_rows
-)
+from tillroll.llm.common import bounded_sample, map_rows
+from tillroll.llm.features import MEMO_ENTRIES, BucketMemo, sigmoid, training_rows
 
 BUCKETS = 1 << 16
 #: The most rated rows the model is fitted on.
@@ -177,7 +175,7 @@ def fit_quality(
     def start():
         return FeatureEncoder().packed
 
-    made = training_rows(docs, bounded_sample(ratings, sample_rows), "grade", start)
+    made = training_rows(docs, bounded_sample(ratings, "doc_id", sample_rows), "grade", start)
     rows = [_unpacked(b) for b in made["features"]]
     return fit_ordinal(rows, made["target"].to_numpy(int), top)
 

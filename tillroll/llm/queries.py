@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import sql
 from tillroll.llm.common import open_table
+from tillroll.llm.neighbours import nearest
 from tillroll.llm.jaccard import near_duplicates
 from tillroll.llm.privacy import personal_data, span_report
 from tillroll.llm.fingerprints import fingerprint_edits
@@ -65,7 +66,13 @@ def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(open_table(spark, sf_dir, "documents"))
 
 
+
+def op6_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(open_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 QUERIES = {
+    "op6_kmeans_tree_neighbours": op6_kmeans_tree_neighbours,
     "op10_grouped_prefix_join": op10_grouped_prefix_join,
     "op9_disclosure_pii": op9_disclosure_pii,
     "op5_quartile_fingerprints": op5_quartile_fingerprints,

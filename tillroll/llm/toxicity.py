@@ -7,10 +7,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tillroll.llm.common import map_rows
-from tillroll.llm.features import (
-    MEMO_ENTRIES, BucketMemo, bounded_sample, held_out, plain_terms, sigmoid, training_rows
-)
+from tillroll.llm.common import bounded_sample, map_rows
+from tillroll.llm.features import MEMO_ENTRIES, BucketMemo, held_out, plain_terms, sigmoid, training_rows
 
 BUCKETS = 1 << 18
 FACTORS = 4
@@ -162,7 +160,7 @@ def fit_toxicity(
         encode = TermEncoder()
         return lambda text: encode(text).tobytes()
 
-    made = training_rows(docs, bounded_sample(labelled, sample_rows), "toxic", start)
+    made = training_rows(docs, bounded_sample(labelled, "doc_id", sample_rows), "toxic", start)
     rows = [np.frombuffer(b, np.int32) for b in made["features"]]
     return fit(rows, made["target"].to_numpy(float))
 
