@@ -474,14 +474,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).withColumn("comp", F.coalesce("comp", "cid"))
     smallest = labelled_classes.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_class = labelled_classes.join(smallest, "comp").select("d1", "d2", "component_id")
-    whole = rows.select(id_col, F.col("n").alias("n_shingles"), "d1", "d2")
+    whole = rows.select(id_col, F.col("n").alias("n_shingles"), "text_hash", "d1", "d2")
     return (
         whole.filter(F.col("n_shingles") > 0)
         .join(of_class, ["d1", "d2"])
-        .select(id_col, "n_shingles", "component_id")
+        .select(id_col, "n_shingles", "component_id", "text_hash")
         .union(
             whole.filter(F.col("n_shingles") == 0).select(
-                id_col, "n_shingles", F.col(id_col).alias("component_id")
+                id_col, "n_shingles", F.col(id_col).alias("component_id"), "text_hash"
             )
         )
     )
+
+
+def distinct_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: that of the smallest id.
+
+    Of rows with that id, the smallest text hash stays, once. Texts without words all
+    stay, each linked with nothing, as do components without any id. All columns are kept.
+    """
+    found = freeze(near_duplicates(docs, id_col, text_col), "components")
+    linked = (F.col("n_shingles") > 0) & F.col("component_id").isNotNull()
+    chosen = (
+        found.filter(linked & (F.col(id_col) == F.col("component_id")))
+        .groupBy("component_id")
+        .agg(F.min("text_hash").alias("text_hash"))
+        .select(F.col("component_id").alias("_id"), "text_hash")
+    )
+    alone = found.filter(~linked).select(F.col(id_col).alias("_id"), "text_hash").distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("text_hash"))
+    kept = docs.join(chosen, same, "left_semi")
+    repeats = (
+        found.filter(linked)
+        .join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (
+            found["text_hash"] == chosen["text_hash"]), "left_semi")
+        .groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    )
+    if not repeats.isEmpty():
+        kept = kept.dropDuplicates([id_col])
+    return kept if alone.isEmpty() else kept.unionByName(docs.join(alone, same, "left_semi"))

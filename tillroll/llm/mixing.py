@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillroll.llm.common import WORD, ordered_blocks, running_totals
+from tillroll.llm.common import SPACE, WORD, ordered_blocks, running_totals
 from tillroll.session import freeze
 
 #: Base weights of the sources in code-point order, repeating.
@@ -95,9 +95,9 @@ def mix(
     has its training position: the source's weight schedule is integrated and
     the demand it adds up to inverted at the words read before.
 
-    Columns: ``id_col``, ``size`` (words), ``source``, ``source_size``, ``target``,
-    ``taken``, ``position`` and ``second_position`` (when the first and second reading
-    begin; null for a reading that takes no words). A null text has no words, a null source
+    Columns: ``id_col``, ``text_hash``, ``size`` (words), ``source``, ``source_size``,
+    ``target``, ``taken``, ``position`` and ``second_position`` (when the first and
+    second reading begin; null for a reading that takes no words). A null text has no words, a null source
     is a source of its own, the last. Rows that repeat are separate documents.
     The text is read once, when called; what is listed here is kept in the shared folder,
     and a hot source is cut into blocks.
@@ -106,7 +106,10 @@ def mix(
         raise ValueError("a document is read at most twice")
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint")
     key = F.col(id_col)
-    sized = freeze(docs.select(key, F.col(source_col).alias("source"), size.alias("size")), "mix")
+    text_hash = F.xxhash64(text_col).alias("text_hash")
+    sized = freeze(
+        docs.select(key, F.col(source_col).alias("source"), size.alias("size"), text_hash), "mix"
+    )
     targets = source_targets(sized, weights, share, ceiling)
     order = [
         F.md5(F.coalesce(key.cast("string"), F.lit(""))).asc(),
@@ -135,6 +138,7 @@ def mix(
 
     return rows.select(
         id_col,
+        "text_hash",
         "size",
         "source",
         "source_size",
@@ -145,6 +149,62 @@ def mix(
     )
 
 
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    **options,
+) -> DataFrame:
+    """The readings of the mix as rows of ``docs``, sorted by position.
+
+    A document read twice is two rows; one not read is none. A reading of fewer words
+    than the document has is cut after them. Other columns are as they were. Rows
+    that repeat are told apart by number, where there are any.
+    """
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    read = plan.filter(F.col("taken") > 0)
+    first = F.least("taken", "size")
+    readings = F.filter(
+        F.array(
+            F.struct(F.col("position").alias("position"), first.alias("words")),
+            F.struct(
+                F.col("second_position").alias("position"),
+                (F.col("taken") - F.col("size")).alias("words"),
+            ),
+        ),
+        lambda r: r["position"].isNotNull() & (r["words"] > 0),
+    )
+    rows = docs.withColumns({"_hash": F.xxhash64(text_col), "_number": F.lit(0)})
+    read = read.select(
+        F.col(id_col).alias("_id"), F.col("text_hash").alias("_text_hash"),
+        F.lit(0).alias("_which"), "size", readings.alias("_readings"),
+    )
+    alike = plan.groupBy(id_col, "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    if not alike.filter("rows > 1").isEmpty():
+        # Those that are read come first among their like.
+        most_read = F.size("_readings").desc()
+        which = Window.partitionBy("_id", "_text_hash").orderBy(most_read)
+        rows = rows.withColumn(
+            "_number", F.row_number().over(Window.partitionBy(id_col, "_hash").orderBy(F.lit(0)))
+        )
+        read = read.withColumn("_which", F.row_number().over(which))
+    same = (
+        F.col(id_col).eqNullSafe(F.col("_id"))
+        & (F.col("_hash") == F.col("_text_hash"))
+        & (F.col("_number") == F.col("_which"))
+    )
+    made = rows.join(read, same).withColumn("_reading", F.explode("_readings"))
+    words = F.regexp_extract_all(
+        text_col, F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0)
+    )
+    cut = F.array_join(F.slice(words, 1, F.col("_reading.words").cast("int")), "")
+    shorter = F.col("_reading.words") < F.col("size")
+    made = made.withColumn(text_col, F.when(shorter, cut).otherwise(F.col(text_col)))
+    by = [F.col("_reading.position").asc_nulls_last(), F.col(id_col).asc_nulls_last()]
+    return made.repartitionByRange(*by).sortWithinPartitions(*by).select(*docs.columns)
+
+
 def by_position(readings: DataFrame, *keys: str) -> DataFrame:
     """Range-sort over the cluster by ``position``, then ``keys``."""
     by = [F.col("position").asc_nulls_last(), *[F.col(k).asc_nulls_last() for k in keys]]
