@@ -20,38 +20,77 @@ CAPACITY = 4096
 # Pieces packed together in one task. A group leaves about one sequence partly
 # empty, so this many keep the waste far below one in a hundred.
 GROUP_PIECES = 8_000
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 500_000
 
 
-def _word_encoder(path: str | None):
-    """Text to ids as little-endian bytes; words seen before come from a memo.
+# A byte-level vocabulary spells every byte as a visible character: those that are
+# visible in Latin-1 as themselves, the others from 256 on, in order.
+_HIDDEN = [*range(33), *range(127, 161), 173]
+_BYTE_MARKS = {byte: 256 + n for n, byte in enumerate(_HIDDEN)}
+
+
+def _as_byte_marks(part: str) -> str:
+    return part.encode().decode("latin-1").translate(_BYTE_MARKS)
+
+
+class WordIds(dict):
+    """Words between blanks to ids as little-endian bytes, made when first met.
 
     The tokenizer drops white space, and nothing it does reaches across it, so
-    encoding the words between blanks one by one gives the ids of the whole text.
+    the ids of the words, one after the other, are those of the whole text. Words of
+    Latin letters and ASCII marks are put in lower case and cut as the tokenizer
+    would; others go through its own steps; then the parts met before are
+    known and the others merged. A word that may hold a special string is left to
+    the tokenizer. A full memo starts again.
     """
-    tokenizer = load_tokenizer(path, TOKENIZER)
-    cut = re.compile(r"[ \t\n]+")
-    memo: dict[str, bytes] = {}
-
-    def encode(text: str) -> bytes:
-        words = cut.split(text)
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        parts = []
-        for word in words:
-            ids = memo.get(word)
-            if ids is None:
-                if len(memo) >= MEMO_ENTRIES:
-                    memo.clear()
-                ids = little_endian(tokenizer.encode(word, add_special_tokens=False).ids)
-                if len(word) <= 64:
-                    memo[word] = ids
-            parts.append(ids)
-        return b"".join(parts)
-
-    return encode
+
+    _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    # Blanks to Python but not to the tokenizer.
+    _CONTROL = re.compile(r"[\x1c-\x1f]")
+    _BLANK = re.compile(r"[ \t\n]+")
+
+    def __init__(self, path: str | None):
+        super().__init__()
+        self._tokenizer = load_tokenizer(path, TOKENIZER)
+        self._normal = self._tokenizer.normalizer.normalize_str
+        self._cut = self._tokenizer.pre_tokenizer.pre_tokenize_str
+        self._merge = self._tokenizer.model.tokenize
+        self._parts: dict[str, list[int]] = {}
+
+    def _ids(self, word: str) -> list[int]:
+        if "<|" in word:
+            return self._tokenizer.encode(word, add_special_tokens=False).ids
+        plain = self._PLAIN.fullmatch(word) is not None
+        if plain:
+            parts = self._PARTS.findall(word.lower())
+        else:
+            parts = [part for part, _ in self._cut(self._normal(word))]
+        ids: list[int] = []
+        for part in parts:
+            known = self._parts.get(part)
+            if known is None:
+                spelt = part if not plain or part.isascii() else _as_byte_marks(part)
+                known = [token.id for token in self._merge(spelt)]
+                if len(self._parts) >= MEMO_ENTRIES:
+                    self._parts.clear()
+                if len(part) <= 64:
+                    self._parts[part] = known
+            ids += known
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        packed = little_endian(self._ids(word))
+        if len(self) >= MEMO_ENTRIES:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = packed
+        return packed
+
+    def encode(self, text: str) -> bytes:
+        plain = self._CONTROL.search(text) is None
+        words = text.split() if plain else self._BLANK.split(text)
+        return b"".join(map(self.__getitem__, words))
 
 
 def little_endian(ids) -> bytes:
@@ -78,7 +117,7 @@ def token_pieces(
     """
 
     def start():
-        encode = _word_encoder(tokenizer_path)
+        encode = WordIds(tokenizer_path).encode
         end = little_endian([end_id])
 
         def row(key, text):
