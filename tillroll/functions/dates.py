@@ -19,23 +19,33 @@ def month_start(timestamp: Column) -> Column:
 def parse_invoice_date(text: Column, strict: bool = True) -> Column:
     """Read ``month/day/year hour:minute`` text as a zone-free timestamp.
 
-    Malformed text is an error, or NULL with ``strict=False``.
+    Malformed text is an error in every session mode, or NULL with ``strict=False``.
     """
-    if strict:
-        return F.to_timestamp_ntz(text, F.lit(DATE_PATTERN))
     parts = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{1,2})$"
 
     def part(index: int) -> Column:
         return F.regexp_extract(text, parts, index).try_cast("int")
 
-    return F.try_make_timestamp_ntz(part(3), part(1), part(2), part(4), part(5), F.lit(0))
+    parsed = F.try_make_timestamp_ntz(part(3), part(1), part(2), part(4), part(5), F.lit(0))
+    if not strict:
+        return parsed
+    error = F.raise_error(F.concat(F.lit(f"cannot parse as {DATE_PATTERN}: "), text))
+    return F.when(text.isNotNull() & parsed.isNull(), error).otherwise(parsed)
 
 
 def as_invoice_text(timestamp: Column) -> Column:
-    """The text form ``parse_invoice_date`` reads."""
+    """The text form ``parse_invoice_date`` reads; NULL stays NULL.
+
+    The form has no seconds, so a time that has some is an error.
+    """
     minute = F.lpad(F.minute(timestamp).cast("string"), 2, "0")
-    return F.concat(
+    text = F.concat(
         F.concat_ws("/", F.month(timestamp), F.dayofmonth(timestamp), F.year(timestamp)),
         F.lit(" "),
         F.concat_ws(":", F.hour(timestamp), minute),
     )
+    seconds = F.date_part(F.lit("SECOND"), timestamp)
+    error = F.raise_error(
+        F.concat(F.lit("an invoice date has no seconds: "), timestamp.cast("string"))
+    )
+    return F.when(timestamp.isNull(), F.lit(None)).when(seconds != 0, error).otherwise(text)

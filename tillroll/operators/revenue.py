@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tillroll.functions import exact_revenue_sum, month_start, rounded_revenue_sum
+from tillroll.functions import (
+    exact_revenue_sum,
+    month_start,
+    order_columns,
+    rounded_revenue_sum,
+)
 from tillroll.operators.explore import top_k
 from tillroll.operators.quality import clean_sales
 
@@ -38,12 +43,13 @@ def monthly_revenue(df: DataFrame) -> DataFrame:
 
 
 # The windows below have no partition key. They are for monthly summaries,
-# which have one row per month however many lines lie behind them.
+# which have one row per month however many lines lie behind them. Sales without
+# a date make a last month, NULL.
 
 
 def month_over_month(monthly: DataFrame) -> DataFrame:
     """Each month beside the one before it in the data, 0 for the first."""
-    previous = F.lag("total_revenue", 1, 0).over(Window.orderBy("month"))
+    previous = F.lag("total_revenue", 1, 0).over(Window.orderBy(*order_columns(["month"])))
     return monthly.withColumn("previous_month", previous).withColumn(
         "revenue_change", F.round(F.col("total_revenue") - F.col("previous_month"), 2)
     )
@@ -51,7 +57,7 @@ def month_over_month(monthly: DataFrame) -> DataFrame:
 
 def running_total(monthly: DataFrame) -> DataFrame:
     """Revenue of the month and all months before it."""
-    up_to_month = Window.orderBy("month").rangeBetween(
+    up_to_month = Window.orderBy(*order_columns(["month"])).rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return monthly.withColumn(
