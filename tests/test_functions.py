@@ -23,8 +23,10 @@ from tillroll.functions import (
 )
 from tillroll.operators import (
     clean_sales,
+    month_over_month,
     monthly_revenue,
     revenue_by_country,
+    running_total,
     with_invoice_timestamp,
     with_month,
     with_revenue,
@@ -82,13 +84,38 @@ def test_sums_are_exact(spark, ansi, precision, scale):
     assert found == sum(q * p for q, p in lines)
 
 
-def test_overflow_is_an_error_not_a_wrong_sum(spark):
-    df = sales(spark, [(2**62, Decimal("1.0"))] * 3)
-    with pytest.raises(Exception, match="ARITHMETIC_OVERFLOW|overflow"):
-        df.agg(exact_revenue_sum(df)).collect()
-    with setting(spark, "spark.sql.ansi.enabled", "false"):
-        total = df.agg(exact_revenue_sum(df)).first()[0]
-    assert total == 3 * 2**62
+BOTH_MODES = pytest.mark.parametrize("ansi", ["true", "false"])
+
+
+@BOTH_MODES
+def test_large_sums_are_right_in_every_mode(spark, ansi):
+    with setting(spark, "spark.sql.ansi.enabled", ansi):
+        df = sales(spark, [(2**62, Decimal("1.0"))] * 3)
+        assert df.agg(exact_revenue_sum(df)).first()[0] == 3 * 2**62
+        df = sales(spark, [(10**10, Decimal("99999.00"))] * 2)
+        assert df.agg(exact_revenue_sum(df)).first()[0] == 2 * 10**10 * 99999
+
+
+@BOTH_MODES
+def test_a_sum_past_all_digits_is_an_error_in_every_mode(spark, ansi):
+    df = sales(spark, [(10**19 // 2, Decimal(10**18 - 1))] * 9, "decimal(18,0)")
+    df = df.crossJoin(spark.range(10))
+    with setting(spark, "spark.sql.ansi.enabled", ansi):
+        with pytest.raises(Exception, match="overflow|OVERFLOW|OUT_OF_RANGE"):
+            df.agg(exact_revenue_sum(df)).collect()
+
+
+@BOTH_MODES
+def test_double_prices_are_never_rounded(spark, ansi):
+    with setting(spark, "spark.sql.ansi.enabled", ansi):
+        df = sales(spark, [(10**6, 0.00012)], price="double")
+        assert df.agg(exact_revenue_sum(df)).first()[0] == 120
+        df = sales(spark, [(1, 1e-15)], price="double")
+        with pytest.raises(Exception, match="price does not fit"):
+            df.agg(exact_revenue_sum(df)).collect()
+        df = sales(spark, [(10**14, 1.5)], price="double")
+        with pytest.raises(Exception, match="quantity does not fit"):
+            df.agg(exact_revenue_sum(df)).collect()
 
 
 def test_sub_penny_price_is_a_price(spark):
@@ -137,11 +164,45 @@ def test_dates_do_not_depend_on_the_session_zone(spark, zone, strict):
 
 
 @pytest.mark.parametrize("text", ["2010-12-01 08:26", "13/1/2010 8:26", "", "2/30/2011 1:00"])
-def test_bad_dates(spark, text):
+@BOTH_MODES
+def test_bad_dates(spark, text, ansi):
     df = spark.createDataFrame([(text,)], "invoicedate string")
-    with pytest.raises(Exception, match="CANNOT_PARSE_TIMESTAMP|parse"):
-        with_invoice_timestamp(df).collect()
-    assert rows(with_invoice_timestamp(df, strict=False)) == [(None,)]
+    with setting(spark, "spark.sql.ansi.enabled", ansi):
+        with pytest.raises(Exception, match="cannot parse as"):
+            with_invoice_timestamp(df).collect()
+        assert rows(with_invoice_timestamp(df, strict=False)) == [(None,)]
+
+
+def test_a_missing_date_stays_missing(spark):
+    df = spark.createDataFrame([(None,), (datetime(2011, 1, 1, 8, 5),)], "t timestamp_ntz")
+    text = df.select(as_invoice_text(F.col("t")).alias("invoicedate"))
+    assert rows(text) == [("1/1/2011 8:05",), (None,)]
+    assert rows(with_invoice_timestamp(text)) == [(datetime(2011, 1, 1, 8, 5),), (None,)]
+
+
+def test_seconds_are_not_dropped(spark):
+    df = spark.createDataFrame([(datetime(2011, 1, 1, 8, 5, 9),)], "t timestamp_ntz")
+    with pytest.raises(Exception, match="no seconds"):
+        df.select(as_invoice_text(F.col("t"))).collect()
+
+
+def test_months_without_a_date_come_last(spark):
+    monthly = spark.createDataFrame(
+        [(datetime(2011, 2, 1), Decimal(20)), (None, Decimal(7)), (datetime(2011, 1, 1), Decimal(10))],
+        "month timestamp_ntz, total_revenue decimal(20,2)",
+    )
+    known = duckdb.sql("""
+        SELECT m, v, lag(v, 1, 0) OVER (ORDER BY m), sum(v) OVER (ORDER BY m) FROM
+        (VALUES (TIMESTAMP '2011-02-01', 20), (NULL, 7), (TIMESTAMP '2011-01-01', 10)) t(m, v)""")
+    expected = sorted(known.fetchall(), key=str)
+    changes = month_over_month(monthly).select("month", "total_revenue", "previous_month")
+    sums = running_total(monthly).select("month", "running_total")
+    assert sorted([tuple(r) for r in changes.collect()], key=str) == [
+        (m, v, before) for m, v, before, _ in expected
+    ]
+    assert sorted([tuple(r) for r in sums.collect()], key=str) == sorted(
+        [(m, total) for m, _, _, total in expected], key=str
+    )
 
 
 def test_retype_can_be_repeated(mini):

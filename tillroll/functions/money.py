@@ -2,50 +2,58 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from tillroll.schema import PRICE_TYPE
-
 
 def revenue() -> Column:
     """Value of one line."""
     return F.col("quantity") * F.col("unitprice")
 
 
+# A double price is taken as the decimal number it prints as, to so many places.
+DOUBLE_PRICE_TYPE = T.DecimalType(24, 12)
+_LONG_DIGITS = 19
+_MOST_DIGITS = 38
+
+
+def _exact(value: Column, kind: T.DecimalType, what: str) -> Column:
+    """``value`` as a decimal of that type, or an error if that would change it."""
+    made = value.try_cast(kind)
+    same = made.cast("double") == value if what == "price" else made.isNotNull()
+    message = F.concat(F.lit(f"{what} does not fit {kind.simpleString()}: "), value.cast("string"))
+    return F.when(value.isNull() | F.coalesce(same, F.lit(False)), made).otherwise(
+        F.raise_error(message)
+    )
+
+
 def exact_revenue_sum(df: DataFrame) -> Column:
     """``SUM(quantity * unitprice)`` without rounding, as a decimal aggregate.
 
-    The lines are summed as whole minor units (price * 10^scale) in a BIGINT:
-    the same exact result as a DECIMAL(38) accumulator at less than half its
-    cost, with a fixed-width buffer in the hash aggregate. A BIGINT holds
-    9.2e14 currency units at scale 4; past that ANSI mode raises an error.
-    Outside ANSI mode it would wrap silently, so there the wide decimal is
-    summed instead.
+    The product has room for all digits of both sides, so it is exact, and the sum
+    has all 38 digits a decimal can have. What fits in neither is an error
+    whatever the session's settings: a double price with more than twelve
+    decimals, a quantity too long beside a very wide price, a sum past 38 digits.
     """
     price_type = df.schema["unitprice"].dataType
     price = F.col("unitprice")
     if not isinstance(price_type, T.DecimalType):
-        price_type, price = PRICE_TYPE, price.cast(PRICE_TYPE)
-    ansi = df.sparkSession.conf.get("spark.sql.ansi.enabled").lower() == "true"
-    if not ansi:
-        return F.sum(F.col("quantity") * price)
-    units = _minor_units(price, price_type)
-    return F.sum(F.col("quantity") * units) * F.lit(Decimal(1).scaleb(-price_type.scale))
-
-
-def _minor_units(price: Column, price_type: T.DecimalType) -> Column:
-    """``price * 10^scale`` as a BIGINT, exactly.
-
-    Up to 15 digits this goes through a double, which is quicker than decimal
-    arithmetic: its two roundings are off by less than 10^15 * 2^-52 = 0.23
-    together, so the nearest whole number is the right one.
-    """
-    if price_type.precision <= 15:
-        return F.rint(price.cast("double") * F.lit(10.0**price_type.scale)).cast("bigint")
-    return (price * F.lit(10**price_type.scale)).cast("bigint")
+        price_type, price = DOUBLE_PRICE_TYPE, _exact(price, DOUBLE_PRICE_TYPE, "price")
+    digits = min(_LONG_DIGITS, _MOST_DIGITS - 1 - price_type.precision)
+    if digits < 1:
+        raise ValueError(f"{price_type.simpleString()} leaves no digit for quantities")
+    quantity = F.col("quantity")
+    if digits < _LONG_DIGITS:
+        quantity = _exact(quantity, T.DecimalType(digits, 0), "quantity")
+    else:
+        quantity = quantity.cast(T.DecimalType(digits, 0))
+    value = quantity * price
+    total = F.sum(value)
+    # Without ANSI mode Spark gives NULL for a sum that does not fit.
+    too_long = total.isNull() & (F.count(value) > 0)
+    return F.when(too_long, F.raise_error(F.lit("sum overflow: more than 38 digits"))).otherwise(
+        total
+    )
 
 
 def rounded_revenue_sum(df: DataFrame) -> Column:
