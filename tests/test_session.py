@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 import sys
 import time
@@ -10,11 +11,13 @@ from types import SimpleNamespace
 import pytest
 from conftest import ROOT
 
-from tillroll.session import freeze, scratch_path, shared_folder
+from tillroll.session import freeze, release, scratch_path, shared_folder
 
 
 def fake_session(master: str, configured=None, checkpoint=None):
-    context = SimpleNamespace(master=master, getCheckpointDir=lambda: checkpoint)
+    context = SimpleNamespace(
+        master=master, getCheckpointDir=lambda: checkpoint, applicationId="app-1"
+    )
     conf = SimpleNamespace(get=lambda key, default=None: configured or default)
     return SimpleNamespace(sparkContext=context, conf=conf)
 
@@ -29,11 +32,40 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         shared_folder(fake_session("spark://host:7077"))
 
 
-def test_local_mode_gets_its_own_folder():
-    made = []
-    session = fake_session("local[2]")
-    session.sparkContext.setCheckpointDir = made.append
-    assert made == [] and shared_folder(session) in made
+def test_a_local_folder_on_a_cluster_is_refused():
+    with pytest.raises(RuntimeError, match="one machine"):
+        shared_folder(fake_session("yarn", "file:/tmp/x"))
+    assert shared_folder(fake_session("local[2]", "file:/tmp/x")) == "file:/tmp/x"
+
+
+def test_local_mode_gets_its_own_folder_and_leaves_the_context_alone():
+    session = fake_session("local[2]")  # has no setCheckpointDir
+    assert shared_folder(session) == shared_folder(session)
+
+
+def test_released_rows_are_gone_and_others_stay(spark, tmp_path):
+    kept, gone = freeze(spark.range(3), "kept"), freeze(spark.range(3), "gone")
+    own = str(tmp_path / "own")
+    spark.range(2).write.parquet(own)
+    assert release(spark.read.parquet(own)) == []
+    (folder,) = release(gone)
+    assert spark.sparkContext.applicationId in folder
+    assert kept.count() == 3 and spark.read.parquet(own).count() == 2
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        gone.collect()
+
+
+def test_cluster_options_are_applied():
+    script = """
+from tillroll.session import CLUSTER_OPTIONS, cluster_session
+spark = cluster_session("t")
+print({k: spark.conf.get(k) for k in CLUSTER_OPTIONS} == CLUSTER_OPTIONS)
+"""
+    env = {**os.environ, "PYSPARK_SUBMIT_ARGS": "--master local[1] pyspark-shell"}
+    done = subprocess.run(
+        [sys.executable, "-c", script], cwd=ROOT, capture_output=True, text=True, env=env, timeout=300
+    )
+    assert done.stdout.strip() == "True", done.stderr
 
 
 def test_paths_are_not_shared(spark):
@@ -55,7 +87,7 @@ spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "fal
          .config("spark.checkpoint.dir", str(folder)).getOrCreate())
 from tillroll.session import freeze
 frozen = freeze(spark.range(5), "numbers")
-assert len(list(folder.glob("tillroll/numbers-*/*.parquet"))) > 0
+assert len(list(folder.glob("tillroll/*/numbers-*/*.parquet"))) > 0
 assert frozen.count() == 5
 print("ran", flush=True)
 """
@@ -64,6 +96,6 @@ print("ran", flush=True)
     )
     assert "ran" in done.stdout, done.stderr
     deadline = time.monotonic() + 30
-    while list(tmp_path.glob("tillroll/numbers-*")) and time.monotonic() < deadline:
+    while list(tmp_path.glob("tillroll/*/numbers-*")) and time.monotonic() < deadline:
         time.sleep(0.5)
-    assert list(tmp_path.glob("tillroll/numbers-*")) == []
+    assert list(tmp_path.glob("tillroll/*/numbers-*")) == []

@@ -45,7 +45,12 @@ def local_session(app: str, cpus: int = 8, memory: str = "8g") -> SparkSession:
     return spark
 
 
-_local_folders: list[tempfile.TemporaryDirectory] = []
+def cluster_session(app: str) -> SparkSession:
+    """A session on the cluster that ``spark-submit`` names, with ``CLUSTER_OPTIONS``."""
+    return SparkSession.builder.appName(app).config(map=CLUSTER_OPTIONS).getOrCreate()
+
+
+_local_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,42 +58,75 @@ def shared_folder(spark: SparkSession) -> str:
 
     Where the setting is absent, a session in local mode gets a temporary
     folder of its own; a cluster session is refused, since a folder on one
-    machine would not be visible to the others.
+    machine would not be visible to the others. So is one that names a local folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     folder = folder or context.getCheckpointDir()
+    local = context.master.startswith("local")
     if folder:
+        if folder.startswith("file:") and not local:
+            raise RuntimeError(f"{folder} is on one machine; name a folder all executors share")
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.TemporaryDirectory(prefix="tillroll-", ignore_cleanup_errors=True)
-    _local_folders.append(own)
-    context.setCheckpointDir(own.name)
-    return own.name
+    application = context.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.TemporaryDirectory(
+            prefix="tillroll-", ignore_cleanup_errors=True
+        )
+    return _local_folders[application].name
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other call has been given."""
-    return f"{shared_folder(spark)}/tillroll/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call has been given.
+
+    It lies below the application's id, so what a killed driver left can be found.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/tillroll/{application}/{label}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system that holds ``path``, and the path as it takes it."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(context._jsc.hadoopConfiguration()), folder
 
 
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Have written scratch files removed when the application ends.
 
-    They must last until then, since a DataFrame that reads them may be run at
-    any time; after that nothing can refer to them.
+    A DataFrame that reads them may be run at any time before. A long session can
+    ``release`` what it has done with.
     """
-    context = spark.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    files, folder = file_system(spark, path)
+    files.deleteOnExit(folder)
+
+
+def release(df: DataFrame) -> list[str]:
+    """Delete the scratch folders ``df`` reads, now; it cannot be run afterwards.
+
+    Files that are not this application's scratch are left alone. Returns the folders.
+    """
+    spark = df.sparkSession
+    root = f"/tillroll/{spark.sparkContext.applicationId}/"
+    folders = set()
+    for file in df.inputFiles():
+        where, found, rest = file.partition(root)
+        if found:
+            folders.add(f"{where}{found}{rest.split('/')[0]}")
+    for folder in folders:
+        files, path = file_system(spark, folder)
+        files.delete(path, True)
+    return sorted(folders)
 
 
 def freeze(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The rows are then fixed: a lost executor re-reads files instead of
-    re-running, and perhaps re-cutting, the steps before.
+    re-running, and perhaps re-cutting, the steps before. This runs a job when called.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
