@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 import pytest
 from conftest import MINI_ROWS, csv_bytes, rows
+from pyspark.sql.functions import lit
+from pyspark.sql.types import DecimalType
 
+from tillroll.functions import as_invoice_text
 from tillroll.operators import clean_sales, with_invoice_timestamp
-from tillroll.plans.reports import dashboard_extracts
+from tillroll.plans.reports import dashboard_extracts, export_extract
 from tillroll.schema import RAW_SCHEMA, TYPED_SCHEMA
 from tillroll.sources import (
     drop_retail,
+    open_or_create,
     read_extract,
     read_retail,
     read_retail_csv,
+    retype_table,
     save_retail,
     write_extracts,
+    write_retail_csv,
 )
 
 
@@ -116,3 +123,114 @@ def test_large_extract_keeps_its_partitions(mini, tmp_path):
 def test_unknown_extract_format(mini, tmp_path):
     with pytest.raises(ValueError):
         write_extracts({"x": mini}, str(tmp_path), "xlsx")
+
+
+def with_price(price: str):
+    return [(*MINI_ROWS[0][:5], price, *MINI_ROWS[0][6:])]
+
+
+@pytest.mark.parametrize("price", ["0.00004", "0.00006", "ten", "1" * 13, "1e-30", "0." + "0" * 20 + "1"])
+def test_a_price_that_does_not_fit_is_refused(spark, tmp_path, price):
+    with pytest.raises(Exception, match="not a price of type"):
+        read_retail_csv(spark, bad_csv(tmp_path, with_price(price))).collect()
+
+
+def test_the_price_type_is_a_parameter(spark, tmp_path):
+    file = bad_csv(tmp_path, with_price("0.00006"))
+    df = read_retail_csv(spark, file, price_type=DecimalType(14, 6))
+    assert str(df.first().unitprice) == "0.000060"
+    exact = read_retail_csv(spark, bad_csv(tmp_path, with_price("1.50000")))
+    assert str(exact.first().unitprice) == "1.5000"
+
+
+ODD_TEXTS = [
+    " MUG", "MUG ", "", None, 'A "B" C', '"', "a,b", "back\\slash", "two\nlines", "cr\rhere",
+    "crlf\r\nhere", "caf\xe9", "\xff", "  ", "NULL", "#x", "\\",
+]
+
+
+def odd_sales(spark, texts):
+    made = [
+        (str(i), f"s{i}", t, 1, None if i % 3 == 0 else datetime(2011, 1, 1, 8, i), 1, 7, t)
+        for i, t in enumerate(texts)
+    ]
+    schema = "i string, s string, d string, q long, t timestamp_ntz, p int, c long, n string"
+    df = spark.createDataFrame(made, schema)
+    return df.select(
+        df.i.alias("invoiceno"), df.s.alias("stockcode"), df.d.alias("description"),
+        df.q.alias("quantity"), df.t.alias("invoicedate"),
+        df.p.cast("decimal(12,4)").alias("unitprice"), df.c.alias("customerid"),
+        df.n.alias("country"),
+    )
+
+
+def test_csv_gives_back_odd_texts(spark, tmp_path):
+    df = odd_sales(spark, ODD_TEXTS)
+    text = df.withColumn("invoicedate", as_invoice_text(df.invoicedate))
+    write_retail_csv(text, str(tmp_path / "x"))
+    again = read_retail_csv(spark, str(tmp_path / "x"), multi_line=True, empty_is_null=False)
+    assert rows(with_invoice_timestamp(again)) == rows(df)
+
+
+def test_text_outside_the_encoding_is_refused(spark, tmp_path):
+    with pytest.raises(Exception, match="not in ISO-8859-1"):
+        write_retail_csv(odd_sales(spark, ["\u20ac 5"]), str(tmp_path / "x"))
+
+
+def test_extract_keeps_countries_apart(spark, tmp_path):
+    countries = [" EIRE ", "EIRE", "", None, "a\nb"]
+    df = odd_sales(spark, countries)
+    listed = export_extract(df).filter("extract = 'country_revenue'")
+    assert sorted(map(str, (r.key for r in listed.collect()))) == sorted(map(str, countries))
+
+
+def test_overwriting_what_is_read_keeps_the_rows(spark, mini, tmp_path):
+    path = str(tmp_path / "self")
+    save_retail(mini, path)
+    save_retail(read_retail(spark, path).filter("quantity > 0"), path, mode="overwrite")
+    assert read_retail(spark, path).count() == mini.filter("quantity > 0").count()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["self"]
+
+
+@pytest.mark.parametrize("place", ["path", "catalog"])
+def test_retype_in_place(spark, mini, mini_csv, tmp_path, place):
+    target = str(tmp_path / "t") if place == "path" else f"retail_{uuid.uuid4().hex}"
+    save_retail(read_retail_csv(spark, mini_csv), target)
+    try:
+        for _ in range(2):
+            retype_table(spark, target)
+            assert read_retail(spark, target).schema["invoicedate"].dataType.typeName() == "timestamp_ntz"
+            assert rows(read_retail(spark, target)) == rows(mini)
+    finally:
+        if place == "catalog":
+            drop_retail(spark, target)
+
+
+@pytest.mark.parametrize("place", ["path", "catalog"])
+def test_a_bad_date_leaves_the_table_whole(spark, mini_csv, tmp_path, place):
+    target = str(tmp_path / "t") if place == "path" else f"retail_{uuid.uuid4().hex}"
+    raw = read_retail_csv(spark, mini_csv)
+    bad = raw.limit(1).withColumn("invoicedate", lit("13/45/2011 8:26"))
+    save_retail(raw.unionByName(bad), target)
+    try:
+        before = rows(read_retail(spark, target))
+        with pytest.raises(Exception, match="cannot parse as"):
+            retype_table(spark, target)
+        assert rows(read_retail(spark, target)) == before
+        if place == "path":
+            assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    finally:
+        if place == "catalog":
+            drop_retail(spark, target)
+
+
+def test_open_or_create_builds_once(spark, mini, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return mini
+
+    for _ in range(2):
+        assert open_or_create(spark, str(tmp_path / "t"), build).count() == 13
+    assert built == [1]

@@ -1,15 +1,26 @@
 """Reading and writing retail tables."""
 
-from tillroll.sources.retail import drop_retail, read_retail, read_retail_csv, save_retail
+from tillroll.sources.retail import (
+    drop_retail,
+    open_or_create,
+    read_retail,
+    read_retail_csv,
+    retype_table,
+    save_retail,
+    write_retail_csv,
+)
 from tillroll.sources.extracts import read_extract, write_extracts
 from tillroll.sources.star import star_sales
 
 __all__ = [
     "drop_retail",
+    "open_or_create",
     "read_extract",
     "read_retail",
     "read_retail_csv",
+    "retype_table",
     "save_retail",
     "star_sales",
     "write_extracts",
+    "write_retail_csv",
 ]

@@ -14,7 +14,13 @@ _CSV_FORMAT = {
     "header": True,
     "escape": '"',
     "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
 }
+# An empty field is NULL and one in quotes is empty text; a mark that no field holds
+# keeps the reader from taking both for NULL. Extracts are of bounded size, so
+# line breaks inside quotes may be allowed.
+_CSV_READ = {"nullValue": "\u0001", "multiLine": True}
 
 
 def write_extracts(
@@ -54,6 +60,6 @@ def read_extract(
 ) -> DataFrame:
     """Open an extract again, with the schema it was written from."""
     if fmt == "csv":
-        reader = spark.read.schema(schema).options(**_CSV_FORMAT, mode="FAILFAST")
+        reader = spark.read.schema(schema).options(**_CSV_FORMAT, **_CSV_READ, mode="FAILFAST")
         return reader.csv(folder)
     return spark.read.schema(schema).parquet(folder)

@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from tillroll.schema import CSV_ENCODING, RAW_SCHEMA
+from tillroll.operators.shape import with_invoice_timestamp
+from tillroll.schema import CSV_ENCODING, PRICE_TYPE, RAW_SCHEMA
+from tillroll.session import file_system
+
+# More decimals than any price list; what a text has beyond shows in its digits.
+_WIDE_PRICE = T.DecimalType(38, 18)
+_FAR_DECIMALS = r"\.\d{18}\d*[1-9]|[eE]-"
+# Never found in a field: with it, an empty field in quotes is empty text, not NULL.
+_NO_TEXT = "\u0001"
+_BLANKS_KEPT = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _price(text: Column, kind: T.DecimalType) -> Column:
+    """A price from its text, or an error where the type cannot hold it exactly."""
+    text = F.trim(text)
+    wide, price = text.try_cast(_WIDE_PRICE), text.try_cast(kind)
+    exact = price.isNotNull() & (wide == price) & ~text.rlike(_FAR_DECIMALS)
+    message = F.concat(F.lit(f"not a price of type {kind.simpleString()}: "), text)
+    return F.when(text.isNull() | F.coalesce(exact, F.lit(False)), price).otherwise(
+        F.raise_error(message)
+    )
 
 
 def read_retail_csv(
@@ -13,22 +35,57 @@ def read_retail_csv(
     path: str,
     schema: T.StructType = RAW_SCHEMA,
     encoding: str = CSV_ENCODING,
+    price_type: T.DecimalType = PRICE_TYPE,
+    multi_line: bool = False,
+    empty_is_null: bool = True,
 ) -> DataFrame:
     """Scan a CSV extract with a declared schema.
 
     No inference pass is made. Quotes inside a field are doubled, the header
     must name the schema's columns in order (in any case), and a field that
-    does not fit its type is an error rather than a NULL.
+    does not fit its type is an error rather than a NULL. So is a price with more
+    decimals than ``price_type``, which is never rounded. Blanks around a text are kept.
+
+    ``multi_line`` takes line breaks inside quotes; a file is then read by one task, so
+    files should be of bounded size. Without ``empty_is_null``, an empty field in
+    quotes is empty text and only one without quotes is NULL.
     """
-    return spark.read.csv(
+    as_text = T.StructType(
+        [
+            T.StructField(f.name, T.StringType() if f.name == "unitprice" else f.dataType)
+            for f in schema
+        ]
+    )
+    rows = spark.read.csv(
         path,
-        schema=schema,
+        schema=as_text,
         header=True,
         enforceSchema=False,
         encoding=encoding,
         escape='"',
+        multiLine=multi_line,
+        nullValue="" if empty_is_null else _NO_TEXT,
         mode="FAILFAST",
+        **_BLANKS_KEPT,
     )
+    return rows.withColumn("unitprice", _price(F.col("unitprice"), price_type))
+
+
+def write_retail_csv(df: DataFrame, path: str, encoding: str = CSV_ENCODING) -> None:
+    """Write an extract that ``read_retail_csv`` gives back as it was.
+
+    NULL is an empty field and empty text one in quotes. Text that Latin-1 cannot
+    hold is an error where that is the encoding. A table with line breaks
+    in its texts must be read with ``multi_line``.
+    """
+    if encoding.upper() == CSV_ENCODING:
+        outside = r"[^\x{00}-\x{FF}]"
+        for field in df.schema:
+            if isinstance(field.dataType, T.StringType):
+                text = F.col(field.name)
+                error = F.raise_error(F.concat(F.lit(f"not in {encoding}: "), text))
+                df = df.withColumn(field.name, F.when(text.rlike(outside), error).otherwise(text))
+    df.write.csv(path, header=True, encoding=encoding, escape='"', **_BLANKS_KEPT)
 
 
 def _is_path(target: str) -> bool:
@@ -45,18 +102,97 @@ def read_retail(spark: SparkSession, source: str) -> DataFrame:
     return df.toDF(*[name.lower() for name in df.columns])
 
 
+def _swap_in(df: DataFrame, target: str) -> None:
+    """Replace the files under ``target`` once the new ones are complete.
+
+    They are written beside it. Until they are, and if that fails, the old table is
+    untouched; so ``df`` may read it. The swap is two renames: if it is cut
+    between them, the old table is whole in the folder named ``.old-``.
+    """
+    spark = df.sparkSession
+    target = target.rstrip("/")
+    mark = uuid.uuid4().hex
+    files, here = file_system(spark, target)
+    _, new = file_system(spark, f"{target}.new-{mark}")
+    _, old = file_system(spark, f"{target}.old-{mark}")
+    try:
+        df.write.parquet(new.toString())
+    except Exception:
+        files.delete(new, True)
+        raise
+    if files.exists(here) and not files.rename(here, old):
+        raise OSError(f"cannot move {target}")
+    if not files.rename(new, here):
+        files.rename(old, here)
+        raise OSError(f"cannot replace {target}")
+    files.delete(old, True)
+    spark.catalog.refreshByPath(target)
+
+
 def save_retail(df: DataFrame, target: str, mode: str = "ignore") -> None:
     """Store a table as Parquet under a path or a catalog name.
 
-    ``ignore`` keeps a table that exists; ``overwrite`` rebuilds it.
+    ``ignore`` keeps a table that exists; ``overwrite`` rebuilds it. A path may be
+    overwritten by rows that come from it; a catalog table refuses that.
     """
-    if _is_path(target):
+    if not _is_path(target):
+        df.write.mode(mode).format("parquet").saveAsTable(target)
+    elif mode == "overwrite":
+        _swap_in(df, target)
+    else:
         df.write.mode(mode).parquet(target)
+
+
+def _quoted(table: str) -> str:
+    return ".".join(f"`{part}`" for part in table.split("."))
+
+
+def retype_table(spark: SparkSession, target: str) -> None:
+    """Turn the text invoice dates of a stored table into timestamps, in place.
+
+    A date that is none is an error and leaves the table as it was. A table
+    that is typed already is left alone, so the step can be repeated. A catalog table
+    is built under another name and takes the old one's place when complete.
+    """
+    stored = read_retail(spark, target)
+    if not isinstance(stored.schema["invoicedate"].dataType, T.StringType):
+        return
+    typed = with_invoice_timestamp(stored)
+    if _is_path(target):
+        save_retail(typed, target, mode="overwrite")
+        return
+    mark = uuid.uuid4().hex
+    made, before = f"{target}_new_{mark}", f"{target}_old_{mark}"
+    try:
+        save_retail(typed, made, mode="errorifexists")
+    except Exception:
+        drop_retail(spark, made)
+        raise
+    spark.sql(f"ALTER TABLE {_quoted(target)} RENAME TO {_renamed(before)}")
+    spark.sql(f"ALTER TABLE {_quoted(made)} RENAME TO {_renamed(target)}")
+    drop_retail(spark, before)
+
+
+def _renamed(table: str) -> str:
+    """The new name of a table as RENAME takes it: without the session catalog."""
+    return _quoted(table.removeprefix("spark_catalog."))
+
+
+def open_or_create(spark: SparkSession, target: str, build) -> DataFrame:
+    """Open a stored table; where there is none yet, store what ``build()`` gives first.
+
+    Reports then read one stored table instead of repeating the work behind it.
+    """
+    if _is_path(target):
+        files, folder = file_system(spark, target)
+        stored = files.exists(folder)
     else:
-        df.write.mode(mode).format("parquet").saveAsTable(target)
+        stored = spark.catalog.tableExists(target)
+    if not stored:
+        save_retail(build(), target)
+    return read_retail(spark, target)
 
 
 def drop_retail(spark: SparkSession, table: str) -> None:
     """Drop a catalog table if it exists."""
-    quoted = ".".join(f"`{part}`" for part in table.split("."))
-    spark.sql(f"DROP TABLE IF EXISTS {quoted}")
+    spark.sql(f"DROP TABLE IF EXISTS {_quoted(table)}")
