@@ -20,8 +20,10 @@ from tillroll.operators.orders import (
     invoice_bucket_counts,
     invoice_bucket_share,
     invoice_buckets,
+    invoice_grain,
 )
 from tillroll.operators.products import (
+    distinct_country_lines,
     top_lines_by_country,
     top_lines_by_quantity,
     top_products,
@@ -52,12 +54,14 @@ __all__ = [
     "customer_quartiles",
     "customer_revenue",
     "date_range",
+    "distinct_country_lines",
     "distinct_invoices",
     "distinct_lines",
     "exact_ntile",
     "invoice_bucket_counts",
     "invoice_bucket_share",
     "invoice_buckets",
+    "invoice_grain",
     "month_over_month",
     "monthly_revenue",
     "pct_of_total",

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillroll.functions import divide_rounded, rounded_revenue_sum
+from tillroll.functions import (
+    divide_rounded,
+    exact_revenue_sum,
+    month_start,
+    rounded_revenue_sum,
+)
 from tillroll.operators.quality import clean_sales
 from tillroll.operators.windows import pct_of_total
 from tillroll.schema import INVOICE_BUCKETS
@@ -66,3 +71,25 @@ def invoice_bucket_share(df: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("bucket_count"))
     )
     return pct_of_total(counts, "bucket_count")
+
+
+# Wide for the money of one invoice; leaves room for a quantity beside it.
+_INVOICE_VALUE = "decimal(28,4)"
+
+
+def invoice_grain(df: DataFrame) -> DataFrame:
+    """Clean revenue by invoice, customer, country and month, shaped as lines.
+
+    Each row is one unit at a price that is the exact sum, so every report on revenue
+    by month, country, invoice or customer gives the same result on it as on the
+    lines: sums of sums are exact, and rounding comes after. Country counts of invoices
+    are kept as well. What is below a line's level (products, quantities) is gone.
+    """
+    total = exact_revenue_sum(df).cast(_INVOICE_VALUE).alias("unitprice")
+    month = month_start(F.col("invoicedate")).cast("timestamp_ntz").alias("invoicedate")
+    return (
+        clean_sales(df)
+        .groupBy("invoiceno", "customerid", "country", month)
+        .agg(total)
+        .withColumn("quantity", F.lit(1).cast("bigint"))
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillroll.functions import rounded_revenue_sum
 from tillroll.operators.explore import distinct_lines, top_k
@@ -15,18 +15,26 @@ from tillroll.session import freeze
 def top_lines_by_quantity(df: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` largest distinct single lines with a price.
 
-    Each quantity in use belongs to at least one distinct line, so the answer
-    lies within the ``n`` largest quantities. Those are found first, in a pass
-    over one column with a small shuffle, and only the lines that reach them
-    are de-duplicated, instead of shuffling the whole table for ``n`` rows.
+    Each quantity in use belongs to at least one distinct line, and so does each
+    product's largest. So the answer lies within the ``n`` largest quantities, and also
+    at or above the ``n``-th largest of the products' largest ones. Both bounds are
+    found first, in passes over one and two columns with small shuffles, and only
+    the lines that reach the greater are de-duplicated, instead of shuffling the
+    whole table for ``n`` rows.
     """
     priced = df.filter(F.col("unitprice") != 0)
-    quantities = priced.select("quantity").distinct()
-    smallest = top_k(quantities, ["-quantity"], n).agg(
-        # NULL if there are fewer than n quantities to be had: keep every line.
-        F.when(F.count("quantity") == n, F.min("quantity"))
+
+    def nth_largest(quantities: DataFrame) -> Column:
+        # NULL if there are fewer than n to be had.
+        reached = F.when(F.count("quantity") == n, F.min("quantity"))
+        return top_k(quantities, ["-quantity"], n).agg(reached).scalar()
+
+    of_all = nth_largest(priced.select("quantity").distinct())
+    of_products = nth_largest(
+        priced.groupBy("stockcode").agg(F.max("quantity").alias("quantity")).select("quantity")
     )
-    large_enough = F.coalesce(F.col("quantity") >= smallest.scalar(), F.lit(True))
+    # With neither bound every line is kept.
+    large_enough = F.coalesce(F.col("quantity") >= F.greatest(of_all, of_products), F.lit(True))
     lines = distinct_lines(
         priced.filter(large_enough), ["stockcode", "description", "quantity", "unitprice"]
     )
@@ -51,16 +59,25 @@ def top_products(df: DataFrame, n: int = 10) -> DataFrame:
     return top_k(totals, ["-total_quantity_sold", "stockcode", "description"], n)
 
 
-def top_lines_by_country(df: DataFrame, n: int = 3) -> DataFrame:
+_COUNTRY_LINE = ("stockcode", "description", "quantity", "country")
+
+
+def distinct_country_lines(df: DataFrame) -> DataFrame:
+    """The distinct clean lines that ``top_lines_by_country`` ranks."""
+    return clean_sales(df).select(*_COUNTRY_LINE).distinct()
+
+
+def top_lines_by_country(df: DataFrame, n: int = 3, distinct: bool = False) -> DataFrame:
     """Distinct single lines with the ``n`` top ranks by quantity per country.
 
     Those lines hold one of their country's ``n`` largest quantities. A first
-    job finds these pairs and stores them, so that Spark knows their size when
-    it plans the rest: it broadcasts them if they are small, as they are for
-    any real list of countries, and joins by shuffle if not. Only the lines
-    that match are then de-duplicated and ranked.
+    job, run when this is called, finds these pairs and stores them, so that Spark
+    knows their size when it plans the rest: it broadcasts them if they are small, as
+    they are for any real list of countries, and joins by shuffle if not. Only
+    the lines that match are then de-duplicated and ranked. ``distinct`` says that ``df``
+    is the result of ``distinct_country_lines`` already.
     """
-    lines = clean_sales(df).select("stockcode", "description", "quantity", "country")
+    lines = df if distinct else clean_sales(df).select(*_COUNTRY_LINE)
     largest_first = Window.partitionBy("country").orderBy(F.col("quantity").desc())
     largest = freeze(
         lines.select("country", "quantity")
@@ -73,9 +90,8 @@ def top_lines_by_country(df: DataFrame, n: int = 3) -> DataFrame:
     matches = F.col("country").eqNullSafe(F.col("_country")) & (
         F.col("quantity") == F.col("_quantity")
     )
-    return top_ranked(
-        lines.join(largest, matches, "left_semi").distinct(), "country", "quantity", n
-    )
+    found = lines.join(largest, matches, "left_semi")
+    return top_ranked(found if distinct else found.distinct(), "country", "quantity", n)
 
 
 def top_products_by_country(df: DataFrame, n: int = 3, method: str = "rank") -> DataFrame:

@@ -10,15 +10,17 @@ from pyspark.sql import types as T
 
 from tillroll import operators as ops
 from tillroll.functions import as_invoice_text, order_columns
-from tillroll.schema import COLUMNS, CSV_ENCODING
+from tillroll.schema import COLUMNS
 from tillroll.session import freeze, remove_at_exit, scratch_path
 from tillroll.sources import (
     read_extract,
     read_retail,
     read_retail_csv,
+    retype_table,
     save_retail,
     star_sales,
     write_extracts,
+    write_retail_csv,
 )
 
 Report = Callable[[DataFrame], DataFrame]
@@ -48,16 +50,23 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def load_csv(df: DataFrame) -> DataFrame:
-    """Write an extract, load it, repair its dates, and store the table."""
+    """Write an extract, load it, repair its dates, and store the table; runs when called."""
     spark = df.sparkSession
     path = scratch_path(spark, "csv")
-    _raw(df).write.csv(path, header=True, encoding=CSV_ENCODING, escape='"')
+    write_retail_csv(_raw(df), path)
     remove_at_exit(spark, path)
-    return _stored(ops.with_invoice_timestamp(read_retail_csv(spark, path)), "retail")
+    loaded = read_retail_csv(spark, path, multi_line=True, empty_is_null=False)
+    return _stored(ops.with_invoice_timestamp(loaded), "retail")
 
 
 def retype_invoice_date(df: DataFrame) -> DataFrame:
-    return _stored(ops.with_invoice_timestamp(_raw(df)), "retyped")
+    """Store the table with text dates, then retype it in place; runs when called."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "retyped")
+    save_retail(_raw(df), path)
+    remove_at_exit(spark, path)
+    retype_table(spark, path)
+    return read_retail(spark, path)
 
 
 def parse_invoice_dates(df: DataFrame) -> DataFrame:
@@ -88,7 +97,7 @@ EXTRACT_ORDER = {"country_revenue": _REVENUE_ORDER}
 
 
 def export_extract(df: DataFrame) -> DataFrame:
-    """Write the dashboard extracts as CSV and list what the files hold.
+    """Write the dashboard extracts as CSV and list what the files hold; runs when called.
 
     One row per extract, key and measure; the key is the first column.
     """
@@ -141,7 +150,7 @@ REPORTS: dict[str, Report] = {
         ops.revenue_by_country(df, "positive"), _REVENUE_ORDER
     ),
     "revenue_by_country_clean": lambda df: _sorted(ops.revenue_by_country(df, "clean"), _REVENUE_ORDER),
-    "monthly_revenue": lambda df: ops.monthly_revenue(df).orderBy("month"),
+    "monthly_revenue": lambda df: _sorted(ops.monthly_revenue(df), ("month",)),
     "best_worst_month": lambda df: ops.best_worst_month(ops.monthly_revenue(df)),
     "running_total": lambda df: ops.running_total(ops.monthly_revenue(df)),
     "month_over_month": lambda df: ops.month_over_month(ops.monthly_revenue(df)),
@@ -183,14 +192,16 @@ def publish(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-# Reports that go through all clean rows more than once, with the columns they
-# use. A view repeats its joins each time it is read, so these get the rows
-# they need stored first. A caller with a stored table passes it as it is.
-# (The largest lines are read twice too, but the second time cut down in the
-# line scan, before any join.)
-SEVERAL_READS = {
-    "top_lines_by_country": [c for c in COLUMNS if c != "invoicedate"],
-    "export_extract": [c for c in COLUMNS if c not in ("stockcode", "description")],
+# Reports that read what they need more than once: what is stored for them, and the
+# report on that. A view repeats its joins each time it is read. (The largest
+# lines are read twice too, but the second time cut down in the line scan, before
+# any join.)
+SEVERAL_READS: dict[str, tuple[Report, Report]] = {
+    "top_lines_by_country": (
+        ops.distinct_country_lines,
+        lambda lines: ops.top_lines_by_country(lines, distinct=True),
+    ),
+    "export_extract": (ops.invoice_grain, export_extract),
 }
 
 
@@ -198,5 +209,6 @@ def run_report(name: str, spark: SparkSession, folder: str) -> DataFrame:
     """One report over the star tables in ``folder``."""
     sales = star_sales(spark, folder)
     if name in SEVERAL_READS:
-        sales = freeze(ops.clean_sales(sales).select(*SEVERAL_READS[name]), name)
+        prepare, report = SEVERAL_READS[name]
+        return publish(report(freeze(prepare(sales), name)))
     return publish(REPORTS[name](sales))
