@@ -1,0 +1,160 @@
+"""The classifiers: held-out accuracy, the methods' own laws, and edge rows."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from edge_rows import TEXTS, documents, no_documents, small  # noqa: F401
+
+from tillroll.llm import quality, toxicity
+from tillroll.llm.common import bounded_sample
+from tillroll.llm.queries import QUERIES
+
+LABELS = "doc_id bigint, quality int, toxic int, extra string"
+
+
+def auc(good, bad):
+    good, bad = np.asarray(good)[:, None], np.asarray(bad)[None]
+    return float((good > bad).mean() + 0.5 * (good == bad).mean())
+
+
+def test_pairwise_form_equals_the_sum_over_pairs():
+    random = np.random.default_rng(0)
+    buckets = np.sort(random.choice(1000, 40, replace=False)).astype(np.int32)
+    model = toxicity.FactorizationMachine(
+        buckets, 0.3, random.normal(size=40), random.normal(size=(40, 4))
+    )
+    for _ in range(20):
+        present = np.unique(random.choice(1000, 60).astype(np.int32))
+        at = [i for i, b in enumerate(buckets) if b in set(present.tolist())]
+        slow = 0.3 + sum(model.linear[i] for i in at) + sum(
+            model.factors[i] @ model.factors[j] for n, i in enumerate(at) for j in at[n + 1 :]
+        )
+        assert model.margin(present) == pytest.approx(slow)
+    assert model.margin(np.empty(0, np.int32)) == 0.3
+
+
+def test_interactions_are_learnt_that_weights_cannot_express():
+    # Toxic where exactly both or neither of two terms are met: no linear rule.
+    encode, texts = toxicity.TermEncoder(), ["aa cc", "bb cc", "aa bb cc", "cc dd"] * 60
+    y = np.array([0, 0, 1, 1] * 60, float)
+    rows = [encode(t) for t in texts]
+    model = toxicity.fit(rows, y, least_z=0.0, epochs=300)
+    margins = [model.margin(encode(t)) for t in texts[:4]]
+    assert max(margins[:2]) < 0 < min(margins[2:])
+
+
+def test_toxicity_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = QUERIES["op1_factorization_toxicity"](spark, folder).collect()
+    assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+    held = [(labels[r.doc_id], r.score) for r in rows if r.held_out and r.doc_id in labels]
+    assert auc([s for y, s in held if y], [s for y, s in held if not y]) >= 0.9
+
+
+def test_held_out_labels_are_never_seen(spark):
+    docs = documents(spark, [(i, f"word{i % 7} text", "a") for i in range(60)], ())
+    both = [
+        spark.createDataFrame(
+            [
+                (i, 1, int(i % 2 == 0) if zlib.crc32(str(i).encode()) % 5 else flip, "")
+                for i in range(60)
+            ],
+            LABELS,
+        )
+        for flip in (0, 1)
+    ]
+    a, b = (toxicity.fit_toxicity(docs, labels) for labels in both)
+    assert a.bias == b.bias and np.array_equal(a.linear, b.linear)
+
+
+def test_toxicity_of_edge_rows(spark):
+    labels = spark.createDataFrame(
+        [(1, 1, 1, ""), (2, 1, 0, ""), (2, 1, 1, ""), (None, 1, 1, ""), (3, None, None, "")], LABELS
+    )
+    model = toxicity.fit_toxicity(documents(spark), labels)
+    rows = toxicity.score_toxicity(documents(spark), model).collect()
+    assert len(rows) == len(TEXTS) and all(0 <= r.score <= 1 for r in rows)
+    same = {r.score for r in rows if r.doc_id in (3, 4)}
+    assert len(same) == 1
+    assert toxicity.score_toxicity(no_documents(spark), model).collect() == []
+    nothing = toxicity.fit_toxicity(no_documents(spark), labels)
+    assert toxicity.score_toxicity(documents(spark), nothing).count() == len(TEXTS)
+
+
+def test_thresholds_stay_in_order_and_tails_fall():
+    random = np.random.default_rng(3)
+    at = [np.array([g, 10 + random.integers(20)], np.int32) for g in range(4) for _ in range(50)]
+    rows = [(np.unique(a), np.ones(len(np.unique(a)), np.float32)) for a in at]
+    grades = np.repeat(np.arange(4), 50)
+    model = quality.fit_ordinal(rows, grades, top=3)
+    assert np.all(np.diff(model.thresholds) > 0)
+    expected = [model.tails(*r).sum() for r in rows]
+    assert all(np.all(np.diff(model.tails(*r)) <= 0) for r in rows)
+    means = [np.mean([e for e, g in zip(expected, grades) if g == k]) for k in range(4)]
+    assert means == sorted(means) and means[3] - means[0] > 1.5
+
+
+def test_the_gradient_is_that_of_the_likelihood():
+    # One step on one row moves its own probability up.
+    at, value = np.array([3], np.int32), np.ones(1, np.float32)
+    for grade in range(3):
+        one = quality.fit_ordinal([(at, value)], np.array([grade]), 2, epochs=0)
+        more = quality.fit_ordinal([(at, value)], np.array([grade]), 2, epochs=5)
+
+        def mass(model):
+            tails = np.concatenate([[1.0], model.tails(at, value), [0.0]])
+            return tails[grade] - tails[grade + 1]
+
+        assert mass(more) > mass(one)
+
+
+def test_quality_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    ratings = quality.graded(labels)
+    model = quality.fit_quality(docs, ratings.filter("doc_id % 4 <> 0"))
+    grades = {r.doc_id: r.grade for r in ratings.filter("doc_id % 4 = 0").collect()}
+    rows = {r.doc_id: r for r in quality.score_quality(docs, model).collect()}
+    good = [rows[i].tail for i, g in grades.items() if g > 0]
+    assert auc(good, [rows[i].tail for i, g in grades.items() if g == 0]) >= 0.85
+    assert np.mean([t >= 0.5 for t in good]) >= 0.98
+    kept = {r.doc_id for r in quality.select_quality(docs, model).collect()}
+    assert kept == {i for i, r in rows.items() if r.kept}
+
+
+def test_quality_of_edge_rows(spark):
+    docs = documents(spark)
+    ratings = spark.createDataFrame([(1, 2), (4, 0), (6, 1), (99, 0)], "doc_id bigint, grade int")
+    model = quality.fit_quality(docs, ratings)
+    rows = quality.score_quality(docs, model).collect()
+    assert len(rows) == len(TEXTS)
+    assert all(0 <= r.tail <= r.expected_grade <= 2 for r in rows)
+    kept = quality.select_quality(docs, model)
+    assert kept.schema.names == docs.schema.names
+    assert kept.count() == sum(r.kept for r in rows)
+    empty = quality.fit_quality(no_documents(spark), ratings)
+    assert quality.select_quality(no_documents(spark), empty).collect() == []
+
+
+def test_grades(spark):
+    labels = spark.createDataFrame(
+        [(1, 0, 1, ""), (2, 1, 1, ""), (3, 1, 0, ""), (3, 0, 0, ""), (4, 1, None, ""), (5, None, 0, "")],
+        LABELS,
+    )
+    assert {tuple(r) for r in quality.graded(labels).collect()} == {(1, 0), (2, 1), (3, 0), (4, 2)}
+
+
+def test_samples_are_bounded_and_the_same_for_every_layout(spark):
+    df = spark.range(5000)
+    one = {r.id for r in bounded_sample(df.repartition(7), "id", 100).collect()}
+    two = {r.id for r in bounded_sample(df.coalesce(1), "id", 100).collect()}
+    assert one == two and len(one) == 100
+    assert bounded_sample(spark.range(30), "id", 100).count() == 30

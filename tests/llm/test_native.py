@@ -1,0 +1,158 @@
+"""Mixing and sharding: their laws, SQL, and edge rows."""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from edge_rows import TEXTS, documents, no_documents, small  # noqa: F401
+from oracle_check import connect, differences
+from pyspark.sql import functions as F
+
+from tillroll.llm import mixing, sharding
+from tillroll.llm.queries import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    path = "/root/testdata/sf0.01"
+    found = QUERIES[name](spark, path).toArrow()
+    assert differences(found, connect(path).sql(ORACLE_SQL[name]).to_arrow_table()) == []
+
+
+@pytest.mark.parametrize("name", ["op2_curriculum_mixing", "op3_rendezvous_sharding"])
+def test_no_python_on_the_main_path(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def water(sizes: dict, weights: dict, share=1.5, ceiling=2.0):
+    """Targets by resharing, round after round."""
+    target, open_, left = {}, set(sizes), share * sum(sizes.values())
+    while True:
+        unit = left / sum(weights[s] for s in open_) if open_ else 0.0
+        full = {s for s in open_ if ceiling * sizes[s] < weights[s] * unit}
+        if not full:
+            return target | {s: weights[s] * unit for s in open_}
+        for s in full:
+            target[s] = ceiling * sizes[s]
+            left -= target[s]
+        open_ -= full
+
+
+def sized(rows):
+    words = re.compile(r"[^\x20\x09-\x0D]+")
+    return [(i, len(words.findall(t or "")), s) for i, t, s in rows]
+
+
+CASES = {
+    "edge rows": TEXTS,
+    "one source": [(i, "a b c", "x") for i in range(5)],
+    "all empty": [(1, "", "x"), (2, None, "y")],
+    "hot": [(i, "w " * (i % 9), "x" if i % 3 else f"s{i % 11}") for i in range(400)],
+    "capped": [(1, "a", "a"), (2, "b " * 50, "b"), (3, "c " * 500, "c"), (4, "d " * 3, "d")],
+    "alike": [(7, "same row", "x")] * 50 + [(8, "other words here", "y")] * 3,
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_mix_meets_the_targets(spark, case):
+    rows = sized(CASES[case])
+    sizes: dict = defaultdict(int)
+    for _, n, s in rows:
+        sizes[s] += n
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    target = water(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)})
+    found = mixing.mix(documents(spark, CASES[case])).collect()
+    assert Counter((r.doc_id, r["size"], r.source) for r in found) == Counter(rows)
+    taken: dict = defaultdict(int)
+    for r in found:
+        assert r.source_size == sizes[r.source]
+        assert r.target == pytest.approx(target[r.source])
+        assert 0 <= r.taken <= 2 * r["size"]
+        for position, read in ((r.position, r.taken > 0), (r.second_position, r.taken > r["size"])):
+            assert (position is not None) == read and 0 <= (position or 0) <= 1
+        taken[r.source] += r.taken
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= 0.5
+    assert sum(taken.values()) == pytest.approx(1.5 * sum(sizes.values()), abs=len(sizes))
+
+
+def test_schedule_is_inverted(spark):
+    for start, end in ((0.5, 1.5), (1.0, 1.0), (1.5, 0.5), (0.0, 2.0), (2.0, 0.0)):
+        df = spark.range(101).select((F.col("id") / 100).alias("t"))
+        met = F.lit(start) * F.col("t") + (F.lit(end) - F.lit(start)) * F.col("t") ** 2 / 2
+        again = mixing.schedule_position(met / ((start + end) / 2), F.lit(start), F.lit(end))
+        for r in df.select("t", again.alias("again")).collect():
+            assert r.again == pytest.approx(r.t, abs=1e-7)
+
+
+def test_mixed_documents_are_what_the_plan_says(spark):
+    for case in ("edge rows", "alike"):
+        docs = documents(spark, CASES[case])
+        made = mixing.mixed_documents(docs)
+        assert made.schema.names == docs.schema.names
+        words = sum(n for _, n, _ in sized([(r.doc_id, r.text, r.source) for r in made.collect()]))
+        plan = mixing.mix(docs).collect()
+        assert words == sum(r.taken for r in plan)
+        copies = sum((r.taken > 0) + (r.taken > r["size"]) for r in plan)
+        assert made.count() == copies
+    assert mixing.mixed_documents(no_documents(spark)).collect() == []
+    assert mixing.mix(no_documents(spark)).collect() == []
+
+
+def test_a_cut_reading_is_a_prefix(spark):
+    text = "  one\ttwo\n\nthree four  "
+    docs = documents(spark, [(1, text, "a"), (2, "a b c d e f g", "b")], ())
+    for r in mixing.mixed_documents(docs).collect():
+        assert text.startswith(r.text) or "a b c d e f g".startswith(r.text)
+
+
+def test_mix_does_not_depend_on_the_layout(spark):
+    docs = documents(spark, CASES["hot"])
+    rows = [
+        sorted(map(str, mixing.mix(d).select("doc_id", "taken", "position").collect()))
+        for d in (docs.coalesce(1), docs.repartition(9))
+    ]
+    assert rows[0] == rows[1]
+
+
+@pytest.mark.parametrize("case", ["edge rows", "alike"])
+def test_slots_are_gapless_and_sizes_right(spark, case):
+    rows = sharding.shard_records(documents(spark, CASES[case])).collect()
+    shards = defaultdict(list)
+    for r in rows:
+        shards[r.shard].append(r.slot)
+        assert r.law == "key" and r.grown_shard in (r.shard, 16)
+    assert all(sorted(s) == list(range(len(s))) for s in shards.values())
+    expected = Counter(
+        (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in CASES[case]
+    )
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == expected
+    assert sharding.shard_records(no_documents(spark)).collect() == []
+
+
+def test_shards_follow_their_weights_and_few_keys_move(spark):
+    keys = spark.range(20_000)
+    weights = [1.0, 1.0, 2.0, 4.0]
+    rows = keys.select(
+        "id",
+        sharding.rendezvous(F.col("id"), weights).alias("a"),
+        sharding.rendezvous(F.col("id"), [*weights, 2.0]).alias("b"),
+    ).collect()
+    counts = Counter(r.a for r in rows)
+    for shard, weight in enumerate(weights):
+        expected = 20_000 * weight / sum(weights)
+        assert abs(counts[shard] - expected) < 5 * math.sqrt(expected)
+    assert all(r.b in (r.a, 4) for r in rows)
+    moved = sum(r.b == 4 for r in rows)
+    assert abs(moved - 4_000) < 5 * math.sqrt(4_000)
+
+
+@pytest.mark.parametrize("weights", [(), (1.0, 0.0), (-1.0,)])
+def test_bad_weights(spark, weights):
+    with pytest.raises(ValueError):
+        sharding.shard_records(documents(spark), weights)

@@ -124,3 +124,19 @@ def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     if rows > 2 * limit:
         df = df.filter(place < F.lit(max(1, 2 * limit * _HASH_RANGE // rows)))
     return df.orderBy(place, F.col(key)).limit(limit)
+
+
+def set_aside(df: DataFrame, roles: dict[str, str]) -> tuple[DataFrame, Callable]:
+    """Give columns names that clash with none of an operator's own.
+
+    ``roles`` maps the name an operator uses to the caller's. All other columns are
+    numbered. The second result puts the columns of ``df`` back in order and name.
+    """
+    own = {theirs: ours for ours, theirs in roles.items()}
+    names = [own.get(name, f"aside_{i}") for i, name in enumerate(df.columns)]
+    before = df.columns
+
+    def restored(made: DataFrame) -> DataFrame:
+        return made.select(*names).toDF(*before)
+
+    return df.toDF(*names), restored

@@ -61,7 +61,8 @@ def training_rows(
     broadcast and its features collected. ``start`` gives ``text -> bytes``.
     """
     wanted = F.broadcast(sample.select(F.col(id_col).alias("_id"), F.col(target).alias("_target")))
-    rows = docs.join(wanted, F.col(id_col) == F.col("_id")).select("_id", "_target", text_col)
+    texts = docs.select(id_col, text_col)
+    rows = texts.join(wanted, F.col(id_col) == F.col("_id")).select("_id", "_target", text_col)
 
     def encoder():
         encode = start()

@@ -85,7 +85,7 @@ def _with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     @F.pandas_udf("int")
     def place(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(-cuts[::-1], -key.to_numpy(), side="left"))
+        return pd.Series(len(cuts) - np.searchsorted(cuts, key.to_numpy(), side="left"))
 
     placed = rows.withColumn("_range", place("_key"))
     firsts = sorted(placed.groupBy("_range").agg(F.max("_key").alias("_key")).collect())

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillroll.llm.common import SPACE, WORD, ordered_blocks, running_totals
+from tillroll.llm.common import SPACE, WORD, ordered_blocks, running_totals, set_aside
 from tillroll.session import freeze
 
 #: Base weights of the sources in code-point order, repeating.
@@ -162,7 +162,9 @@ def mixed_documents(
     than the document has is cut after them. Other columns are as they were. Rows
     that repeat are told apart by number, where there are any.
     """
-    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    roles = {"doc_id": id_col, "text": text_col, "source": source_col}
+    docs, restored = set_aside(docs, roles)
+    plan = mix(docs, **options)
     read = plan.filter(F.col("taken") > 0)
     first = F.least("taken", "size")
     readings = F.filter(
@@ -175,34 +177,32 @@ def mixed_documents(
         ),
         lambda r: r["position"].isNotNull() & (r["words"] > 0),
     )
-    rows = docs.withColumns({"_hash": F.xxhash64(text_col), "_number": F.lit(0)})
+    rows = docs.withColumns({"_hash": F.xxhash64("text"), "_number": F.lit(0)})
     read = read.select(
-        F.col(id_col).alias("_id"), F.col("text_hash").alias("_text_hash"),
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"),
         F.lit(0).alias("_which"), "size", readings.alias("_readings"),
     )
-    alike = plan.groupBy(id_col, "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    alike = plan.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     if not alike.filter("rows > 1").isEmpty():
         # Those that are read come first among their like.
         most_read = F.size("_readings").desc()
         which = Window.partitionBy("_id", "_text_hash").orderBy(most_read)
         rows = rows.withColumn(
-            "_number", F.row_number().over(Window.partitionBy(id_col, "_hash").orderBy(F.lit(0)))
+            "_number", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.lit(0)))
         )
         read = read.withColumn("_which", F.row_number().over(which))
     same = (
-        F.col(id_col).eqNullSafe(F.col("_id"))
+        F.col("doc_id").eqNullSafe(F.col("_id"))
         & (F.col("_hash") == F.col("_text_hash"))
         & (F.col("_number") == F.col("_which"))
     )
     made = rows.join(read, same).withColumn("_reading", F.explode("_readings"))
-    words = F.regexp_extract_all(
-        text_col, F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0)
-    )
+    words = F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(words, 1, F.col("_reading.words").cast("int")), "")
     shorter = F.col("_reading.words") < F.col("size")
-    made = made.withColumn(text_col, F.when(shorter, cut).otherwise(F.col(text_col)))
-    by = [F.col("_reading.position").asc_nulls_last(), F.col(id_col).asc_nulls_last()]
-    return made.repartitionByRange(*by).sortWithinPartitions(*by).select(*docs.columns)
+    made = made.withColumn("text", F.when(shorter, cut).otherwise(F.col("text")))
+    by = [F.col("_reading.position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
+    return restored(made.repartitionByRange(*by).sortWithinPartitions(*by))
 
 
 def by_position(readings: DataFrame, *keys: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillroll.llm.common import set_aside
 from tillroll.session import freeze
 
 #: Fixed patterns, in the order in which kinds are listed.
@@ -305,10 +306,11 @@ def sanitise(
     removed. Of overlapping spans the first names the whole. All columns are kept; only
     the text changes, and a null text stays null.
     """
-    spans = personal_data(docs, least_together, disclosure, id_col, text_col)
+    docs, restored = set_aside(docs, {"doc_id": id_col, "text": text_col})
+    spans = personal_data(docs, least_together, disclosure)
     marked = (
         spans.filter((F.size("base") > 0) | (F.size("terms") > 0))
-        .select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "base", "terms")
+        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "base", "terms")
         .dropDuplicates(["_id", "_hash"])
         .withColumn(
             "_spans",
@@ -324,7 +326,7 @@ def sanitise(
         )
         .select("_id", "_hash", "_spans")
     )
-    text = F.col(text_col)
+    text = F.col("text")
 
     def between(start: Column, end: Column) -> Column:
         return F.substring(text, start + 1, F.greatest(F.lit(0), end - start))
@@ -348,11 +350,8 @@ def sanitise(
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
     done = F.aggregate("_spans", start, step)
     clean = F.concat(done["text"], between(done["at"], F.length(text)))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (
         F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash")
     )
-    return (
-        docs.join(marked, same, "left")
-        .withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(clean))
-        .select(*docs.columns)
-    )
+    made = docs.join(marked, same, "left")
+    return restored(made.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(clean)))

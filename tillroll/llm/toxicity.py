@@ -90,9 +90,9 @@ def _informative(rows: list[np.ndarray], y: np.ndarray, keep: int, least_z: floa
     share = (total + 1.0) / (toxic + clean + 2.0)
     error = np.sqrt(share * (1 - share) * (1 / toxic + 1 / clean))
     z = np.abs(hits / toxic - (total - hits) / clean) / error
-    z[(total < 3) | (z < least_z)] = 0.0
+    z[total < 3] = -1.0
     best = np.argsort(-z, kind="stable")[:keep]
-    return np.sort(best[z[best] > 0]).astype(np.int32)
+    return np.sort(best[z[best] >= max(0.0, least_z)]).astype(np.int32)
 
 
 def fit(
@@ -100,6 +100,7 @@ def fit(
     y: np.ndarray,
     factors: int = FACTORS,
     keep: int = KEPT_BUCKETS,
+    least_z: float = LEAST_Z,
     epochs: int = 60,
     rate: float = 0.1,
     shrink: float = 1e-3,
@@ -111,7 +112,7 @@ def fit(
     """
     positive = (float(y.sum()) + 0.5) / (len(y) + 1.0)
     bias = float(np.log(positive / (1 - positive)))
-    kept = _informative(rows, y, keep, LEAST_Z) if 0 < y.sum() < len(y) else np.empty(0, np.int32)
+    kept = _informative(rows, y, keep, least_z) if 0 < y.sum() < len(y) else np.empty(0, np.int32)
     random = np.random.default_rng(7)
     w = np.zeros(len(kept))
     v = random.normal(0.0, 0.05, (len(kept), factors))
