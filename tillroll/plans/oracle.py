@@ -12,14 +12,18 @@ SALES_SQL = """
                     THEN concat('C', CAST(o_orderkey AS VARCHAR))
                     ELSE CAST(o_orderkey AS VARCHAR) END AS invoiceno,
                CAST(l_partkey AS VARCHAR) AS stockcode,
-               p_name AS description,
+               CASE WHEN l_partkey % 50 = 3 THEN concat(' ', p_name, ' ')
+                    WHEN l_partkey % 50 = 4 THEN concat('"', p_name, '", X')
+                    WHEN l_partkey % 50 = 5 THEN NULL ELSE p_name END AS description,
                CASE WHEN (l_returnflag = 'R' AND o_orderkey % 10 = 3) OR o_orderkey % 97 = 5
                     THEN -CAST(l_quantity AS BIGINT)
                     ELSE CAST(l_quantity AS BIGINT) END AS quantity,
-               o_orderdate AS invoicedate,
-               CAST(CAST(CASE WHEN l_partkey % 200 = 1 THEN 0
-                              ELSE l_partkey % 997 + 50 END AS DECIMAL(10,0))
-                    * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(12,2)) AS unitprice,
+               CASE WHEN o_orderkey % 211 = 7 THEN NULL
+                    ELSE o_orderdate + to_minutes(o_orderkey % 1440) END AS invoicedate,
+               CASE WHEN l_partkey % 400 = 9 THEN CAST(0.0015 AS DECIMAL(12,4))
+                    ELSE CAST(CAST(CASE WHEN l_partkey % 200 = 1 THEN 0
+                                        ELSE l_partkey % 997 + 50 END AS DECIMAL(10,0))
+                              * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(12,4)) END AS unitprice,
                CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_custkey END AS customerid,
                n_name AS country
         FROM lineitem
@@ -44,8 +48,9 @@ _CTES = {
         FROM clean GROUP BY country""",
     "buckets": """
         SELECT bucket, count(*) AS n FROM (
-            SELECT CASE WHEN total < 200 THEN 'Small' WHEN total < 1000 THEN 'Medium'
-                        ELSE 'Large' END AS bucket
+            SELECT CASE WHEN total < 200 THEN 'Small'
+                        WHEN total >= 200 AND total < 1000 THEN 'Medium'
+                        WHEN total >= 1000 THEN 'Large' END AS bucket
             FROM (SELECT round(sum(value), 2) AS total FROM clean GROUP BY invoiceno))
         GROUP BY bucket""",
     "products": """

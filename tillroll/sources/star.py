@@ -35,6 +35,14 @@ def star_sales(spark: SparkSession, folder: str) -> DataFrame:
     returned = cancelled | (order_key % 97 == 5)
     units = F.col("l_quantity").cast("bigint")
     pennies = F.when(part_key % 200 == 1, F.lit(0)).otherwise(part_key % 997 + 50)
+    price = (pennies.cast("decimal(10,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(12,4)")
+    name = F.col("p_name")
+    description = (
+        F.when(part_key % 50 == 3, F.concat(F.lit(" "), name, F.lit(" ")))
+        .when(part_key % 50 == 4, F.concat(F.lit('"'), name, F.lit('", X')))
+        .when(part_key % 50 != 5, name)
+    )
+    minutes = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("o_orderkey") % 1440).cast("int"))
 
     lines = table("lineitem").join(table("part"), part_key == F.col("p_partkey"))
     customers = (
@@ -52,11 +60,11 @@ def star_sales(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(order_key.cast("string"))
         .alias("invoiceno"),
         part_key.cast("string").alias("stockcode"),
-        F.col("p_name").alias("description"),
+        description.alias("description"),
         F.when(returned, -units).otherwise(units).alias("quantity"),
-        F.col("o_orderdate").alias("invoicedate"),
-        (pennies.cast("decimal(10,0)") * F.lit("0.01").cast("decimal(3,2)"))
-        .cast("decimal(12,2)")
+        F.when(F.col("o_orderkey") % 211 != 7, F.col("o_orderdate") + minutes).alias("invoicedate"),
+        F.when(part_key % 400 == 9, F.lit("0.0015").cast("decimal(12,4)"))
+        .otherwise(price)
         .alias("unitprice"),
         F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey")).alias("customerid"),
         F.col("n_name").alias("country"),
