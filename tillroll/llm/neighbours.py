@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ SAMPLE_ROWS = 20_000
 CALIBRATION_QUERIES = 256
 BRANCHES = 8
 #: Rows a leaf should hold; deeper trees have more leaves, so visits stay in proportion.
-LEAF_ROWS = 1024
+LEAF_ROWS = 2048
 MOST_LEAVES = 4096
 RECALL = 0.95
 #: Rows of one task when a leaf is searched; larger leaves are split.
@@ -133,14 +134,13 @@ def _exact(query: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def _best(query_id, query, ids, x, rough, k):
-    """Top ``k`` of a block for one query, ties to the smaller id."""
-    if len(ids) > k:
-        bar = np.partition(rough, len(rough) - k)[len(rough) - k]
-        keep = np.flatnonzero(rough >= bar - 1e-9 * (1.0 + abs(bar)))
-    else:
-        keep = np.arange(len(ids))
-    keep = keep[ids[keep] != query_id]
+def _best(query_id, query, ids, x, rough, k, bar=-np.inf):
+    """Top ``k`` of a block for one query, none below ``bar``; ties to the smaller id."""
+    slack = 1e-9 * (1.0 + np.abs(rough).max(initial=0.0))
+    keep = np.flatnonzero((rough >= bar - slack) & (ids != query_id))
+    if len(keep) > k:
+        least = np.partition(rough[keep], len(keep) - k)[len(keep) - k]
+        keep = keep[rough[keep] >= least - slack]
     exact = _exact(query, x[keep])
     order = np.lexsort((ids[keep], -exact))[:k]
     return ids[keep][order], exact[order]
@@ -171,7 +171,7 @@ def _scan(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> D
                 own = part.column(0).to_numpy()
                 x = _matrix(part.column(1), width)
                 rough = queries @ x.T
-                rows = [_best(i, q, own, x, r, k + 1) for i, q, r in zip(ids, queries, rough)]
+                rows = [_best(i, q, own, x, r, k) for i, q, r in zip(ids, queries, rough)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(ids, [len(r[0]) for r in rows])),
@@ -207,8 +207,10 @@ def nearest(
     ``CALIBRATION_QUERIES`` of the queries the true neighbours are found over all
     rows; where those lie among the leaves, in the order in which the search visits
     them, gives the number of visits that reaches ``recall``. Each query then
-    searches so many leaves. A leaf with many rows, such as one of equal vectors, is
-    split into blocks of bounded size, and each gives its best ``k``.
+    searches so many leaves: the first few, about the root of that number, give it
+    ``k`` neighbours, and the others only what is no worse than the last of
+    those. A leaf with many rows, such as one of equal vectors, is split into blocks of
+    bounded size, and each gives its best ``k``.
 
     Returns ``query_id``, ``rank`` from 1, ``vec_id``, ``score`` (double precision on the
     vectors as given), and fewer rows where there are fewer candidates. A query is
@@ -265,17 +267,19 @@ def nearest(
             found = [shared.value.visit(q, visits) for q in _matrix(batch.column(1), width)]
             times = [len(f) for f in found]
             at = pa.array(np.repeat(np.arange(batch.num_rows), times))
+            turn = np.concatenate([np.arange(n) for n in times] or [[]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(at),
                     batch.column(1).take(at),
-                    pa.array(np.concatenate(found).astype(np.int32)),
+                    pa.array(np.concatenate(found or [[]]).astype(np.int32)),
+                    pa.array(turn),
                 ],
-                names=["query_id", "query", "leaf"],
+                names=["query_id", "query", "leaf", "turn"],
             )
 
     asked = queries.select("vec_id", "vector").mapInArrow(
-        ask, f"query_id bigint, query {element}, leaf int"
+        ask, f"query_id bigint, query {element}, leaf int, turn int"
     )
     sizes = placed.groupBy("leaf").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks")
@@ -289,7 +293,7 @@ def nearest(
     spread = (
         asked.join(F.broadcast(sizes), "leaf")
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("leaf", "block", "query_id", "query")
+        .select("leaf", "block", "query_id", "query", "turn")
     )
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -297,12 +301,13 @@ def nearest(
             return arrow.empty_table()
         ids, x = right["vec_id"].to_numpy(), _matrix(right["vector"], width)
         asking, q = left["query_id"].to_numpy(), _matrix(left["query"], width)
+        bars = left["bar"].to_numpy()
         hits = []
         for at in range(0, len(q), QUERY_BATCH):
             rough = q[at : at + QUERY_BATCH] @ x.T
             hits += [
-                _best(i, v, ids, x, r, k)
-                for i, v, r in zip(asking[at:], q[at : at + QUERY_BATCH], rough)
+                _best(i, v, ids, x, r, k, bar)
+                for i, v, r, bar in zip(asking[at:], q[at:], rough, bars[at:])
             ]
         return pa.table(
             {
@@ -314,9 +319,24 @@ def nearest(
         )
 
     arrow = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    found = (
-        spread.groupBy("leaf", "block")
-        .cogroup(members.groupBy("leaf", "block"))
-        .applyInArrow(search, _FOUND)
+
+    def searched(asking: DataFrame) -> DataFrame:
+        return (
+            asking.drop("turn")
+            .groupBy("leaf", "block")
+            .cogroup(members.groupBy("leaf", "block"))
+            .applyInArrow(search, _FOUND)
+        )
+
+    first = math.isqrt(max(0, visits - 1)) + 1
+    lowest = F.lit(float("-inf"))
+    near = freeze(
+        _top(searched(spread.filter(F.col("turn") < first).withColumn("bar", lowest)), k), "near"
+    ).select("query_id", "vec_id", "score")
+    bars = near.groupBy("query_id").agg(
+        F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(lowest).alias("bar")
     )
+    rest = spread.filter(F.col("turn") >= first).join(bars, "query_id", "left")
+    rest = rest.withColumn("bar", F.coalesce("bar", lowest))
+    found = near.union(searched(rest.select(*spread.columns, "bar")))
     return _top(found, k).select("query_id", "rank", "vec_id", "score")
