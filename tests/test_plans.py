@@ -7,6 +7,7 @@ import re
 import pytest
 
 from tillroll import operators as ops
+from tillroll.plans.reports import SEVERAL_READS
 from tillroll.sources import read_retail, save_retail
 
 
@@ -113,3 +114,19 @@ def test_no_python_in_any_plan(stored):
     ]
     for df in frames:
         assert not re.search(r"Python|Arrow|Pandas", tree(df))
+
+
+def test_what_is_stored_for_several_reads_is_narrow(stored):
+    prepare, _ = SEVERAL_READS["top_lines_by_country"]
+    assert prepare(stored).columns == ["stockcode", "description", "quantity", "country"]
+    assert "HashAggregate" in tree(prepare(stored))
+    prepare, report = SEVERAL_READS["export_extract"]
+    summary = prepare(stored)
+    keys = ["invoiceno", "customerid", "country", "invoicedate"]
+    assert set(summary.columns) == {*keys, "unitprice", "quantity"}
+    assert summary.count() == ops.clean_sales(stored).select(
+        "invoiceno", "customerid", "country", "invoicedate"
+    ).distinct().count()
+    assert sorted(map(str, report(summary).collect())) == sorted(
+        map(str, report(stored).collect())
+    )
