@@ -17,19 +17,21 @@ BUCKETS = 1 << 16
 TRAINING_ROWS = 20_000
 KEEP_GRADE = 1
 
-_SHAPES = (
-    (re.compile(r"[^\W\d_]*[A-ZÀ-ÖØ-Þ]{2}[^\W\d_]*"), "U"),
-    (re.compile(r"[A-ZÀ-ÖØ-Þ][^\W\d_]*"), "C"),
-    (re.compile(r"[^\W\d_]+"), "w"),
-    (re.compile(r"\d+"), "9"),
-)
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile(r"\d+")
+_SHOUTED = re.compile(r"[A-ZÀ-ÖØ-Þ]{2}")
+
+
+def _kind(run: re.Match) -> str:
+    letters = run[0]
+    if _SHOUTED.search(letters):
+        return "U"
+    return "C" if letters[0].isupper() else "w"
 
 
 def _shape(word: str) -> str:
-    """The word with its letters and digits replaced by their kind."""
-    for pattern, mark in _SHAPES:
-        word = pattern.sub(mark, word)
-    return word[:12]
+    """The word with its runs of letters and digits replaced by their kind."""
+    return _DIGITS.sub("9", _LETTERS.sub(_kind, word))[:12]
 
 
 class FeatureEncoder:
