@@ -14,6 +14,7 @@ from tillroll.session import freeze
 #: What counts as white space between words, inside a character class.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+_ROWS_OUT = 256
 
 
 def open_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,8 @@ def map_rows(
 
     ``start`` runs once per task and returns ``row(*values) -> tuple | list of
     tuples`` in the order of ``schema``. Values are taken out of the batch one row
-    at a time, so memory stays near the size of one batch.
+    at a time and results leave in small batches, so memory stays near the size of one
+    batch of input.
     """
     picked = df.select(*columns)
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -46,6 +48,9 @@ def map_rows(
             for values in zip(*batch.columns):
                 made = row(*[v.as_py() for v in values])
                 out.extend(made) if isinstance(made, list) else out.append(made)
+                if len(out) >= _ROWS_OUT:
+                    yield packed(out)
+                    out = []
             yield packed(out)
 
     return picked.mapInArrow(run, kind)

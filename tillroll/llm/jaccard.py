@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
 
-from tillroll.llm.common import map_rows
+from tillroll.llm.common import map_rows, set_aside
 from tillroll.session import freeze
 
 WORDS = 5
@@ -19,14 +19,16 @@ WORDS = 5
 PARTS, WHOLE = 80, 100
 #: Shingles met this often go last in the order. At most ``LAST_KEPT`` of them do,
 #: the most frequent. Any such set gives the same links; it only shortens lists.
-FREQUENT = 64
-LAST_KEPT = 200_000
-_LOCAL_LEAST = 3
-_CHUNK = 4_000_000
+FREQUENT = 24
+LAST_KEPT = 1_000_000
+_LOCAL_LEAST = 2
+_CHUNK = 2_000_000
 #: Lists of at most so many sets give all their pairs; longer ones are handled in blocks.
 SHORT_LIST = 32
 BLOCK = 1024
-MEMO_ENTRIES = 300_000
+#: Whole sets of at most so many documents are fetched by a broadcast of their keys.
+BROADCAST_KEYS = 200_000
+MEMO_ENTRIES = 200_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -158,7 +160,7 @@ def shingle_sets(
             first = group not in told
             told.add(group)
             return key, text_hash, n, *_digest(own.tobytes()), *group, (
-                prefix.tolist() if first else None
+                prefix if first else None
             )
 
         return row
@@ -174,11 +176,14 @@ def shingle_sets(
     )
 
 
-def _close(a_n, b_n, a_at, b_at):
-    """Whether sizes, and places of a common element in the prefixes, allow a link."""
-    need = F.ceil(F.lit(PARTS) * (a_n + b_n) / F.lit(WHOLE + PARTS))
-    room = F.lit(1) + F.least(a_n - a_at - 1, b_n - b_at - 1)
-    return (F.least(a_n, b_n) >= need) & (room >= need)
+def _needed(a: Column, b: Column) -> Column:
+    """``least_common`` of the sum, in whole numbers."""
+    whole = F.lit(WHOLE + PARTS)
+    return F.floor((F.lit(PARTS) * (a + b) + whole - 1) / whole)
+
+
+def _close_sizes(a: Column, b: Column) -> Column:
+    return F.least(a, b) >= _needed(a, b)
 
 
 def _sketch(own: np.ndarray) -> bytes:
@@ -252,7 +257,15 @@ def _pairs_of_lists(lists: DataFrame, keys: list[str], star: bool) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are linked, by the exact sizes of their sets and intersection."""
+    """The pairs that are linked, by the exact sizes of their sets and intersection.
+
+    Where few sets are asked for, only those are moved.
+    """
+    asked = freeze(
+        pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "asked-sets"
+    )
+    if asked.count() <= BROADCAST_KEYS:
+        sets = sets.join(F.broadcast(asked), "cid", "left_semi")
     a = sets.select(F.col("cid").alias("a"), F.col("own").alias("_a"))
     b = sets.select(F.col("cid").alias("b"), F.col("own").alias("_b"))
     common = F.size(F.array_intersect("_a", "_b")).cast("bigint")
@@ -312,7 +325,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their sets is at least 80 times the union. Documents with equal sets form a class,
     so copies are never paired with each other. Classes with the same prefix and
     size form a group; groups that share a prefix element form a list. Short lists
-    give their pairs. A long list first pairs one member with each other, and the
+    give their pairs, and those with too few common elements for their places are
+    dropped. A long list first pairs one member with each other, and the
     links found unite most of what is alike. Then only pairs across components are
     asked for, within blocks of bounded size, and a sketch that never rejects a link
     leaves few of them. All candidates are verified on the whole sets.
@@ -342,49 +356,78 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = classes.groupBy("g1", "g2").agg(
         F.min("cid").alias("gid"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n")
     )
+    groups = freeze(counted, "groups")
     prefixes = filled.groupBy("g1", "g2").agg(F.max("prefix").alias("prefix"))
     whole_list = Window.partitionBy("h")
+    met = freeze(
+        prefixes.join(groups, ["g1", "g2"])
+        .select("gid", F.posexplode("prefix").alias("pos", "h"))
+        .withColumn("groups", F.count(F.lit(1)).over(whole_list))
+        .filter(F.col("groups") > 1)
+        .drop("groups"),
+        "met",
+    )
+    # The sets of one group make a list as well, under the name of the group.
+    alone = groups.filter(F.col("k") > 1).select(
+        "gid", F.lit(0).alias("pos"), F.col("gid").alias("h")
+    )
     lists = freeze(
-        prefixes.join(counted, ["g1", "g2"])
-        .select("gid", "k", "n", F.posexplode("prefix").alias("pos", "h"))
-        .withColumns(
-            {
-                "sets": F.sum("k").over(whole_list),
-                "groups": F.count(F.lit(1)).over(whole_list),
-            }
-        )
-        .filter((F.col("sets") > 1) & ((F.col("groups") > 1) | (F.col("pos") == 0))),
+        met.select("gid", "pos", "h", F.lit(False).alias("own"))
+        .union(alone.withColumn("own", F.lit(True)))
+        .join(groups.select("gid", "k", "n"), "gid")
+        .withColumn("sets", F.sum("k").over(Window.partitionBy("h", "own"))),
         "lists",
     )
     members = classes.select(
         F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), F.col("cid")
     ).join(
-        counted.select(F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), "gid"), ["_g1", "_g2"]
+        groups.select(F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), "gid"), ["_g1", "_g2"]
     ).select("gid", "cid")
 
     short = lists.filter(F.col("sets") <= SHORT_LIST)
-    entries = F.array_sort(F.collect_list(F.struct("n", "gid", "pos", "k")))
+    entries = F.array_sort(F.collect_list(F.struct("n", "gid", "pos")))
     inside = F.flatten(
         F.transform(
             "entries",
             lambda x, i: F.transform(
                 F.filter(
-                    F.slice(F.col("entries"), i + 1, SHORT_LIST),
-                    lambda y: F.when(y["gid"] == x["gid"], x["k"] > 1).otherwise(
-                        _close(x["n"], y["n"], x["pos"], y["pos"])
-                    ),
+                    F.slice(F.col("entries"), i + 2, SHORT_LIST),
+                    lambda y: _close_sizes(x["n"], y["n"]),
+                ),
+                lambda y: F.struct(
+                    x["gid"].alias("ga"), x["n"].alias("na"), x["pos"].alias("ia"),
+                    y["gid"].alias("gb"), y["n"].alias("nb"), y["pos"].alias("ib"),
                 ),
-                lambda y: F.struct(x["gid"].alias("ga"), y["gid"].alias("gb")),
             ),
         )
     )
-    group_pairs = (
-        short.groupBy("h")
+    # Common elements of two prefixes: those in short lists are counted, and of those in
+    # long lists there are no more than either has. What comes after the last of them
+    # is bounded by what is left of either set.
+    in_long = (
+        lists.filter((F.col("sets") > SHORT_LIST) & ~F.col("own"))
+        .groupBy("gid")
+        .agg(F.count(F.lit(1)).alias("long"))
+    )
+    counted_pairs = (
+        short.filter(~F.col("own"))
+        .groupBy("h")
         .agg(entries.alias("entries"))
         .select(F.explode(inside).alias("pair"))
-        .select("pair.*")
-        .distinct()
+        .groupBy("pair.ga", "pair.gb", "pair.na", "pair.nb")
+        .agg(
+            F.count(F.lit(1)).alias("common"),
+            F.max("pair.ia").alias("ia"),
+            F.max("pair.ib").alias("ib"),
+        )
+        .join(in_long.toDF("ga", "la"), "ga", "left")
+        .join(in_long.toDF("gb", "lb"), "gb", "left")
     )
+    longest = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
+    after = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    enough = F.col("common") + longest + after >= _needed(F.col("na"), F.col("nb"))
+    own_pairs = short.filter("own").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
+    group_pairs = counted_pairs.filter(enough).select("ga", "gb").union(own_pairs)
     short_pairs = freeze(
         group_pairs.join(members.select(F.col("gid").alias("ga"), F.col("cid").alias("ca")), "ga")
         .join(members.select(F.col("gid").alias("gb"), F.col("cid").alias("cb")), "gb")
@@ -396,7 +439,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long = freeze(
         lists.filter(F.col("sets") > SHORT_LIST)
         .join(members, "gid")
-        .select("h", "cid", "n", "pos", "sets"),
+        .select("h", "own", "cid", "n", "pos", "sets"),
         "long-lists",
     )
 
@@ -408,6 +451,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(classes.select("cid", "rep", "text_hash"), "cid")
         .withColumnRenamed("text_hash", "_hash")
     )
+    asked = freeze(asked, "asked")
+    if asked.count() <= BROADCAST_KEYS:
+        asked = F.broadcast(asked)
     hashed = docs.select(id_col, text_col).withColumn("_text_hash", F.xxhash64(text_col))
     wanted = hashed.join(
         asked,
@@ -419,19 +465,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def row(cid, text):
             own = shingles(text or "")
-            return cid, own.tolist(), _sketch(own)
+            return cid, own, _sketch(own)
 
         return row
 
-    sets = freeze(
-        map_rows(
-            wanted.select("cid", text_col),
-            ["cid", text_col],
-            whole_set,
-            "cid bigint, own array<bigint>, sketch binary",
-        ).dropDuplicates(["cid"]),
-        "whole-sets",
+    found = map_rows(
+        wanted.select("cid", text_col),
+        ["cid", text_col],
+        whole_set,
+        "cid bigint, own array<bigint>, sketch binary",
     )
+    alike = rows.groupBy(id_col, "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    if not alike.filter("rows > 1").isEmpty():
+        found = found.dropDuplicates(["cid"])
+    sets = freeze(found, "whole-sets")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") / F.lit(BLOCK)).cast("bigint"))
     dealt = freeze(
         long.join(sets.select("cid", "sketch"), "cid")
@@ -439,19 +486,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))),
         "dealt-lists",
     )
-    tried = freeze(
-        _pairs_of_lists(dealt, ["h", "block"], star=True).union(short_pairs).distinct(), "tried"
-    )
+    # Of the short lists' pairs, one for each set at first; the others only if that and
+    # the stars leave them apart.
+    first_pairs = short_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    stars = _pairs_of_lists(dealt, ["h", "own", "block"], star=True)
+    tried = freeze(stars.union(first_pairs).distinct(), "tried")
     links = freeze(_verified(tried, sets), "first-links")
     comps = connected(links)
     labelled = dealt.join(comps, F.col("cid") == F.col("node"), "left").withColumn(
         "comp", F.coalesce("comp", "cid")
     )
     open_lists = (
-        labelled.groupBy("h")
+        labelled.groupBy("h", "own")
         .agg((F.min("comp") < F.max("comp")).alias("open"))
         .filter("open")
-        .select("h")
+        .select("h", "own")
     )
     meets = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
@@ -459,13 +508,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.least("block", x).alias("low"), F.greatest("block", x).alias("high")
         ),
     )
-    spread = labelled.join(open_lists, "h", "left_semi").withColumn("meet", F.explode(meets))
+    spread = labelled.join(open_lists, ["h", "own"], "left_semi").withColumn("meet", F.explode(meets))
+    apart = (
+        short_pairs.join(comps.toDF("a", "comp_a"), "a", "left")
+        .join(comps.toDF("b", "comp_b"), "b", "left")
+        .filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
+        .select("a", "b")
+    )
     rest = _pairs_of_lists(
-        spread.select("h", "cid", "n", "pos", "sketch", "comp", "block", "meet.low", "meet.high"),
-        ["h", "low", "high"],
+        spread.select(
+            "h", "own", "cid", "n", "pos", "sketch", "comp", "block", "meet.low", "meet.high"
+        ),
+        ["h", "own", "low", "high"],
         star=False,
-    ).join(tried, ["a", "b"], "left_anti")
-    more = freeze(_verified(rest, sets), "more-links")
+    )
+    rest = rest.union(apart).distinct().join(tried, ["a", "b"], "left_anti")
+    more = freeze(_verified(freeze(rest, "rest"), sets), "more-links")
     if not more.isEmpty():
         comps = connected(links.union(more))
 
@@ -495,23 +553,24 @@ def distinct_documents(
     Of rows with that id, the smallest text hash stays, once. Texts without words all
     stay, each linked with nothing, as do components without any id. All columns are kept.
     """
-    found = freeze(near_duplicates(docs, id_col, text_col), "components")
+    docs, restored = set_aside(docs, {"doc_id": id_col, "text": text_col})
+    found = freeze(near_duplicates(docs), "components")
     linked = (F.col("n_shingles") > 0) & F.col("component_id").isNotNull()
     chosen = (
-        found.filter(linked & (F.col(id_col) == F.col("component_id")))
+        found.filter(linked & (F.col("doc_id") == F.col("component_id")))
         .groupBy("component_id")
         .agg(F.min("text_hash").alias("text_hash"))
         .select(F.col("component_id").alias("_id"), "text_hash")
     )
-    alone = found.filter(~linked).select(F.col(id_col).alias("_id"), "text_hash").distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("text_hash"))
+    alone = found.filter(~linked).select(F.col("doc_id").alias("_id"), "text_hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("text_hash"))
     kept = docs.join(chosen, same, "left_semi")
     repeats = (
-        found.filter(linked)
-        .join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (
-            found["text_hash"] == chosen["text_hash"]), "left_semi")
-        .groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        found.filter(linked & (F.col("doc_id") == F.col("component_id")))
+        .groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     )
     if not repeats.isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    return kept if alone.isEmpty() else kept.unionByName(docs.join(alone, same, "left_semi"))
+        kept = kept.dropDuplicates(["doc_id"])
+    if not alone.isEmpty():
+        kept = kept.unionByName(docs.join(alone, same, "left_semi"))
+    return restored(kept)
