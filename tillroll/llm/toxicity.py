@@ -83,10 +83,10 @@ def _informative(rows: list[np.ndarray], y: np.ndarray, keep: int, least_z: floa
     """Buckets whose share of documents differs most between the labels, in units of
     the standard error of that difference."""
     toxic, clean = max(1.0, y.sum()), max(1.0, (1 - y).sum())
-    every = np.concatenate(rows) if rows else np.empty(0, np.int32)
-    weight = np.repeat(y, [len(r) for r in rows])
-    total = np.bincount(every, minlength=BUCKETS).astype(float)
-    hits = np.bincount(every, weights=weight, minlength=BUCKETS)
+    total, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for row, label in zip(rows, y):
+        total[row] += 1.0
+        hits[row] += label
     share = (total + 1.0) / (toxic + clean + 2.0)
     error = np.sqrt(share * (1 - share) * (1 / toxic + 1 / clean))
     z = np.abs(hits / toxic - (total - hits) / clean) / error
@@ -118,11 +118,11 @@ def fit(
     v = random.normal(0.0, 0.05, (len(kept), factors))
     if not len(kept):
         return FactorizationMachine(kept, bias, w, v)
-    x = np.zeros((len(rows), len(kept)), np.float32)
+    x = np.zeros((len(rows), len(kept)), bool)
     for i, row in enumerate(rows):
         at = np.searchsorted(kept, row)
         at = at[(at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == row)]
-        x[i, at] = 1.0
+        x[i, at] = True
     gb, gw, gv = 1e-8, np.full_like(w, 1e-8), np.full_like(v, 1e-8)
     for _ in range(epochs):
         order = random.permutation(len(rows))
