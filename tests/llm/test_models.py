@@ -46,6 +46,29 @@ def test_interactions_are_learnt_that_weights_cannot_express():
     assert max(margins[:2]) < 0 < min(margins[2:])
 
 
+def test_interactions_are_learnt_with_the_defaults():
+    # "aa" and "bb" are as frequent in either label; only together they tell.
+    encode, texts = toxicity.TermEncoder(), ["aa cc", "bb cc", "aa bb cc", "cc dd"] * 60
+    y = np.array([0, 0, 1, 1] * 60, float)
+    model = toxicity.fit([encode(t) for t in texts], y)
+    margins = [model.margin(encode(t)) for t in texts[:4]]
+    assert max(margins[:2]) < 0 < min(margins[2:])
+
+
+def test_every_term_met_gets_a_weight():
+    # More telling terms than 1024, each in too few rows to stand out by itself.
+    encode = toxicity.TermEncoder()
+    texts = [f"{side}{i} of" for i in range(700) for side in "tc" for _ in range(2)]
+    y = np.array([t[0] == "t" for t in texts], float)
+    rows = [encode(t) for t in texts]
+    model = toxicity.fit(rows, y)
+    assert set(model.buckets.tolist()) == set(np.concatenate(rows).tolist())
+    assert np.mean([(model.margin(r) > 0) == label for r, label in zip(rows, y)]) > 0.9
+    few = [encode(t) for t in ("bad words", "good words")]
+    model = toxicity.fit(few, np.array([1.0, 0.0]))
+    assert model.margin(few[0]) > model.margin(few[1])
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}

@@ -15,14 +15,13 @@ FACTORS = 4
 PREFIXES = (4, 5, 6, 7)
 #: The most labelled rows the model is fitted on.
 TRAINING_ROWS = 20_000
-#: The most term buckets that get weights, chosen by how the labels differ.
-KEPT_BUCKETS = 1024
-LEAST_Z = 3.5
+#: Mini-batches that a fit on few rows goes on for at least.
+LEAST_STEPS = 200
 
 
 @dataclass(frozen=True)
 class FactorizationMachine:
-    """Weights of the kept buckets; ``slot`` maps a bucket to its row, or to -1."""
+    """Weights of ``buckets``, the sorted ones met in training; the rest count nothing."""
 
     buckets: np.ndarray
     bias: float
@@ -79,9 +78,9 @@ class TermEncoder:
         return np.unique(np.concatenate([found, *repeated])).astype(np.int32)
 
 
-def _informative(rows: list[np.ndarray], y: np.ndarray, keep: int, least_z: float) -> np.ndarray:
-    """Buckets whose share of documents differs most between the labels, in units of
-    the standard error of that difference."""
+def _differing(rows: list[np.ndarray], y: np.ndarray, least_z: float) -> np.ndarray:
+    """Sorted buckets met whose share of documents differs between the labels by at
+    least ``least_z`` standard errors of that difference; at 0, all that are met."""
     toxic, clean = max(1.0, y.sum()), max(1.0, (1 - y).sum())
     total, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row, label in zip(rows, y):
@@ -90,56 +89,80 @@ def _informative(rows: list[np.ndarray], y: np.ndarray, keep: int, least_z: floa
     share = (total + 1.0) / (toxic + clean + 2.0)
     error = np.sqrt(share * (1 - share) * (1 / toxic + 1 / clean))
     z = np.abs(hits / toxic - (total - hits) / clean) / error
-    z[total < 3] = -1.0
-    best = np.argsort(-z, kind="stable")[:keep]
-    return np.sort(best[z[best] >= max(0.0, least_z)]).astype(np.int32)
+    return np.flatnonzero((total > 0) & (z >= least_z)).astype(np.int32)
 
 
 def fit(
     rows: list[np.ndarray],
     y: np.ndarray,
     factors: int = FACTORS,
-    keep: int = KEPT_BUCKETS,
-    least_z: float = LEAST_Z,
-    epochs: int = 60,
-    rate: float = 0.1,
-    shrink: float = 1e-3,
+    least_z: float = 0.0,
+    epochs: int = 6,
+    rate: float = 1.0,
+    factor_rate: float = 0.03,
+    shrink: float = 0.35,
 ) -> FactorizationMachine:
-    """Fit by mini-batches with AdaGrad steps on the logistic loss.
+    """Fit by mini-batches with sparse AdaGrad steps on the logistic loss.
 
-    Texts are sets of buckets. Without both labels in the sample the model is its
+    Texts are sets of buckets, and every bucket met gets weights unless ``least_z``
+    asks for fewer: what matters only beside another term has no share of its own
+    that differs. Weights are learnt for texts scaled by one factor to about unit
+    length, and shrunk when touched, by ``shrink`` over the number of rows. Rates
+    fall to zero over the epochs. Without both labels in the sample the model is its
     bias, the share of toxic rows.
     """
     positive = (float(y.sum()) + 0.5) / (len(y) + 1.0)
     bias = float(np.log(positive / (1 - positive)))
-    kept = _informative(rows, y, keep, least_z) if 0 < y.sum() < len(y) else np.empty(0, np.int32)
+    kept = _differing(rows, y, least_z) if 0 < y.sum() < len(y) else np.empty(0, np.int32)
     random = np.random.default_rng(7)
-    w = np.zeros(len(kept))
-    v = random.normal(0.0, 0.05, (len(kept), factors))
+    # The linear weight of each bucket, then its factors.
+    p = np.zeros((len(kept), 1 + factors), np.float32)
+    p[:, 1:] = random.normal(0.0, 0.01, (len(kept), factors))
     if not len(kept):
-        return FactorizationMachine(kept, bias, w, v)
-    x = np.zeros((len(rows), len(kept)), bool)
-    for i, row in enumerate(rows):
-        at = np.searchsorted(kept, row)
-        at = at[(at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == row)]
-        x[i, at] = True
-    gb, gw, gv = 1e-8, np.full_like(w, 1e-8), np.full_like(v, 1e-8)
-    for _ in range(epochs):
+        return FactorizationMachine(kept, bias, p[:, 0], p[:, 1:])
+    place = np.full(BUCKETS, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    scale = np.float32(max(1.0, sum(map(len, rows)) / len(rows)) ** -0.5)
+    rates = np.array([rate] + [factor_rate] * factors, np.float32)
+    gb, gp = 1e-8, np.full_like(p, 1e-6)
+    met, slot = np.zeros(len(kept), bool), np.zeros(len(kept), np.int64)
+    size = 128
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(rows) // size)))
+    for epoch in range(epochs):
+        slow = np.float32(1 - epoch / epochs)
         order = random.permutation(len(rows))
-        for at in range(0, len(order), 256):
-            batch = order[at : at + 256]
-            xb = x[batch].astype(float)
-            sums = xb @ v
-            pairs = 0.5 * (sums**2 - xb @ (v * v)).sum(axis=1)
-            slope = (sigmoid(bias + xb @ w + pairs) - y[batch]) / len(batch)
+        for start in range(0, len(order), size):
+            batch = order[start : start + size]
+            at = place[np.concatenate([rows[i] for i in batch])]
+            row = np.repeat(np.arange(len(batch)), [len(rows[i]) for i in batch])
+            at, row = at[at >= 0], row[at >= 0]
+            full, first = np.unique(row, return_index=True)
+            used = p[at] * scale
+            sums, squares = np.zeros((len(batch), 1 + factors)), np.zeros(len(batch))
+            if len(at):
+                sums[full] = np.add.reduceat(used, first, axis=0)
+                squares[full] = np.add.reduceat((used[:, 1:] ** 2).sum(axis=1), first)
+            pairs = 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - squares)
+            slope = (sigmoid(bias + sums[:, 0] + pairs) - y[batch]) / len(batch)
+            met[:] = False
+            met[at] = True
+            touched = np.flatnonzero(met)
+            slot[touched] = np.arange(len(touched))
+            where, now = slot[at], p[touched]
+            own = np.bincount(where, weights=slope[row], minlength=len(touched))
+            d = np.empty(now.shape)
+            d[:, 0] = own
+            for k in range(1, 1 + factors):
+                through = (slope * sums[:, k])[row]
+                d[:, k] = np.bincount(where, weights=through, minlength=len(touched))
+            d[:, 1:] -= scale * now[:, 1:] * own[:, None]
+            d = d * scale + shrink / len(rows) * now
+            gp[touched] += d * d
+            p[touched] = now - slow * rates * d / np.sqrt(gp[touched])
             db = slope.sum()
-            dw = xb.T @ slope + shrink * w
-            dv = xb.T @ (slope[:, None] * sums) - v * (xb.T @ slope)[:, None] + shrink * v
-            gb, gw, gv = gb + db * db, gw + dw * dw, gv + dv * dv
-            bias -= rate * db / np.sqrt(gb)
-            w -= rate * dw / np.sqrt(gw)
-            v -= rate * dv / np.sqrt(gv)
-    return FactorizationMachine(kept, float(bias), w, v)
+            gb += db * db
+            bias -= 0.1 * slow * db / np.sqrt(gb)
+    return FactorizationMachine(kept, float(bias), p[:, 0] * scale, p[:, 1:] * scale)
 
 
 def fit_toxicity(
