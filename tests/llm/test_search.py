@@ -209,6 +209,14 @@ def test_one_document_of_each_component_stays(spark):
     assert jaccard.distinct_documents(no_documents(spark)).collect() == []
 
 
+def test_unrelated_texts_under_one_id_all_stay(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    near = y.replace("y59", "z")
+    texts = [(5, x, "a"), (5, y, "a"), (9, near, "a"), (5, x, "a"), (7, x, "b")]
+    kept = jaccard.distinct_documents(documents(spark, texts)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(5, x), (5, y)])
+
+
 def test_filters_never_reject_a_link():
     draw = np.random.default_rng(5)
     for _ in range(300):

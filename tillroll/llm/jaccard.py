@@ -336,6 +336,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     even its like. Rows that repeat belong together. The jobs run when called; what
     they pass on is in the shared folder.
     """
+    return _components(docs, id_col, text_col).drop("_comp")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``near_duplicates``, with ``_comp`` to tell components apart whose
+    smallest id is the same; null where a text has no shingles."""
     frequent = frequent_shingles(docs, text_col)
     rows = freeze(shingle_sets(docs, frequent, id_col, text_col), "shingle-sets")
     filled = rows.filter(F.col("n") > 0)
@@ -531,15 +537,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comps, F.col("cid") == F.col("node"), "left"
     ).withColumn("comp", F.coalesce("comp", "cid"))
     smallest = labelled_classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_class = labelled_classes.join(smallest, "comp").select("d1", "d2", "component_id")
+    of_class = labelled_classes.join(smallest, "comp").select(
+        "d1", "d2", "component_id", F.col("comp").alias("_comp")
+    )
     whole = rows.select(id_col, F.col("n").alias("n_shingles"), "text_hash", "d1", "d2")
     return (
         whole.filter(F.col("n_shingles") > 0)
         .join(of_class, ["d1", "d2"])
-        .select(id_col, "n_shingles", "component_id", "text_hash")
+        .select(id_col, "n_shingles", "component_id", "text_hash", "_comp")
         .union(
             whole.filter(F.col("n_shingles") == 0).select(
-                id_col, "n_shingles", F.col(id_col).alias("component_id"), "text_hash"
+                id_col, "n_shingles", F.col(id_col).alias("component_id"), "text_hash",
+                F.lit(None).cast("bigint").alias("_comp"),
             )
         )
     )
@@ -550,15 +559,17 @@ def distinct_documents(
 ) -> DataFrame:
     """The rows of ``docs`` with one document of each component: that of the smallest id.
 
-    Of rows with that id, the smallest text hash stays, once. Texts without words all
-    stay, each linked with nothing, as do components without any id. All columns are kept.
+    Of a component's rows with that id, the smallest text hash stays, once. An id on
+    several rows with unrelated texts stands for several components, and each keeps its
+    own. Texts without words all stay, each linked with nothing, as do components
+    without any id. All columns are kept.
     """
     docs, restored = set_aside(docs, {"doc_id": id_col, "text": text_col})
-    found = freeze(near_duplicates(docs), "components")
+    found = freeze(_components(docs, "doc_id", "text"), "components")
     linked = (F.col("n_shingles") > 0) & F.col("component_id").isNotNull()
     chosen = (
         found.filter(linked & (F.col("doc_id") == F.col("component_id")))
-        .groupBy("component_id")
+        .groupBy("_comp", "component_id")
         .agg(F.min("text_hash").alias("text_hash"))
         .select(F.col("component_id").alias("_id"), "text_hash")
     )
@@ -567,10 +578,14 @@ def distinct_documents(
     kept = docs.join(chosen, same, "left_semi")
     repeats = (
         found.filter(linked & (F.col("doc_id") == F.col("component_id")))
-        .groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        .groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     )
     if not repeats.isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+        kept = (
+            kept.withColumn("_text_hash", F.xxhash64("text"))
+            .dropDuplicates(["doc_id", "_text_hash"])
+            .drop("_text_hash")
+        )
     if not alone.isEmpty():
         kept = kept.unionByName(docs.join(alone, same, "left_semi"))
     return restored(kept)
