@@ -325,6 +325,20 @@ def test_sanitised_text(spark):
     assert privacy.sanitise(no_documents(spark)).collect() == []
 
 
+def test_distant_and_short_terms_are_marked_in_every_document(spark):
+    far = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, f"Dear Bo, case {i} {far} Bo, x@y.org", "a") for i in range(6)]
+    rows += [(100 + i, f"case {i} {far} to all", "a") for i in range(60)]
+    rows += [(200, "Bo was here", "a")]
+    found = privacy.span_report(privacy.personal_data(documents(spark, rows))).collect()
+    spans = {r.doc_id: r.spans for r in found}
+    text = rows[0][1]
+    last = text.rindex("Bo")
+    assert "term:0:4" in spans[0] and "term:5:7" in spans[0]
+    assert f"term:{last}:{last + 2}" in spans[0]
+    assert spans[200] == "term:0:2" and spans[100] == ""
+
+
 def test_personal_data_runs_without_python(spark, small):
     plan = QUERIES["op9_disclosure_pii"](spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

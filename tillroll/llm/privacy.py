@@ -39,17 +39,16 @@ _HINT = {
     "phone": lambda text: text.contains("+"),
 }
 
-#: Terms on either side of a value that may give it away, and the characters searched.
-WINDOW = 8
-REACH = 40 * WINDOW
 #: Different texts that must hold both the term and the value.
 LEAST_TOGETHER = 2
 #: A term is disclosing when it tells at least this share of the value's information.
 DISCLOSURE = 0.8
 _TERM = r"[\p{L}\p{N}]++"
-_LEAST_LETTERS = 3
+# Stands for a base span while the terms around it are listed.
+_HOLE = "\ue000"
 
 _SPAN = "struct<start: int, end: int, value: string>"
+_PLACES = "array<struct<start: int, end: int>>"
 
 
 def _places(text: Column, pattern: str, found: Column) -> Column:
@@ -112,42 +111,53 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(_HINT[kind](text), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
-def _near_terms(text: Column, span: Column) -> Column:
-    """Terms on both sides of a span, nearest first on the left, with their places.
+def _all_terms(text: Column) -> Column:
+    """All terms of ``text`` in lower case, once each."""
+    found = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
+    return F.array_distinct(F.transform(found, F.lower))
 
-    Only ``REACH`` characters on either side are looked at; what the edge of that
-    stretch may have cut off is still a term there, the same in every document.
-    """
-    from_ = F.greatest(F.lit(0), span["start"] - F.lit(REACH))
-    left = F.substring(text, from_ + 1, span["start"] - from_)
-    right = F.substring(text, span["end"] + 1, F.lit(REACH))
 
-    def terms(part: Column) -> Column:
-        return _places(part, _TERM, F.regexp_extract_all(part, F.lit(_TERM), F.lit(0)))
+def _free_terms(text: Column, base: Column) -> Column:
+    """Terms anywhere in ``text`` that overlap no span of ``base``."""
 
-    def shifted(found: Column, by: Column) -> Column:
-        return F.transform(
-            F.filter(found, lambda t: F.length(t["value"]) >= _LEAST_LETTERS),
-            lambda t: F.struct(
-                span["kind"].alias("kind"),
-                F.lower(span["value"]).alias("value"),
-                F.lower(t["value"]).alias("term"),
-                (t["start"] + by).alias("start"),
-                (t["end"] + by).alias("end"),
-            ),
+    def step(done: Column, s: Column) -> Column:
+        gap = F.substring(text, done["at"] + 1, F.greatest(F.lit(0), s["start"] - done["at"]))
+        return F.struct(
+            F.greatest(done["at"], s["end"]).alias("at"),
+            F.concat(done["rest"], gap, F.lit(_HOLE)).alias("rest"),
         )
 
-    return F.concat(
-        shifted(F.slice(F.reverse(terms(left)), 1, WINDOW), from_),
-        shifted(F.slice(terms(right), 1, WINDOW), span["end"]),
-    )
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("rest"))
+    ordered = F.array_sort(F.transform(base, lambda s: F.struct(s["start"], s["end"])))
+    done = F.aggregate(ordered, start, step)
+    rest = F.concat(done["rest"], F.substring(text, done["at"] + 1, F.length(text)))
+    letters = r"[\p{L}\p{N}]*+"
+    return _all_terms(F.regexp_replace(rest, f"{letters}(?:{_HOLE}{letters})++", " "))
+
+
+def _places_of(text: Column, wanted: Column) -> Column:
+    """Start and end of every term of ``text`` that is in ``wanted``."""
+    found = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
+    gaps = F.transform(F.slice(F.split(text, _TERM, -1), 1, F.size(found)), F.length)
+    pairs = F.arrays_zip(gaps.alias("gap"), found.alias("value"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("spans"))
+
+    def step(done: Column, pair: Column) -> Column:
+        begin = done["at"] + pair["gap"]
+        end = begin + F.length(pair["value"])
+        span = F.struct(begin.alias("start"), end.alias("end"))
+        hit = F.array_contains(wanted, F.lower(pair["value"]))
+        spans = F.when(hit, F.concat(done["spans"], F.array(span))).otherwise(done["spans"])
+        return F.struct(end.alias("at"), spans.alias("spans"))
+
+    return F.aggregate(pairs, start, step)["spans"]
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans of every whole text, and the terms near them.
+    """Base spans of every whole text, and the terms of texts that have some.
 
-    Columns: ``id_col``, ``text_hash``, ``base`` (kind, start, end, value) and ``near``
-    (kind and value of the base span, term, start, end). Terms that overlap a base
+    Columns: ``id_col``, ``text_hash``, ``base`` (kind, start, end, value) and ``beside``,
+    the distinct terms of the whole text, in lower case. Terms that overlap a base
     span are left out: it covers them. A null text has no spans. Nothing but this
     leaves the scan.
     """
@@ -161,18 +171,14 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         )
 
     base = F.concat(*map(of_kind, PATTERNS))
-    near = F.flatten(F.transform(F.col("base"), lambda s: _near_terms(text, s)))
-    free = F.filter(
-        near,
-        lambda t: ~F.exists(
-            F.col("base"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])
-        ),
+    beside = F.when(F.size("base") > 0, _free_terms(text, F.col("base"))).otherwise(
+        F.array().cast("array<string>")
     )
     return (
         docs.select(id_col, text_col)
         .withColumn("text_hash", F.xxhash64(text))
         .withColumn("base", base)
-        .withColumn("near", free)
+        .withColumn("beside", beside)
         .drop(text_col)
     )
 
@@ -187,44 +193,50 @@ def disclosing_terms(
     """Terms that give a protected value away: ``kind``, ``value``, ``term``, ``told``.
 
     Over all documents, p(v) is the share that holds the value, p(t) the share that
-    holds the term, and p(t, v) the share with the term near the value. The
+    holds the term, and p(t, v) the share that holds both, at any distance. The
     pointwise mutual information log(p(t, v) / (p(t) p(v))) is what the term tells of
     the value, out of -log p(v) that there is to tell; the ratio is ``told``. It
-    is 1 for a term met only beside the value. Terms below ``disclosure`` are left,
-    as are those met beside the value in fewer than ``least_together`` different
+    is 1 for a term met only with the value. Terms below ``disclosure`` are left,
+    as are those met with the value in fewer than ``least_together`` different
     texts: one meeting is no estimate, and copies of a text are not more of them.
 
-    The vocabulary is counted in each task before it is shuffled.
+    Copies of a text are counted first, so each text is paired once. Only values in as
+    many different texts as asked for are paired; values and terms of a text are
+    joined on it, so a long text may be split. The vocabulary is counted in each task
+    before it is shuffled.
     """
     pair = ["kind", "value", "term"]
-    met = found.select(
-        "text_hash",
-        F.explode(
-            F.array_distinct(
-                F.transform("near", lambda t: F.struct(*[t[c].alias(c) for c in pair]))
-            )
-        ).alias("met"),
-    ).select("text_hash", "met.*")
-    pairs = (
-        met.groupBy(*pair)
-        .agg(F.count(F.lit(1)).alias("together"), F.count_distinct("text_hash").alias("texts"))
-        .filter(F.col("texts") >= least_together)
+    holding = found.filter(F.size("base") > 0)
+    texts = holding.groupBy("text_hash").agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.first("base").alias("base"),
+        F.first("beside").alias("beside"),
     )
+    texts = freeze(texts, "texts-with-values")
     held = F.array_distinct(
         F.transform(
             "base",
             lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value")),
         )
     )
+    values = texts.select("text_hash", "copies", F.explode(held).alias("held")).select(
+        "text_hash", "copies", "held.*"
+    )
     holders = (
-        found.select(F.explode(held).alias("held"))
-        .groupBy("held.kind", "held.value")
-        .agg(F.count(F.lit(1)).alias("holders"))
+        values.groupBy("kind", "value")
+        .agg(F.sum("copies").alias("holders"), F.count(F.lit(1)).alias("texts"))
+        .filter(F.col("texts") >= least_together)
+        .drop("texts")
+    )
+    pairs = (
+        values.join(holders.select("kind", "value"), ["kind", "value"], "left_semi")
+        .join(texts.select("text_hash", F.explode("beside").alias("term")), "text_hash")
+        .groupBy(*pair)
+        .agg(F.sum("copies").alias("together"), F.count(F.lit(1)).alias("texts"))
+        .filter(F.col("texts") >= least_together)
     )
-    terms = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(_TERM), F.lit(0))
     seen = (
-        docs.select(F.explode(F.array_distinct(terms)).alias("term"))
-        .filter(F.length("term") >= _LEAST_LETTERS)
+        docs.select(F.explode(_all_terms(F.coalesce(text_col, F.lit("")))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("seen"))
     )
@@ -249,24 +261,37 @@ def personal_data(
     """Base spans and disclosing spans of every row of ``docs``.
 
     Columns: ``id_col``, ``text_hash``, ``base`` and ``terms`` (start and end, in order,
-    without repeats). A term is a span where it stands beside the value it gives
-    away. Rows that repeat have equal results. The base spans are found in one
-    pass, when called, and kept in the shared folder.
+    without repeats). A term that gives a value away is a span wherever it stands, in
+    every document, outside base spans. Rows that repeat have equal results. The
+    base spans are found in one pass, when called, and kept in the shared folder.
     """
     found = freeze(find_personal_data(docs, id_col, text_col), "personal-data")
     telling = disclosing_terms(docs, found, least_together, disclosure, text_col)
+    terms = telling.select("term").distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # One text of each hash is searched; its rows take the places from it.
+    met = (
+        docs.select(F.xxhash64(text).alias("_hash"), F.explode(_all_terms(text)).alias("term"))
+        .join(terms, "term", "left_semi")
+        .groupBy("_hash")
+        .agg(F.collect_set("term").alias("_wanted"))
+    )
     spans = (
-        found.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"),
-                     F.explode("near").alias("near"))
-        .select("_id", "_hash", "near.*")
-        .join(telling, ["kind", "value", "term"], "left_semi")
-        .groupBy("_id", "_hash")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+        docs.select(F.xxhash64(text).alias("_hash"), text.alias("_text"))
+        .join(freeze(met, "telling-terms"), "_hash")
+        .groupBy("_hash")
+        .agg(F.first("_text").alias("_text"), F.first("_wanted").alias("_wanted"))
+        .select("_hash", _places_of(F.col("_text"), F.col("_wanted")).alias("_terms"))
+    )
+    none = F.array().cast(_PLACES)
+    free = F.filter(
+        F.coalesce("_terms", none),
+        lambda t: ~F.exists(
+            F.col("base"), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])
+        ),
     )
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    none = F.array().cast("array<struct<start: int, end: int>>")
-    return found.join(spans, same, "left").select(
-        id_col, "text_hash", "base", F.coalesce("terms", none).alias("terms")
+    return found.join(spans, F.col("text_hash") == F.col("_hash"), "left").select(
+        id_col, "text_hash", "base", free.alias("terms")
     )
 
 
