@@ -1,0 +1,119 @@
+"""The manifest against a tree built in plain Python, its proofs, and edge rows."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from edge_rows import TEXTS, documents, no_documents, small  # noqa: F401
+from pyspark.sql import functions as F
+
+from tillroll.llm import manifest
+from tillroll.llm.queries import QUERIES
+
+
+def h(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf(values) -> str:
+    return h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def climb(nodes, fan_out):
+    """The last node, and each node's siblings level by level."""
+    paths, held = [[] for _ in nodes], [[i] for i in range(len(nodes))]
+    while len(nodes) > 1:
+        above, below = [], []
+        for start in range(0, len(nodes), fan_out):
+            run = nodes[start : start + fan_out]
+            for k in range(len(run)):
+                for i in held[start + k]:
+                    paths[i].append((run[:k], run[k + 1 :]))
+            above.append(h("".join(run)))
+            below.append([i for k in range(len(run)) for i in held[start + k]])
+        nodes, held = above, below
+    return nodes[0], paths
+
+
+def expected(rows, fan_out=16):
+    """(doc_id, leaf, subroot, root, proof, folded root) of each record."""
+    groups = defaultdict(list)
+    for i, text, source in rows:
+        chars = None if text is None else len(text)
+        changed = i is not None and zlib.crc32(str(i).encode()) % 5 == 0 and text is not None
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text) if changed else text
+        groups[source].append(
+            (i, leaf((i, source, "en", chars, text)), leaf((i, source, "en", chars, lower)))
+        )
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    found, tops = [], []
+    for name in names:
+        own = sorted(groups[name], key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        top, paths = climb([r[1] for r in own], fan_out)
+        tops.append(top)
+        found.append([(r, top, path) for r, path in zip(own, paths)])
+    root, above = climb(tops, fan_out)
+    for records, more in zip(found, above):
+        for (i, digest, seen), top, path in records:
+            whole = path + more
+            for before, after in whole:
+                seen = h("".join([*before, seen, *after]))
+            proof = h("".join("".join(b + a) for b, a in whole))
+            yield i, digest, top, root, proof, seen, seen == root
+
+
+MANY = [(i, f"Text {i % 7}", f"s{i % 3}") for i in range(700)]
+CASES = {
+    "edge rows": TEXTS,
+    "one": TEXTS[:1],
+    "one source": [(i, "A b", None) for i in range(17)],
+    "hot source": [(i, f"Text {i % 7}", f"s{i}" if i % 3 == 0 else "hot") for i in range(400)],
+    "three levels": MANY,
+    "exact run": [(i, "X", "a") for i in range(256)],
+    "repeats": [(5, "Same", "a")] * 40 + [(None, "Same", "a")] * 40,
+    "many sources": [(i, "X", f"s{i}") for i in range(300)],
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_manifest_is_the_tree(spark, case):
+    rows = manifest.tamper_report(documents(spark, CASES[case])).collect()
+    assert Counter(map(tuple, rows)) == Counter(expected(CASES[case]))
+
+
+def test_whole_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = QUERIES["op13_merkle_manifest"](spark, small).collect()
+    assert len(rows) == docs.count() and len({r.root for r in rows}) == 1
+    changed = {
+        r.doc_id for r in docs.collect()
+        if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and re.search("[A-Z]", r.text or "")
+    }
+    assert changed and {r.doc_id for r in rows if not r.verified} == changed
+
+
+@pytest.mark.parametrize("fan_out", [2, 3])
+def test_other_fan_outs_and_proofs(spark, fan_out):
+    rows = manifest.merkle_manifest(documents(spark, MANY[:90]), fan_out=fan_out)
+    made = rows.withColumn("again", manifest.folded(F.col("leaf"), F.col("path"))).collect()
+    want = {e[0]: e for e in expected(MANY[:90], fan_out)}
+    for r in made:
+        assert (r.leaf, r.subroot, r.root) == want[r.doc_id][1:4] and r.again == r.root
+        siblings = [bytes(x) for s in r.path for x in (s.before, s.after)]
+        assert h(b"".join(siblings).hex()) == want[r.doc_id][4]
+    with pytest.raises(ValueError):
+        manifest.merkle_manifest(documents(spark), fan_out=1)
+
+
+def test_nothing_and_layout(spark):
+    assert manifest.tamper_report(no_documents(spark)).collect() == []
+    docs = documents(spark, MANY)
+    found = [
+        Counter(map(tuple, manifest.tamper_report(d).collect()))
+        for d in (docs.coalesce(1), docs.repartition(11))
+    ]
+    assert found[0] == found[1]

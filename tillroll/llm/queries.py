@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import sql
 from tillroll.llm.common import open_table
+from tillroll.llm.manifest import tamper_report
 from tillroll.llm.neighbours import nearest
 from tillroll.llm.jaccard import near_duplicates
 from tillroll.llm.privacy import personal_data, span_report
@@ -71,7 +72,12 @@ def op6_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(open_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_report(open_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op13_merkle_manifest": op13_merkle_manifest,
     "op6_kmeans_tree_neighbours": op6_kmeans_tree_neighbours,
     "op10_grouped_prefix_join": op10_grouped_prefix_join,
     "op9_disclosure_pii": op9_disclosure_pii,
@@ -87,4 +93,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_curriculum_mixing": sql.MIXING,
     "op3_rendezvous_sharding": sql.SHARDING,
+    "op13_merkle_manifest": sql.MANIFEST,
 }

@@ -85,3 +85,91 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
             + greatest(0, least(size, round(target) - source_size - ahead)) AS BIGINT) AS taken
 FROM placed
 """
+
+
+# A list of field digests, then one step for each level: enough for 16^5 records of a
+# source and 16^4 sources.
+_DOC_LEVELS, _SOURCE_LEVELS = 5, 4
+
+
+def _field(expression: str) -> str:
+    text = f"CAST({expression} AS VARCHAR)"
+    return f"coalesce(concat(strlen({text}), ':', {text}), '-')"
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return f"sha256(concat({', '.join(_field(f) for f in fields)}))"
+
+
+def _tree_steps(name: str, levels: int) -> list[str]:
+    """Levels ``name0`` to ``nameL`` with the runs of siblings of each."""
+    steps = []
+    for k in range(levels):
+        steps.append(
+            f"{name}_runs{k} AS (SELECT grp, place // 16 AS run, n, list(h ORDER BY place) AS hs "
+            f"FROM {name}{k} GROUP BY grp, place // 16, n)"
+        )
+        steps.append(
+            f"{name}{k + 1} AS (SELECT grp, run AS place, (n + 15) // 16 AS n, CASE WHEN n = 1 "
+            f"THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}_runs{k})"
+        )
+    return steps
+
+
+def _fold_steps(tree: str, name: str, levels: int) -> list[str]:
+    """Folding along the runs of ``tree``, from ``name0`` to ``nameL``."""
+    steps = []
+    for k in range(levels):
+        before = "array_to_string(hs[1:place % 16], '')"
+        after = "array_to_string(hs[place % 16 + 2:], '')"
+        steps.append(
+            f"{name}{k + 1} AS (SELECT f.* EXCLUDE (place, acc, proof), f.place // 16 AS place, "
+            f"CASE WHEN r.n = 1 THEN acc ELSE sha256({before} || acc || {after}) END AS acc, "
+            f"proof || {before} || {after} AS proof "
+            f"FROM {name}{k} f JOIN {tree}_runs{k} r ON f.grp = r.grp AND f.place // 16 = r.run)"
+        )
+    return steps
+
+
+_LOWERED = (
+    "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+_ID_CRC = _CRC.replace("text", "CAST(doc_id AS VARCHAR)")
+_MANIFEST_STEPS = [
+    f"""digests AS MATERIALIZED (
+    SELECT doc_id, source, {_leaf("text")} AS leaf,
+           CASE WHEN doc_id IS NOT NULL AND {_ID_CRC} % 5 = 0
+                THEN {_leaf(_LOWERED)} ELSE {_leaf("text")} END AS seen
+    FROM documents, crc_table
+)""",
+    """leaves AS MATERIALIZED (
+    SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp,
+           row_number() OVER (
+               PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM digests
+)""",
+    "node0 AS (SELECT grp, place, n, leaf AS h FROM leaves)",
+    *_tree_steps("node", _DOC_LEVELS),
+    f"""top0 AS (
+    SELECT 0 AS grp, grp AS place, count(*) OVER () AS n, h FROM node{_DOC_LEVELS}
+)""",
+    *_tree_steps("top", _SOURCE_LEVELS),
+    """path0 AS (
+    SELECT doc_id, leaf, grp, place, seen AS acc, '' AS proof FROM leaves
+)""",
+    *_fold_steps("node", "path", _DOC_LEVELS),
+    f"""climb0 AS (
+    SELECT p.doc_id, p.leaf, s.h AS subroot, 0 AS grp, p.grp AS place, p.acc, p.proof
+    FROM path{_DOC_LEVELS} p JOIN node{_DOC_LEVELS} s USING (grp)
+)""",
+    *_fold_steps("top", "climb", _SOURCE_LEVELS),
+]
+
+MANIFEST = f"""
+WITH RECURSIVE {_CRC_TABLE}, {", ".join(_MANIFEST_STEPS)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256,
+       acc AS folded_root, acc = h AS verified
+FROM climb{_SOURCE_LEVELS} JOIN top{_SOURCE_LEVELS} USING (grp)
+"""
