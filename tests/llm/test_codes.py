@@ -1,0 +1,150 @@
+"""Vector codes against plain Python integers, the pieces they are made of, and edge rows."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from edge_rows import small  # noqa: F401
+from hypothesis import given, settings, strategies as st
+
+from tillroll.llm import codes
+from tillroll.llm.queries import QUERIES
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, row string, code string, part string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA)
+
+
+def expected(rows, parts=8, entries=16, rounds=6):
+    """Codes of (id, vector, label) rows in ids' order, by whole numbers alone."""
+    kept = [
+        (i, [math.floor(4096 * float(np.float32(x))) for x in v], label)
+        for i, v, label in rows
+        if v and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    if not kept:
+        return []
+    width = len(kept[0][1]) // parts
+    code, error, text = [""] * len(kept), [0] * len(kept), []
+    for p in range(parts):
+        points = [v[p * width : (p + 1) * width] for _, v, _ in kept]
+        book = [list(x) for x in points[:entries]]
+
+        def nearest(x):
+            return min(
+                (sum((a - b) ** 2 for a, b in zip(x, c)), k) for k, c in enumerate(book)
+            )
+
+        for _ in range(rounds):
+            own = defaultdict(list)
+            for x in points:
+                own[nearest(x)[1]].append(x)
+            for k, mine in own.items():
+                book[k] = [sum(c) // len(mine) for c in zip(*mine)]
+        for r, x in enumerate(points):
+            apart, k = nearest(x)
+            code[r] += f"{k:02x}"
+            error[r] += apart
+        text += [str(c) for entry in book for c in entry]
+    digest = hashlib.sha256(",".join(text).encode()).hexdigest()
+    by_label = Counter()
+    for (_, _, label), e in zip(kept, error):
+        by_label[label] += e
+    return [
+        (i, c, e, by_label[label], digest) for (i, _, label), c, e in zip(kept, code, error)
+    ]
+
+
+def vectors(n, seed, dim=16, wide=1.0):
+    draw = random.Random(seed)
+    return [
+        (i, [draw.gauss(0, wide) for _ in range(dim)], draw.choice([None, 1, 1, 2]))
+        for i in range(n)
+    ]
+
+
+same = [0.25] * 16
+CASES = {
+    "random": vectors(300, 1),
+    "few": vectors(5, 2),
+    "one": vectors(1, 3),
+    "hot vector": vectors(40, 4) + [(i, same, 7) for i in range(100, 400)],
+    "all alike": [(i, same, 1) for i in range(50)],
+    "negative halves": [(i, [-(i % 5) / 8192] * 16, None) for i in range(60)],
+    "left out": vectors(30, 5) + [
+        (100, None, 1), (101, [], 1), (102, [float("nan")] * 16, 2),
+        (103, [float("inf")] + [0.0] * 15, 2), (104, [None] + [0.0] * 15, 2),
+        (105, [-float("inf")] + [0.0] * 15, None),
+    ],
+    "zeros, repeats, null ids": vectors(20, 6) * 3 + [(None, [0.0] * 16, None)] * 3,
+    "only bad": [(1, None, 1), (2, [float("nan")] * 16, 1)],
+    "empty": [],
+    "large": vectors(60, 7, wide=9000.0),
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_codes_are_those_of_plain_numbers(spark, case):
+    found = codes.code_report(table(spark, CASES[case])).collect()
+    assert Counter(map(tuple, found)) == Counter(expected(CASES[case]))
+
+
+def test_whole_table(spark, small):
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").collect()
+    found = QUERIES["op11_hilbert_block_codes"](spark, small).collect()
+    want = expected([(r.vec_id, r.embedding, r.label) for r in rows])
+    assert Counter(map(tuple, found)) == Counter(want)
+
+
+def test_blocks_of_any_size_and_layout(spark, monkeypatch):
+    rows = CASES["hot vector"]
+    want = Counter(expected(rows))
+    for block, parts in ((1, 3), (7, 5), (4096, 1)):
+        monkeypatch.setattr(codes, "BLOCK_ROWS", block)
+        found = codes.code_report(table(spark, rows).repartition(parts)).collect()
+        assert Counter(map(tuple, found)) == want
+
+
+def test_refused(spark):
+    with pytest.raises(ValueError):
+        codes.product_codes(table(spark, [(1, [0.0] * 12, 1)]))
+    with pytest.raises(ValueError):
+        codes.product_codes(table(spark, vectors(3, 1)), entries=257)
+    with pytest.raises(Exception, match="beyond 32768"):
+        codes.product_codes(table(spark, [(1, [4e4] * 16, 1)]))
+
+
+def test_other_lengths_take_no_part(spark):
+    rows = vectors(30, 8)
+    found = codes.code_report(table(spark, rows + [(90, [1.0] * 24, 1)])).collect()
+    assert Counter(map(tuple, found)) == Counter(expected(rows))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.integers(1, 40), st.integers(1, 5), st.sampled_from([2, 30, 4000]))
+def test_shortlists_lose_no_nearest_entry(seed, n, width, wide):
+    draw = np.random.default_rng(seed)
+    entries = draw.integers(-wide, wide, (9, width))
+    points = draw.integers(-wide, wide, (1, width)) + draw.integers(-3, 4, (n, width))
+    listed = codes.shortlist(points.min(axis=0), points.max(axis=0), entries)
+    found = codes.assign(points, entries, listed)
+    whole = codes.assign(points, entries, np.arange(9))
+    assert (found[0] == whole[0]).all() and (found[1] == whole[1]).all()
+
+
+def test_the_curve_visits_neighbours():
+    for axes, bits in ((2, 4), (3, 3)):
+        side = 1 << bits
+        grid = np.stack(np.meshgrid(*[np.arange(side)] * axes), -1).reshape(-1, axes)
+        keys = codes.hilbert_keys(grid, 0, side - 1, bits)
+        assert len(set(keys)) == side**axes
+        walk = grid[np.argsort(np.array([int.from_bytes(k, "big") for k in keys]))]
+        assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()

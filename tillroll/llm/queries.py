@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import sql
+from tillroll.llm.codes import code_report
 from tillroll.llm.common import open_table
 from tillroll.llm.manifest import tamper_report
 from tillroll.llm.neighbours import nearest
@@ -76,7 +77,12 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tamper_report(open_table(spark, sf_dir, "documents"))
 
 
+def op11_hilbert_block_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_report(open_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op11_hilbert_block_codes": op11_hilbert_block_codes,
     "op13_merkle_manifest": op13_merkle_manifest,
     "op6_kmeans_tree_neighbours": op6_kmeans_tree_neighbours,
     "op10_grouped_prefix_join": op10_grouped_prefix_join,
@@ -93,5 +99,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_curriculum_mixing": sql.MIXING,
     "op3_rendezvous_sharding": sql.SHARDING,
+    "op11_hilbert_block_codes": sql.CODES,
     "op13_merkle_manifest": sql.MANIFEST,
 }

@@ -173,3 +173,69 @@ SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256,
        acc AS folded_root, acc = h AS verified
 FROM climb{_SOURCE_LEVELS} JOIN top{_SOURCE_LEVELS} USING (grp)
 """
+
+
+_PARTS, _ENTRIES, _ROUNDS, _WIDTH = 8, 16, 6, 8
+_SQUARED = " + ".join(f"(p.v[{i}] - b.v[{i}]) * (p.v[{i}] - b.v[{i}])" for i in range(1, _WIDTH + 1))
+_MEANS = ", ".join(
+    f"CAST(floor(sum(v[{i}]) / CAST(count(*) AS DOUBLE)) AS BIGINT)" for i in range(1, _WIDTH + 1)
+)
+
+
+def _nearest(round_: int) -> str:
+    """Each part with its nearest entry: the least of (distance, index)."""
+    return f"""near{round_} AS MATERIALIZED (
+    SELECT p.vec_id, p.part, any_value(p.v) AS v,
+           min({{'apart': {_SQUARED}, 'entry': b.entry}}) AS best
+    FROM parts p JOIN book{round_} b USING (part) GROUP BY p.vec_id, p.part
+)"""
+
+
+def _refined(round_: int) -> str:
+    """Entries of the next round; one without points stays."""
+    return f"""book{round_ + 1} AS MATERIALIZED (
+    SELECT b.part, b.entry, coalesce(m.v, b.v) AS v
+    FROM book{round_} b LEFT JOIN (
+        SELECT part, best.entry AS entry, [{_MEANS}] AS v
+        FROM near{round_} GROUP BY part, best.entry
+    ) m USING (part, entry)
+)"""
+
+
+_CODE_STEPS = [
+    """kept AS MATERIALIZED (
+    SELECT vec_id, label,
+           list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+    f"""parts AS MATERIALIZED (
+    SELECT vec_id, part, v[part * {_WIDTH} + 1:part * {_WIDTH} + {_WIDTH}] AS v
+    FROM kept, range({_PARTS}) t(part)
+)""",
+    f"""book0 AS MATERIALIZED (
+    SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v
+    FROM parts QUALIFY entry < {_ENTRIES}
+)""",
+    *[step(k) for k in range(_ROUNDS) for step in (_nearest, _refined)],
+    _nearest(_ROUNDS),
+    f"""coded AS (
+    SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code,
+           CAST(sum(best.apart) AS BIGINT) AS error
+    FROM near{_ROUNDS} GROUP BY vec_id
+)""",
+    f"""digest AS (
+    SELECT sha256(string_agg(CAST(v[at_] AS VARCHAR), ',' ORDER BY part, entry, at_)) AS sha
+    FROM book{_ROUNDS}, range(1, {_WIDTH + 1}) t(at_)
+)""",
+]
+
+# Means are below 2^53 in these tables, so their floors in doubles are exact.
+CODES = f"""
+WITH {", ".join(_CODE_STEPS)}
+SELECT vec_id, code, error,
+       CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       sha AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest
+"""
