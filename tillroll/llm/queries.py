@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import sql
+from tillroll.llm.circulant import circulant_duplicates
 from tillroll.llm.codes import code_report
 from tillroll.llm.common import open_table
 from tillroll.llm.manifest import tamper_report
@@ -81,7 +82,12 @@ def op11_hilbert_block_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_report(open_table(spark, sf_dir, "embeddings"))
 
 
+def op12_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant_duplicates(open_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op12_circulant_minhash": op12_circulant_minhash,
     "op11_hilbert_block_codes": op11_hilbert_block_codes,
     "op13_merkle_manifest": op13_merkle_manifest,
     "op6_kmeans_tree_neighbours": op6_kmeans_tree_neighbours,
