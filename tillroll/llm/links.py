@@ -27,13 +27,13 @@ def least_common(total):
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """Parity of the elements in each of some buckets, at least one bucket per element.
+    """Parity of the elements in each of some buckets, at least four buckets per element.
 
     Two sets differ in at least as many elements as their sketches differ in bits, so
     a pair too far apart here cannot be linked, and no linked pair ever is. Halves of
     a sketch, added, are the sketch with half as many buckets.
     """
-    buckets = max(256, 1 << (max(1, len(own)) - 1).bit_length())
+    buckets = max(1024, 4 << (max(1, len(own)) - 1).bit_length())
     odd = np.bincount(own & (buckets - 1), minlength=buckets) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
