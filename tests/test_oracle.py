@@ -19,7 +19,7 @@ def con():
 
 
 def test_every_report_has_sql():
-    assert set(REPORTS) == set(ORACLE_SQL) and len(REPORTS) == 39
+    assert set(REPORTS) == set(ORACLE_SQL) and len(REPORTS) == 47
     assert set(REPORTS) <= set(driver.queries()) and set(ORACLE_SQL) <= set(driver.oracle_sql())
 
 

@@ -21,16 +21,20 @@ def parse_invoice_date(text: Column, strict: bool = True) -> Column:
 
     Malformed text is an error in every session mode, or NULL with ``strict=False``.
     """
-    parts = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{1,2})$"
+    form = r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$"
 
-    def part(index: int) -> Column:
-        return F.regexp_extract(text, parts, index).try_cast("int")
+    def cut(value: Column, mark: str, index: int) -> Column:
+        return F.split_part(value, F.lit(mark), F.lit(index))
 
-    parsed = F.try_make_timestamp_ntz(part(3), part(1), part(2), part(4), part(5), F.lit(0))
+    day, time = cut(text, " ", 1), cut(text, " ", 2)
+    parts = [cut(day, "/", 3), cut(day, "/", 1), cut(day, "/", 2), cut(time, ":", 1), cut(time, ":", 2)]
+    made = F.try_make_timestamp_ntz(*[p.try_cast("int") for p in parts], F.lit(0))
+    # One match checks the whole text; after it the parts lie between fixed marks.
+    parsed = F.when(text.rlike(form), made)
     if not strict:
         return parsed
     error = F.raise_error(F.concat(F.lit(f"cannot parse as {DATE_PATTERN}: "), text))
-    return F.when(text.isNotNull() & parsed.isNull(), error).otherwise(parsed)
+    return F.coalesce(parsed, F.when(text.isNotNull(), error))
 
 
 def as_invoice_text(timestamp: Column) -> Column:

@@ -17,10 +17,13 @@ _LONG_DIGITS = 19
 _MOST_DIGITS = 38
 
 
-def _exact(value: Column, kind: T.DecimalType, what: str) -> Column:
-    """``value`` as a decimal of that type, or an error if that would change it."""
+def exact_as(value: Column, kind: T.DecimalType, what: str) -> Column:
+    """``value`` as a decimal of that type, or an error if that would change it.
+
+    A double price is taken as the decimal it prints as; anything else must be equal.
+    """
     made = value.try_cast(kind)
-    same = made.cast("double") == value if what == "price" else made.isNotNull()
+    same = made.cast("double") == value if what == "price" else made == value
     message = F.concat(F.lit(f"{what} does not fit {kind.simpleString()}: "), value.cast("string"))
     return F.when(value.isNull() | F.coalesce(same, F.lit(False)), made).otherwise(
         F.raise_error(message)
@@ -38,18 +41,25 @@ def exact_revenue_sum(df: DataFrame) -> Column:
     price_type = df.schema["unitprice"].dataType
     price = F.col("unitprice")
     if not isinstance(price_type, T.DecimalType):
-        price_type, price = DOUBLE_PRICE_TYPE, _exact(price, DOUBLE_PRICE_TYPE, "price")
+        price_type, price = DOUBLE_PRICE_TYPE, exact_as(price, DOUBLE_PRICE_TYPE, "price")
     digits = min(_LONG_DIGITS, _MOST_DIGITS - 1 - price_type.precision)
     if digits < 1:
         raise ValueError(f"{price_type.simpleString()} leaves no digit for quantities")
     quantity = F.col("quantity")
     if digits < _LONG_DIGITS:
-        quantity = _exact(quantity, T.DecimalType(digits, 0), "quantity")
+        quantity = exact_as(quantity, T.DecimalType(digits, 0), "quantity")
     else:
         quantity = quantity.cast(T.DecimalType(digits, 0))
     value = quantity * price
+    return exact_sum(value)
+
+
+def exact_sum(value: Column) -> Column:
+    """The sum of decimals, or an error if it has more than 38 digits.
+
+    Without ANSI mode Spark gives NULL for such a sum.
+    """
     total = F.sum(value)
-    # Without ANSI mode Spark gives NULL for a sum that does not fit.
     too_long = total.isNull() & (F.count(value) > 0)
     return F.when(too_long, F.raise_error(F.lit("sum overflow: more than 38 digits"))).otherwise(
         total

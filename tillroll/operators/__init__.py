@@ -38,13 +38,22 @@ from tillroll.operators.quality import (
 )
 from tillroll.operators.revenue import (
     best_worst_month,
+    daily_revenue,
     month_over_month,
     monthly_revenue,
     revenue_by_country,
+    running_days,
+    running_invoices,
     running_total,
 )
 from tillroll.operators.shape import with_invoice_timestamp, with_month, with_revenue
-from tillroll.operators.windows import exact_ntile, pct_of_total, top_ranked
+from tillroll.operators.windows import (
+    exact_ntile,
+    numbered,
+    pct_of_total,
+    top_ranked,
+    with_running_values,
+)
 
 __all__ = [
     "avg_order_value",
@@ -53,6 +62,7 @@ __all__ = [
     "clean_sales",
     "customer_quartiles",
     "customer_revenue",
+    "daily_revenue",
     "date_range",
     "distinct_country_lines",
     "distinct_invoices",
@@ -64,6 +74,7 @@ __all__ = [
     "invoice_grain",
     "month_over_month",
     "monthly_revenue",
+    "numbered",
     "pct_of_total",
     "preview",
     "quality_count",
@@ -73,6 +84,8 @@ __all__ = [
     "quartile_summary",
     "revenue_by_country",
     "row_count",
+    "running_days",
+    "running_invoices",
     "running_total",
     "top_customers",
     "top_k",
@@ -84,4 +97,5 @@ __all__ = [
     "with_invoice_timestamp",
     "with_month",
     "with_revenue",
+    "with_running_values",
 ]

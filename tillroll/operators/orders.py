@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from tillroll.functions import (
+    DOUBLE_PRICE_TYPE,
     divide_rounded,
+    exact_as,
     exact_revenue_sum,
     month_start,
     rounded_revenue_sum,
@@ -73,8 +76,8 @@ def invoice_bucket_share(df: DataFrame) -> DataFrame:
     return pct_of_total(counts, "bucket_count")
 
 
-# Wide for the money of one invoice; leaves room for a quantity beside it.
-_INVOICE_VALUE = "decimal(28,4)"
+# Digits for the money of one invoice; they leave room for a quantity beside it.
+_INVOICE_DIGITS = 28
 
 
 def invoice_grain(df: DataFrame) -> DataFrame:
@@ -83,9 +86,13 @@ def invoice_grain(df: DataFrame) -> DataFrame:
     Each row is one unit at a price that is the exact sum, so every report on revenue
     by month, country, invoice or customer gives the same result on it as on the
     lines: sums of sums are exact, and rounding comes after. Country counts of invoices
-    are kept as well. What is below a line's level (products, quantities) is gone.
+    are kept as well. What is below a line's level (products, quantities) is gone. The sums
+    have all decimals of the prices; one too long for 28 digits is an error.
     """
-    total = exact_revenue_sum(df).cast(_INVOICE_VALUE).alias("unitprice")
+    price_type = df.schema["unitprice"].dataType
+    decimal = price_type if isinstance(price_type, T.DecimalType) else DOUBLE_PRICE_TYPE
+    kind = T.DecimalType(_INVOICE_DIGITS, min(decimal.scale, _INVOICE_DIGITS))
+    total = exact_as(exact_revenue_sum(df), kind, "invoice value").alias("unitprice")
     month = month_start(F.col("invoicedate")).cast("timestamp_ntz").alias("invoicedate")
     return (
         clean_sales(df)

@@ -10,8 +10,8 @@ from tillroll.functions import (
     order_columns,
     rounded_revenue_sum,
 )
-from tillroll.operators.explore import top_k
 from tillroll.operators.quality import clean_sales
+from tillroll.operators.windows import with_running_values
 
 
 def revenue_by_country(df: DataFrame, scope: str = "clean") -> DataFrame:
@@ -68,8 +68,58 @@ def running_total(monthly: DataFrame) -> DataFrame:
 def best_worst_month(monthly: DataFrame) -> DataFrame:
     """The month with most revenue and the month with least, in two rows.
 
-    The earlier month wins a tie; a single month appears in both rows.
+    The earlier month wins a tie; a single month appears in both rows. Both come from
+    one aggregate over the months. A NULL month comes last, as in ``ORDER BY``.
     """
-    best = top_k(monthly, ["-total_revenue", "month"], 1)
-    worst = top_k(monthly, ["total_revenue", "month"], 1)
-    return best.unionByName(worst)
+    month, revenue = F.col("month"), F.col("total_revenue")
+    # Days from here on, as a number, so that the earlier month can be the larger one.
+    day = F.datediff(month.cast("date"), F.lit("1970-01-01").cast("date"))
+    row = F.struct(month.alias("month"), revenue.alias("total_revenue"))
+    early = F.coalesce(day, F.lit(_LAST_DAY))
+    ends = monthly.filter(revenue.isNotNull()).agg(
+        F.max_by(row, F.struct(revenue, -early)).alias("best"),
+        F.min_by(row, F.struct(revenue, early)).alias("worst"),
+    )
+    both = ends.select(F.explode(F.array("best", "worst")).alias("row"))
+    return both.filter(F.col("row").isNotNull()).select("row.month", "row.total_revenue")
+
+
+# Later than any month.
+_LAST_DAY = 2_000_000_000
+
+
+def daily_revenue(df: DataFrame) -> DataFrame:
+    """Clean revenue per calendar day; days without sales are absent."""
+    return (
+        clean_sales(df)
+        .groupBy(F.col("invoicedate").cast("date").alias("day"))
+        .agg(rounded_revenue_sum(df).alias("total_revenue"))
+        .withColumn("day", F.col("day").cast("timestamp_ntz"))
+    )
+
+
+def running_days(daily: DataFrame) -> DataFrame:
+    """Each day with the revenue so far and the change on the day before it in the data.
+
+    Days may be many (or invoices, see ``running_invoices``), so no window spans them all.
+    """
+    made = with_running_values(daily, "total_revenue", ["day"], "running_total", "previous_day")
+    return made.withColumn(
+        "revenue_change", F.round(F.col("total_revenue") - F.col("previous_day"), 2)
+    )
+
+
+def running_invoices(df: DataFrame) -> DataFrame:
+    """Each clean invoice in order of time with the revenue of all up to it."""
+    invoices = (
+        clean_sales(df)
+        .groupBy("invoiceno")
+        .agg(
+            F.min("invoicedate").alias("invoicedate"),
+            rounded_revenue_sum(df).alias("total_invoice_value"),
+        )
+    )
+    return with_running_values(
+        invoices, "total_invoice_value", ["invoicedate", "invoiceno"], "running_total",
+        "previous_value",
+    )

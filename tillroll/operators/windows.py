@@ -65,29 +65,37 @@ def top_ranked(
     ).drop("_group", "_value")
 
 
-def exact_ntile(df: DataFrame, k: int, order: Sequence[str], name: str) -> DataFrame:
-    """``ntile(k)`` over the whole table without moving it into one task.
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add the row's place in the order, from 0 without gaps, without one task for all rows.
 
-    ``order`` lists column names, ``-`` for descending, and must end in a unique
-    key. The rows are range-partitioned and sorted,
-    numbered within their partition, and written once so that the numbers stay
-    fixed. The rows ahead of each partition follow from the partition sizes,
-    a table of one row per range partition whatever the size of the data, which is
-    why it may be broadcast. Position and row count then give the tile: with
-    ``size, extra = divmod(rows, k)`` the first ``extra`` tiles hold
-    ``size + 1`` rows and the others ``size``.
+    Rows are range-partitioned and sorted, numbered within their partition and written once,
+    which fixes the numbers; the rows ahead of each partition are added from a table of one
+    row per partition. Among rows equal in ``order`` the places are arbitrary.
     """
+    sorted_ = _sorted_ranges(df, order, "numbered")
+    place = F.col("_start") + F.col("_id").bitwiseAND(F.lit(_ROW_MASK))
+    return sorted_.join(F.broadcast(_range_starts(sorted_)), "_partition").select(
+        *df.columns, place.alias(name)
+    )
+
+
+def _sorted_ranges(df: DataFrame, order: Sequence[str], label: str) -> DataFrame:
+    """The rows in sorted ranges, written once, with ``_partition`` and ``_id``."""
     by = order_columns(order)
-    numbered = freeze(
+    stored = freeze(
         df.repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .withColumn("_id", F.monotonically_increasing_id()),
-        "ntile",
+        label,
     )
-    partition = F.shiftright("_id", _ROW_BITS).alias("_partition")
+    return stored.withColumn("_partition", F.shiftright("_id", _ROW_BITS))
+
+
+def _range_starts(ranges: DataFrame) -> DataFrame:
+    """``_start``, the rows ahead of each range, and ``_total``, all rows."""
     earlier = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        numbered.groupBy(partition)
+    return (
+        ranges.groupBy(F.shiftright("_id", _ROW_BITS).alias("_partition"))
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(
             "_partition",
@@ -95,6 +103,66 @@ def exact_ntile(df: DataFrame, k: int, order: Sequence[str], name: str) -> DataF
             F.sum("_rows").over(Window.partitionBy()).alias("_total"),
         )
     )
+
+
+def with_running_values(
+    df: DataFrame,
+    value: str,
+    order: Sequence[str],
+    running: str = "running_total",
+    previous: str = "previous",
+) -> DataFrame:
+    """``sum(value)`` over all rows so far and ``lag(value, 1, 0)``, at any number of rows.
+
+    A window without a partition key takes all rows through one task. Here they are
+    cut into sorted ranges, written once; within a range the window is partitioned by it,
+    and what earlier ranges carry over, their total and their last value, comes from a
+    table of one row per range, small enough to broadcast whatever the size of the data.
+    ``order`` must end in a unique key. A NULL value adds nothing; the first row has 0
+    before it.
+    """
+    ranges = _sorted_ranges(df, order, "running")
+    here = Window.partitionBy("_partition").orderBy("_id")
+    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        ranges.groupBy("_partition")
+        .agg(F.sum(value).alias("_sum"), F.max(F.struct("_id", value)).alias("_end"))
+        .select(
+            F.col("_partition").alias("_range"),
+            F.sum("_sum").over(earlier).alias("_before"),
+            F.col(f"_end.{value}").alias("_end"),
+            F.row_number().over(Window.orderBy("_partition")).alias("_n"),
+        )
+    )
+    # Every range has rows, so the last value before a range is that of the one ahead.
+    last = Window.orderBy("_range")
+    carried = carried.withColumn("_last", F.lag("_end", 1).over(last))
+    joined = ranges.join(F.broadcast(carried), F.col("_partition") == F.col("_range"))
+    inside = F.sum(value).over(so_far)
+    total = F.when(
+        inside.isNull() & F.col("_before").isNull(), F.lit(None)
+    ).otherwise(F.coalesce("_before", F.lit(0)) + F.coalesce(inside, F.lit(0)))
+    first_here = F.row_number().over(here) == 1
+    before = F.when(
+        first_here, F.when(F.col("_n") == 1, F.lit(0)).otherwise(F.col("_last"))
+    ).otherwise(F.lag(value, 1).over(here))
+    return joined.select(*df.columns, total.alias(running), before.alias(previous))
+
+
+def exact_ntile(df: DataFrame, k: int, order: Sequence[str], name: str) -> DataFrame:
+    """``ntile(k)`` over the whole table without moving it into one task.
+
+    ``order`` lists column names, ``-`` for descending, and must end in a unique
+    key. The rows are range-partitioned and sorted,
+    numbered within their partition, and written once so that the numbers stay
+    fixed. The rows ahead of each partition follow from the partition sizes,
+    a table of one row per range partition whatever the size of the data, which is
+    why it may be broadcast. Position and row count then give the tile: with
+    ``size, extra = divmod(rows, k)`` the first ``extra`` tiles hold
+    ``size + 1`` rows and the others ``size``.
+    """
+    ranges = _sorted_ranges(df, order, "ntile")
     position = F.col("_start") + F.col("_id").bitwiseAND(F.lit(_ROW_MASK))
     size = F.expr(f"_total div {int(k)}")
     extra = F.col("_total") % int(k)
@@ -102,8 +170,7 @@ def exact_ntile(df: DataFrame, k: int, order: Sequence[str], name: str) -> DataF
     larger = F.expr("_position div (_size + 1) + 1")
     smaller = F.expr("(_position - _extra) div greatest(_size, 1) + 1")
     return (
-        numbered.withColumn("_partition", partition)
-        .join(F.broadcast(starts), "_partition")
+        ranges.join(F.broadcast(_range_starts(ranges)), "_partition")
         .withColumns({"_position": position, "_size": size, "_extra": extra})
         .withColumn(name, F.when(in_larger, larger).otherwise(smaller))
         .select(*df.columns, name)

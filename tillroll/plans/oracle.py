@@ -129,6 +129,71 @@ ORACLE_SQL: dict[str, str] = {
        CAST(date_trunc('month', invoicedate) AS TIMESTAMP) AS month FROM sales""",
     ),
     "retype_invoice_date": _with(("sales",), f"SELECT {_ROW} FROM sales"),
+    "load_csv_with_quarantine": _with(
+        ("sales",),
+        """SELECT reason, CAST(count(*) AS BIGINT) AS lines,
+       CASE WHEN reason = 'stored' THEN CAST(sum(quantity) AS BIGINT) END AS units
+FROM (SELECT *, CASE CAST(stockcode AS BIGINT) % 40
+                WHEN 4 THEN 'fields' WHEN 1 THEN 'quantity'
+                WHEN 2 THEN 'invoicedate' WHEN 3 THEN 'unitprice' ELSE 'stored' END AS reason
+      FROM sales)
+GROUP BY reason""",
+    ),
+    "versioned_reload": _with(
+        ("sales", "clean"),
+        """SELECT CAST(1 AS BIGINT) AS version, country,
+       CAST(round(sum(quantity * unitprice), 2) AS DOUBLE) AS total_revenue
+FROM sales GROUP BY country
+UNION ALL
+SELECT CAST(2 AS BIGINT), country, CAST(round(sum(value), 2) AS DOUBLE)
+FROM clean GROUP BY country""",
+    ),
+    "stored_months": _with(
+        ("clean",),
+        """SELECT CAST(date_trunc('month', invoicedate) AS TIMESTAMP) AS month,
+       CAST(round(sum(value), 2) AS DOUBLE) AS total_revenue
+FROM clean
+WHERE (invoicedate >= TIMESTAMP '1996-05-01' AND invoicedate < TIMESTAMP '1996-06-01')
+   OR (invoicedate >= TIMESTAMP '1996-06-01' AND invoicedate < TIMESTAMP '1996-07-01'
+       AND quantity >= 10)
+GROUP BY 1""",
+    ),
+    "running_days": _with(
+        ("clean",),
+        """SELECT CAST(day AS TIMESTAMP) AS day, CAST(total AS DOUBLE) AS total_revenue,
+       CAST(sum(total) OVER (ORDER BY day) AS DOUBLE) AS running_total,
+       CAST(lag(total, 1, 0) OVER (ORDER BY day) AS DOUBLE) AS previous_day,
+       CAST(round(total - lag(total, 1, 0) OVER (ORDER BY day), 2) AS DOUBLE) AS revenue_change
+FROM (SELECT CAST(invoicedate AS DATE) AS day, round(sum(value), 2) AS total
+      FROM clean GROUP BY 1)""",
+    ),
+    "running_invoices": _with(
+        ("clean",),
+        """SELECT invoiceno, invoicedate, CAST(total AS DOUBLE) AS total_invoice_value,
+       CAST(sum(total) OVER (ORDER BY invoicedate, invoiceno) AS DOUBLE) AS running_total,
+       CAST(lag(total, 1, 0) OVER (ORDER BY invoicedate, invoiceno) AS DOUBLE)
+           AS previous_value
+FROM (SELECT invoiceno, min(invoicedate) AS invoicedate, round(sum(value), 2) AS total
+      FROM clean GROUP BY invoiceno)""",
+    ),
+    "incremental_revenue": _with(
+        ("clean",),
+        """SELECT CAST(date_trunc('month', invoicedate) AS TIMESTAMP) AS month, country,
+       CAST(round(sum(value), 2) AS DOUBLE) AS total_revenue
+FROM clean GROUP BY 1, 2""",
+    ),
+    "incremental_invoices": _with(
+        ("clean",),
+        """SELECT country, CAST(date_trunc('month', invoicedate) AS DATE) AS month,
+       CAST(count(DISTINCT invoiceno) AS BIGINT) AS unique_invoices
+FROM clean GROUP BY 1, 2""",
+    ),
+    "incremental_order_value": _with(
+        ("countries",),
+        """SELECT country, round(CAST(total AS DOUBLE) / invoices, 2) AS avg_order_value,
+       CAST(invoices AS BIGINT) AS unique_invoice_total
+FROM countries""",
+    ),
     "preview_rows": _with(
         ("sales",),
         f"""SELECT {_ROW} FROM sales

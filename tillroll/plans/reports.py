@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from tillroll import operators as ops
@@ -13,10 +14,17 @@ from tillroll.functions import as_invoice_text, order_columns
 from tillroll.schema import COLUMNS
 from tillroll.session import freeze, remove_at_exit, scratch_path
 from tillroll.sources import (
+    SalesSummary,
+    load_retail_csv,
+    publish_version,
     read_extract,
+    read_months,
+    read_quarantine,
     read_retail,
     read_retail_csv,
+    replace_months,
     retype_table,
+    save_months,
     save_retail,
     star_sales,
     write_extracts,
@@ -55,10 +63,103 @@ def load_csv(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "csv")
     write_retail_csv(_raw(df), path)
     remove_at_exit(spark, path)
-    loaded = read_retail_csv(spark, path, multi_line=True, empty_is_null=False)
+    loaded = read_retail_csv(spark, path, empty_is_null=False)
     return _stored(ops.with_invoice_timestamp(loaded), "retail")
 
 
+def _extract_with_faults(df: DataFrame, path: str) -> None:
+    """An extract some of whose lines do not fit: by their product, a price that is a word, a
+    quantity with a fraction, a date of a thirteenth month, or a field too many."""
+    code = F.col("stockcode").cast("bigint")
+
+    def spoilt(name: str, rest: int, text: Column) -> Column:
+        return F.when(code % 40 == rest, text).otherwise(F.col(name).cast("string")).alias(name)
+
+    raw = _raw(df).select(
+        "invoiceno", "stockcode", "description",
+        spoilt("quantity", 1, F.concat("quantity", F.lit(".5"))),
+        spoilt("invoicedate", 2, F.lit("13/1/2011 8:26")),
+        spoilt("unitprice", 3, F.lit("n/a")),
+        "customerid", "country",
+    )
+    write_retail_csv(raw.filter(code % 40 != 4), path)
+    more = raw.filter(code % 40 == 4).withColumn("more", F.lit("x"))
+    lines = more.select(F.to_csv(F.struct(*more.columns), {"escape": '"'}).alias("value"))
+    header = spark_lines(df.sparkSession, [",".join(COLUMNS)])
+    header.union(lines).coalesce(1).sortWithinPartitions(F.col("value") != ",".join(COLUMNS)).write.mode(
+        "append"
+    ).text(path)
+
+
+def spark_lines(spark: SparkSession, lines: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame([(line,) for line in lines], "value string")
+
+
+def load_csv_with_quarantine(df: DataFrame) -> DataFrame:
+    """Load an extract with faulty lines; what was stored and kept aside; runs when called.
+
+    One row per reason with its lines, and one, ``stored``, with the good lines and their
+    quantities.
+    """
+    spark = df.sparkSession
+    extract, target = scratch_path(spark, "faulty-csv"), scratch_path(spark, "loaded")
+    _extract_with_faults(df, extract)
+    remove_at_exit(spark, extract)
+    load_retail_csv(spark, extract, target, empty_is_null=False)
+    remove_at_exit(spark, target)
+    stored = read_retail(spark, target).agg(
+        F.lit("stored").alias("reason"), F.count(F.lit(1)).alias("lines"),
+        F.sum("quantity").alias("units"),
+    )
+    aside = read_quarantine(spark, target).groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+    return stored.unionByName(aside.withColumn("units", F.lit(None).cast("bigint")))
+
+
+def versioned_reload(df: DataFrame) -> DataFrame:
+    """Store the lines, then the clean ones in their place; both versions; runs when called."""
+    spark = df.sparkSession
+    target = scratch_path(spark, "versioned")
+    save_retail(df, target)
+    remove_at_exit(spark, target)
+    before = read_retail(spark, target)
+    publish_version(ops.clean_sales(before), target)
+    now = read_retail(spark, target)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            ops.revenue_by_country(rows, "raw").select(F.lit(n).alias("version"), "*")
+            for n, rows in ((1, before), (2, now))
+        ],
+    )
+
+
+# The month read from the store by month, and the one sent again with other quantities.
+_READ_MONTH, _SENT_AGAIN = date(1996, 5, 1), date(1996, 6, 1)
+
+
+def stored_months(df: DataFrame) -> DataFrame:
+    """Store by month, send one month again without its small lines, read two; runs when called."""
+    spark = df.sparkSession
+    target = scratch_path(spark, "months")
+    save_months(df, target)
+    remove_at_exit(spark, target)
+    sent = read_months(spark, target, _SENT_AGAIN, _SENT_AGAIN)
+    replace_months(sent.filter(F.col("quantity") >= 10), target)
+    return ops.monthly_revenue(read_months(spark, target, _READ_MONTH, _SENT_AGAIN))
+
+
+def _summed_up(df: DataFrame) -> SalesSummary:
+    """A summary that has taken in the lines as three extracts, the first of them twice."""
+    spark = df.sparkSession
+    target = scratch_path(spark, "summary")
+    summary = SalesSummary(spark, target)
+    part = F.pmod(F.xxhash64("invoiceno", "stockcode"), F.lit(3))
+    for k in (0, 1, 2, 0):
+        summary = summary.add(df.filter(part == k), f"part-{k}")
+    remove_at_exit(spark, target)
+    return summary
+
+
 def retype_invoice_date(df: DataFrame) -> DataFrame:
     """Store the table with text dates, then retype it in place; runs when called."""
     spark = df.sparkSession
@@ -126,6 +227,9 @@ REPORTS: dict[str, Report] = {
     "parse_invoice_dates": parse_invoice_dates,
     "invoice_months": invoice_months,
     "retype_invoice_date": retype_invoice_date,
+    "load_csv_with_quarantine": load_csv_with_quarantine,
+    "versioned_reload": versioned_reload,
+    "stored_months": stored_months,
     # exploration
     "preview_rows": lambda df: ops.preview(df, 10, COLUMNS),
     "row_count": ops.row_count,
@@ -154,6 +258,11 @@ REPORTS: dict[str, Report] = {
     "best_worst_month": lambda df: ops.best_worst_month(ops.monthly_revenue(df)),
     "running_total": lambda df: ops.running_total(ops.monthly_revenue(df)),
     "month_over_month": lambda df: ops.month_over_month(ops.monthly_revenue(df)),
+    "running_days": lambda df: ops.running_days(ops.daily_revenue(df)),
+    "running_invoices": ops.running_invoices,
+    "incremental_revenue": lambda df: _summed_up(df).revenue("month", "country"),
+    "incremental_invoices": lambda df: _summed_up(df).invoices("country", "month"),
+    "incremental_order_value": lambda df: _summed_up(df).avg_order_value(),
     # orders
     "avg_order_value": lambda df: _sorted(ops.avg_order_value(df), _AVERAGE_ORDER),
     "avg_order_value_with_counts": lambda df: _sorted(

@@ -9,27 +9,41 @@ from pyspark.sql import types as T
 
 from tillroll.operators.shape import with_invoice_timestamp
 from tillroll.schema import CSV_ENCODING, PRICE_TYPE, RAW_SCHEMA
-from tillroll.session import file_system
+from tillroll.sources.versions import current_version, publish_version, version_folders
 
 # More decimals than any price list; what a text has beyond shows in its digits.
 _WIDE_PRICE = T.DecimalType(38, 18)
 _FAR_DECIMALS = r"\.\d{18}\d*[1-9]|[eE]-"
 # Never found in a field: with it, an empty field in quotes is empty text, not NULL.
-_NO_TEXT = "\u0001"
-_BLANKS_KEPT = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+NO_TEXT = "\u0001"
+BLANKS_KEPT = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def _price(text: Column, kind: T.DecimalType) -> Column:
     """A price from its text, or an error where the type cannot hold it exactly."""
-    text = F.trim(text)
-    wide, price = text.try_cast(_WIDE_PRICE), text.try_cast(kind)
-    exact = price.isNotNull() & (wide == price) & ~text.rlike(_FAR_DECIMALS)
-    message = F.concat(F.lit(f"not a price of type {kind.simpleString()}: "), text)
-    return F.when(text.isNull() | F.coalesce(exact, F.lit(False)), price).otherwise(
-        F.raise_error(message)
+    return F.coalesce(
+        exact_price(text, kind),
+        F.when(
+            text.isNotNull(),
+            F.raise_error(F.concat(F.lit(f"not a price of type {kind.simpleString()}: "), text)),
+        ),
     )
 
 
+def exact_price(text: Column, kind: T.DecimalType) -> Column:
+    """A price from its text, or NULL where the type cannot hold it exactly.
+
+    A short text without an exponent has no decimals beyond the wide type's, so the pattern
+    that looks for them is spared.
+    """
+    text = F.trim(text)
+    wide = text.try_cast(_WIDE_PRICE)
+    price = wide.try_cast(kind)
+    plain = (F.length(text) <= _WIDE_PRICE.scale) & ~text.contains("e") & ~text.contains("E")
+    exact = (wide == price) & (plain | ~text.rlike(_FAR_DECIMALS))
+    return F.when(exact, price)
+
+
 def read_retail_csv(
     spark: SparkSession,
     path: str,
@@ -64,9 +78,9 @@ def read_retail_csv(
         encoding=encoding,
         escape='"',
         multiLine=multi_line,
-        nullValue="" if empty_is_null else _NO_TEXT,
+        nullValue="" if empty_is_null else NO_TEXT,
         mode="FAILFAST",
-        **_BLANKS_KEPT,
+        **BLANKS_KEPT,
     )
     return rows.withColumn("unitprice", _price(F.col("unitprice"), price_type))
 
@@ -85,62 +99,48 @@ def write_retail_csv(df: DataFrame, path: str, encoding: str = CSV_ENCODING) ->
                 text = F.col(field.name)
                 error = F.raise_error(F.concat(F.lit(f"not in {encoding}: "), text))
                 df = df.withColumn(field.name, F.when(text.rlike(outside), error).otherwise(text))
-    df.write.csv(path, header=True, encoding=encoding, escape='"', **_BLANKS_KEPT)
+    df.write.csv(path, header=True, encoding=encoding, escape='"', **BLANKS_KEPT)
 
 
 def _is_path(target: str) -> bool:
     return "/" in target
 
 
-def read_retail(spark: SparkSession, source: str) -> DataFrame:
+def read_retail(spark: SparkSession, source: str, version: int | None = None) -> DataFrame:
     """Open a stored table by path (Parquet) or by one- to three-part name.
 
     Column names come back in lower case. Renames alone do not stop filters
-    and column pruning from reaching the files.
-    """
-    df = spark.read.parquet(source) if _is_path(source) else spark.table(source)
-    return df.toDF(*[name.lower() for name in df.columns])
-
-
-def _swap_in(df: DataFrame, target: str) -> None:
-    """Replace the files under ``target`` once the new ones are complete.
-
-    They are written beside it. Until they are, and if that fails, the old table is
-    untouched; so ``df`` may read it. The swap is two renames: if it is cut
-    between them, the old table is whole in the folder named ``.old-``.
+    and column pruning from reaching the files. Of a path the current version is read, or
+    the one named. Columns whose names start with an underscore are a loader's own
+    and are left out.
     """
-    spark = df.sparkSession
-    target = target.rstrip("/")
-    mark = uuid.uuid4().hex
-    files, here = file_system(spark, target)
-    _, new = file_system(spark, f"{target}.new-{mark}")
-    _, old = file_system(spark, f"{target}.old-{mark}")
-    try:
-        df.write.parquet(new.toString())
-    except Exception:
-        files.delete(new, True)
-        raise
-    if files.exists(here) and not files.rename(here, old):
-        raise OSError(f"cannot move {target}")
-    if not files.rename(new, here):
-        files.rename(old, here)
-        raise OSError(f"cannot replace {target}")
-    files.delete(old, True)
-    spark.catalog.refreshByPath(target)
+    if _is_path(source):
+        df = spark.read.parquet(*version_folders(spark, source, version))
+    else:
+        df = spark.table(source)
+    kept = [name for name in df.columns if not name.startswith("_")]
+    return df.select(*[F.col(f"`{name}`").alias(name.lower()) for name in kept])
 
 
 def save_retail(df: DataFrame, target: str, mode: str = "ignore") -> None:
     """Store a table as Parquet under a path or a catalog name.
 
-    ``ignore`` keeps a table that exists; ``overwrite`` rebuilds it. A path may be
-    overwritten by rows that come from it; a catalog table refuses that.
+    ``ignore`` keeps a table that exists, ``errorifexists`` refuses, ``overwrite`` rebuilds it.
+    Under a path the rows become the next version of the table, in one step: readers see
+    the old one or the new one whole, whenever the job ends, and the rows may come
+    from the table itself. Old versions stay until ``release_versions``. A catalog table
+    refuses to be overwritten by its own rows.
     """
     if not _is_path(target):
         df.write.mode(mode).format("parquet").saveAsTable(target)
-    elif mode == "overwrite":
-        _swap_in(df, target)
-    else:
-        df.write.mode(mode).parquet(target)
+        return
+    if mode not in ("ignore", "errorifexists", "overwrite"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode != "overwrite" and current_version(df.sparkSession, target) is not None:
+        if mode == "errorifexists":
+            raise FileExistsError(target)
+        return
+    publish_version(df, target)
 
 
 def _quoted(table: str) -> str:
@@ -151,15 +151,18 @@ def retype_table(spark: SparkSession, target: str) -> None:
     """Turn the text invoice dates of a stored table into timestamps, in place.
 
     A date that is none is an error and leaves the table as it was. A table
-    that is typed already is left alone, so the step can be repeated. A catalog table
-    is built under another name and takes the old one's place when complete.
+    that is typed already is left alone, so the step can be repeated. Under a path the typed
+    rows become the next version, unless another was published meanwhile, which is an
+    error. A catalog table is built under another name and takes the old one's place
+    when complete.
     """
-    stored = read_retail(spark, target)
+    based_on = current_version(spark, target) if _is_path(target) else None
+    stored = read_retail(spark, target, based_on)
     if not isinstance(stored.schema["invoicedate"].dataType, T.StringType):
         return
     typed = with_invoice_timestamp(stored)
     if _is_path(target):
-        save_retail(typed, target, mode="overwrite")
+        publish_version(typed, target, based_on)
         return
     mark = uuid.uuid4().hex
     made, before = f"{target}_new_{mark}", f"{target}_old_{mark}"
@@ -184,8 +187,7 @@ def open_or_create(spark: SparkSession, target: str, build) -> DataFrame:
     Reports then read one stored table instead of repeating the work behind it.
     """
     if _is_path(target):
-        files, folder = file_system(spark, target)
-        stored = files.exists(folder)
+        stored = current_version(spark, target) is not None
     else:
         stored = spark.catalog.tableExists(target)
     if not stored:
