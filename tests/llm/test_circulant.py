@@ -84,7 +84,7 @@ def test_components(spark, case):
 
 
 def test_small_blocks_and_no_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(circulant, "BLOCK", 8)
+    monkeypatch.setattr(links, "BLOCK", 8)
     monkeypatch.setattr(links, "BROADCAST_KEYS", 0)
     rows = CASES["at the threshold"]
     found = circulant.circulant_duplicates(documents(spark, rows).repartition(5)).collect()

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from edge_rows import LONG, TEXTS, documents, no_documents, small  # noqa: F401
 
-from tillroll.llm import fingerprints, jaccard, neighbours, privacy
+from tillroll.llm import fingerprints, jaccard, links, neighbours, privacy
 from tillroll.llm.queries import QUERIES
 
 # Fingerprints
@@ -192,8 +192,8 @@ def near_copies():
 def test_components(spark, monkeypatch, case):
     if case == "family in small blocks":
         monkeypatch.setattr(jaccard, "SHORT_LIST", 4)
-        monkeypatch.setattr(jaccard, "BLOCK", 16)
-        monkeypatch.setattr(jaccard, "BROADCAST_KEYS", 0)
+        monkeypatch.setattr(links, "BLOCK", 16)
+        monkeypatch.setattr(links, "BROADCAST_KEYS", 0)
     rows = TEXTS if case == "edge rows" else near_copies()
     found = jaccard.near_duplicates(documents(spark, rows)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == true_components(rows)
@@ -226,14 +226,38 @@ def test_filters_never_reject_a_link():
                                       draw.integers(-(2**62), 2**62, int(draw.integers(0, 40)))]))
         both = len(np.intersect1d(a, b))
         linked = 100 * both >= 80 * (len(a) + len(b) - both)
-        assert linked == (both >= jaccard.least_common(len(a) + len(b)))
+        assert linked == (both >= links.least_common(len(a) + len(b)))
         if linked and len(b):
             pa_, pb = a[: jaccard.prefix_length(len(a))], b[: jaccard.prefix_length(len(b))]
             assert len(np.intersect1d(pa_, pb))
-            sa, sb = (np.frombuffer(jaccard._sketch(x), np.uint8) for x in (a, b))
-            least = min(len(sa), len(sb))
-            apart = np.bitwise_count(jaccard._folded(sa, least) ^ jaccard._folded(sb, least)).sum()
-            assert apart <= len(a) + len(b) - 2 * jaccard.least_common(len(a) + len(b))
+            assert links.can_be_linked(len(a), links.sketch(a), len(b), links.sketch(b))
+            order = np.argsort([len(a), len(b)], kind="stable")
+            pair = [(a, b)[k] for k in order]
+            made = links.Sketches(np.array([len(x) for x in pair]), [links.sketch(x) for x in pair])
+            assert list(made.near(0, made.larger(0))) == [1]
+
+
+def test_work_grows_with_the_family(spark, monkeypatch):
+    asked = []
+    whole = links.Verifier.__call__
+
+    def counted(self, pairs, label):
+        asked.append(pairs.count())
+        return whole(self, pairs, label)
+
+    monkeypatch.setattr(links.Verifier, "__call__", counted)
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    for n in (100, 400):
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for _ in range(draw.randint(0, 5)):
+                words[draw.randrange(120)] = f"x{draw.randrange(n)}"
+            rows.append((i, " ".join(words), "a"))
+        asked.clear()
+        jaccard.near_duplicates(documents(spark, rows))
+        assert sum(asked) <= 1.5 * n
 
 
 # Personal data

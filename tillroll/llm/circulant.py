@@ -6,11 +6,10 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tillroll.llm.common import map_rows
-from tillroll.llm.links import Sketches, Verifier, apart, label_of, passing, sketch, united
+from tillroll.llm.links import Verifier, label_of, linked_components, sketch
 from tillroll.llm.shingles import WordShingles, mixed
 from tillroll.session import freeze, release
 
@@ -19,8 +18,6 @@ WORDS = 2
 #: 600 million, as (1 - 0.8 ** 5) ** 51 is 1.6e-9, and less often above it.
 ROWS, BANDS = 5, 51
 COORDINATES = ROWS * BANDS
-#: Sets of a band's list are compared in blocks of so many.
-BLOCK = 1024
 _SLAB = 512
 
 
@@ -103,140 +100,31 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across components of one list, or of two of its blocks, that may be linked."""
-    rows = rows.sort_values("n", kind="stable")
-    comp, block = pd.factorize(rows["comp"])[0], rows["block"].to_numpy(np.int64)
-    crossing = block.min() != block.max()
-    sketches = Sketches(rows["n"].to_numpy(np.int64), rows["sketch"].tolist())
-    keys = rows["key"].tolist()
-    left, right = [], []
-    for i in range(len(rows) - 1):
-        j = sketches.larger(i)
-        j = j[comp[j] != comp[i]]
-        if crossing:
-            j = j[block[j] != block[i]]
-        if len(j):
-            for x in sketches.near(i, j):
-                a, b = sorted((bytes(keys[i]), bytes(keys[x])))
-                left.append(a)
-                right.append(b)
-    return pd.DataFrame({"a": left, "b": right}, dtype=object)
-
-
-def _open_pairs(met: DataFrame, classes: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Pairs across components in the lists that still hold several, first ends left out."""
-    rest = freeze(label_of(met.filter(F.col("key") != F.col("lead")), "key", comps, "comp"), "open")
-    lists = (
-        rest.groupBy("h")
-        .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"))
-        .filter(F.col("c0") < F.col("c1"))
-        .select("h", F.ceil(F.col("m") / F.lit(BLOCK)).cast("bigint").alias("blocks"))
-    )
-    dealt = (
-        rest.join(lists, "h")
-        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-        .join(classes.select("key", "n", "sketch"), "key")
-        .withColumn(
-            "meet",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
-                    lambda x: F.struct(
-                        F.least("block", x).alias("low"), F.greatest("block", x).alias("high")
-                    ),
-                )
-            ),
-        )
-        .select(
-            "h", "meet.low", "meet.high", "block", "key", "n", "sketch", "comp"
-        )
-    )
-    pairs = dealt.groupBy("h", "low", "high").applyInPandas(_block_pairs, "a binary, b binary")
-    found = freeze(pairs.distinct(), "open-pairs")
-    release(rest)
-    return found
-
-
-def _with_leads(entries: DataFrame) -> DataFrame:
-    """Lists of two classes or more: ``h``, ``key``, and the leader with its rank."""
-    sizes = (
-        entries.groupBy("h")
-        .agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("k0"), F.max("key").alias("k1"))
-        .filter(F.col("k0") < F.col("k1"))
-        .select("h", "m")
-    )
-    met = freeze(entries.join(sizes, "h").distinct(), "lists")
-    rank = met.groupBy("key").agg((-F.sum("m")).alias("rank"))
-    ranked = freeze(met.join(rank, "key").select("h", "key", "rank"), "ranked")
-    leads = ranked.groupBy("h").agg(F.min(F.struct("rank", "key")).alias("lead"))
-    led = freeze(
-        ranked.join(leads, "h").select(
-            "h", "key", F.col("lead.key").alias("lead"), F.col("lead.rank").alias("lead_rank")
-        ),
-        "led-lists",
-    )
-    release(met)
-    release(ranked)
-    return led
-
-
 def near_duplicate_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
     """The rows of ``signatures`` and the components of their keys (None without links).
 
     Documents with equal sets form a class and are never paired. Classes that agree in
-    a band form a list, and the one that shares most lists with others leads it: the
-    middle of a family. A class is first paired with the foremost leader of its
-    lists, then with the others where they are still in another component. Lists that hold several components after that are compared in
-    blocks, pair by pair of different components. Pairs whose sketches are too far apart for
-    any link are left out; the others are verified on the whole sets, none of them twice.
+    a band form a list, and the links within the lists are verified on the whole sets.
     """
     rows = freeze(signatures(docs, id_col, text_col), "signatures")
     told = rows.filter(F.col("bands").isNotNull())
     entries = told.select("key", F.explode("bands").alias("h"))
-    met = _with_leads(entries)
-    in_lists = met.select("key").distinct()
+    shared = (
+        entries.groupBy("h")
+        .agg(F.min("key").alias("k0"), F.max("key").alias("k1"))
+        .filter(F.col("k0") < F.col("k1"))
+        .select("h")
+    )
+    lists = freeze(entries.join(shared, "h").distinct(), "lists")
     classes = freeze(
-        told.join(in_lists, "key", "left_semi")
+        told.join(lists.select("key").distinct(), "key", "left_semi")
         .select("key", "n", "sketch", F.col("id").alias("rep"), "text_hash")
         .dropDuplicates(["key"]),
         "classes",
     )
     verify = Verifier(docs, classes, lambda: WordShingles(WORDS), id_col, text_col)
-    stars = met.filter(F.col("key") != F.col("lead"))
-    nearest = stars.groupBy(F.col("key").alias("b")).agg(
-        F.min(F.struct("lead_rank", "lead")).alias("best")
-    )
-    nearest_pairs = freeze(nearest.select(F.col("best.lead").alias("a"), "b"), "first-pairs")
-    links = verify(passing(nearest_pairs, classes), "first-links")
-    comps = united(None, links)
-
-    others = stars.select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
-    others = freeze(
-        apart(others, comps).select("a", "b").join(nearest_pairs, ["a", "b"], "left_anti"), "star-pairs"
-    )
-    links = verify(passing(others, classes), "star-links")
-    comps = united(comps, links)
-    tried = nearest_pairs.union(others).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    )
-
-    open_ = _open_pairs(met, classes, comps)
-    open_ = freeze(open_.join(tried, ["a", "b"], "left_anti"), "rest")
-    # One pair of each two components first; what that unites is asked no more.
-    one_each = freeze(
-        apart(open_, comps)
-        .groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
-        .agg(F.min(F.struct("a", "b")).alias("pair"))
-        .select("pair.a", "pair.b"),
-        "one-each",
-    )
-    links = verify(one_each, "open-links")
-    comps = united(comps, links)
-    left = apart(open_, comps).select("a", "b").join(one_each, ["a", "b"], "left_anti")
-    links = verify(left, "last-links")
-    comps = united(comps, links)
-    for done in (met, classes, nearest_pairs, others, open_, one_each):
+    comps = linked_components(lists, None, classes, verify)
+    for done in (lists, classes):
         release(done)
     return rows, comps
 

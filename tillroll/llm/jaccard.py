@@ -6,73 +6,30 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import Window
 
 from tillroll.llm.common import map_rows, set_aside
-from tillroll.session import freeze
+from tillroll.llm.links import (
+    PARTS,
+    WHOLE,
+    Verifier,
+    label_of,
+    linked_components,
+    sketch,
+)
+from tillroll.llm.shingles import WordShingles
+from tillroll.session import freeze, release
 
 WORDS = 5
-#: Similarity as a fraction: 80 parts in 100.
-PARTS, WHOLE = 80, 100
 #: Shingles met this often go last in the order. At most ``LAST_KEPT`` of them do,
 #: the most frequent. Any such set gives the same links; it only shortens lists.
 FREQUENT = 24
 LAST_KEPT = 1_000_000
 _LOCAL_LEAST = 2
 _CHUNK = 2_000_000
-#: Lists of at most so many sets give all their pairs; longer ones are handled in blocks.
+#: Lists of at most so many sets give all their pairs; longer ones keep their lists.
 SHORT_LIST = 32
-BLOCK = 1024
-#: Whole sets of at most so many documents are fetched by a broadcast of their keys.
-BROADCAST_KEYS = 200_000
-MEMO_ENTRIES = 200_000
-
-_MULTIPLIER = 0x9E3779B97F4A7C15
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingler:
-    """Text to the sorted distinct 64-bit hashes of its shingles."""
-
-    def __init__(self, words: int = WORDS):
-        import xxhash
-
-        self._hash, self._words = xxhash.xxh3_64_intdigest, words
-        self._memo: dict[bytes, int] = {}
-
-    def _word(self, word: bytes) -> int:
-        value = self._hash(word)
-        if len(self._memo) >= MEMO_ENTRIES:
-            self._memo.clear()
-        if len(word) <= 64:
-            self._memo[word] = value
-        return value
-
-    def __call__(self, text: str) -> np.ndarray:
-        # On bytes, lower() changes A-Z only and split() cuts at ASCII blanks only.
-        words = text.encode().lower().split()
-        if not words:
-            return np.empty(0, np.int64)
-        known, make = self._memo, self._word
-        h = np.array([known[w] if w in known else make(w) for w in words], np.uint64)
-        k = min(self._words, len(h))
-        rolled = np.full(len(h) - k + 1, k, np.uint64)
-        for i in range(k):
-            rolled = _mixed(rolled * np.uint64(_MULTIPLIER) + h[i : len(h) - k + 1 + i])
-        return np.unique(rolled.view(np.int64))
-
-
-def least_common(total):
-    """Fewest common shingles of two linked sets whose sizes add up to ``total``."""
-    return -(-PARTS * total // (WHOLE + PARTS))
 
 
 def prefix_length(n: int) -> int:
@@ -94,7 +51,7 @@ def frequent_shingles(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen, held, size = Shingler(), set(), [], 0
+        shingles, seen, held, size = WordShingles(WORDS), set(), [], 0
 
         def counted() -> pa.RecordBatch:
             values = np.concatenate(held) if held else np.empty(0, np.int64)
@@ -133,23 +90,23 @@ def frequent_shingles(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def shingle_sets(
     docs: DataFrame, frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: the size and digest of its set, its group, its prefix.
+    """One row per document: size and digest of its set, its group, prefix and sketch.
 
     Sets are ordered by hash with frequent shingles last. Documents with the same
-    prefix and size are one group. The prefix comes with one document of each
-    group in a task and is null for the others.
+    prefix and size are one group. The prefix comes with one document of each group in
+    a task, the sketch with one of each set, and they are null for the others.
     """
     spark = docs.sparkSession
     last = spark.sparkContext.broadcast(frequent)
 
     def start() -> Callable:
-        shingles, often, told = Shingler(), last.value, set()
+        shingles, often, told = WordShingles(WORDS), last.value, set()
 
         def row(key, text_hash, text):
             own = shingles(text or "")
             n = len(own)
             if not n:
-                return key, text_hash, 0, 0, 0, 0, 0, None
+                return key, text_hash, 0, 0, 0, 0, 0, None, None
             ordered = own
             if len(often):
                 at = np.searchsorted(often, own).clip(max=len(often) - 1)
@@ -157,11 +114,12 @@ def shingle_sets(
                 ordered = np.concatenate([own[~is_last], own[is_last]])
             prefix = ordered[: prefix_length(n)]
             group = _digest(n.to_bytes(8, "little"), prefix.tobytes())
-            first = group not in told
-            told.add(group)
-            return key, text_hash, n, *_digest(own.tobytes()), *group, (
-                prefix if first else None
-            )
+            whole = _digest(own.tobytes())
+            new_group, new_set = group not in told, whole not in told
+            told.update((group, whole))
+            return key, text_hash, n, *whole, *group, (
+                prefix if new_group else None
+            ), (sketch(own) if new_set else None)
 
         return row
 
@@ -172,7 +130,7 @@ def shingle_sets(
         [id_col, "text_hash", text_col],
         start,
         f"`{id_col}` {kind}, text_hash bigint, n bigint, d1 bigint, d2 bigint, "
-        "g1 bigint, g2 bigint, prefix array<bigint>",
+        "g1 bigint, g2 bigint, prefix array<bigint>, sketch binary",
     )
 
 
@@ -186,138 +144,6 @@ def _close_sizes(a: Column, b: Column) -> Column:
     return F.least(a, b) >= _needed(a, b)
 
 
-def _sketch(own: np.ndarray) -> bytes:
-    """Parity of the shingles in each of some buckets, at least one per shingle.
-
-    Two sets differ in at least as many elements as their sketches differ in bits, so
-    a pair too far apart here cannot be linked. Halves of a sketch, added, are
-    the sketch with half as many buckets.
-    """
-    buckets = max(256, 1 << (max(1, len(own)) - 1).bit_length())
-    odd = np.bincount(own & (buckets - 1), minlength=buckets) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
-    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
-
-
-def _list_pairs(rows: pd.DataFrame, star: bool) -> tuple[list[int], list[int]]:
-    """Pairs of one list that may be linked, by size, place and sketch.
-
-    With ``star``, one set of the list with each other; else all pairs whose
-    components differ. Sizes are sorted, so partners are neighbours.
-    """
-    rows = rows.sort_values(["n", "cid"], kind="stable")
-    n, at, cid = (rows[c].to_numpy(np.int64) for c in ("n", "pos", "cid"))
-    comp = cid if star else rows["comp"].to_numpy(np.int64)
-    block = rows["block"].to_numpy(np.int64)
-    crossing = block.min() != block.max()
-    raw = [np.frombuffer(s, np.uint8) for s in rows["sketch"]]
-    levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def level(size: int) -> tuple[np.ndarray, int]:
-        """Sketches of this many bytes, of the rows that have as many or more."""
-        if size not in levels:
-            first = next(i for i, s in enumerate(raw) if len(s) >= size)
-            levels[size] = np.array([_folded(s, size) for s in raw[first:]]), first
-        return levels[size]
-
-    lead = int(np.argmin(_mixed(cid.astype(np.uint64) ^ np.uint64(rows["h"].iat[0] & (2**63 - 1)))))
-    left, right = [], []
-    for i in range(len(rows)):
-        size = len(raw[i])
-        table, first = level(size)
-        stop = int(np.searchsorted(n, n[i] * WHOLE // PARTS, side="right"))
-        j = np.arange(i + 1, stop)
-        if star and i != lead:
-            j = j[j == lead]
-        j = j[comp[j] != comp[i]]
-        if crossing:
-            j = j[block[j] != block[i]]
-        if not len(j):
-            continue
-        need = least_common(n[i] + n[j])
-        room = 1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1)
-        j, need = j[room >= need], need[room >= need]
-        apart = np.bitwise_count(table[j - first] ^ table[i - first]).sum(axis=1)
-        j = j[apart <= n[i] + n[j] - 2 * need]
-        left += [int(cid[i])] * len(j)
-        right += cid[j].tolist()
-    return left, right
-
-
-def _pairs_of_lists(lists: DataFrame, keys: list[str], star: bool) -> DataFrame:
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = _list_pairs(rows, star)
-        a, b = np.array(left, np.int64), np.array(right, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return lists.groupBy(*keys).applyInPandas(pairs, "a bigint, b bigint").distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are linked, by the exact sizes of their sets and intersection.
-
-    Where few sets are asked for, only those are moved.
-    """
-    asked = freeze(
-        pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "asked-sets"
-    )
-    if asked.count() <= BROADCAST_KEYS:
-        sets = sets.join(F.broadcast(asked), "cid", "left_semi")
-    a = sets.select(F.col("cid").alias("a"), F.col("own").alias("_a"))
-    b = sets.select(F.col("cid").alias("b"), F.col("own").alias("_b"))
-    common = F.size(F.array_intersect("_a", "_b")).cast("bigint")
-    return (
-        pairs.join(a, "a")
-        .join(b, "b")
-        .withColumn("_common", common)
-        .filter(
-            WHOLE * F.col("_common")
-            >= PARTS * (F.size("_a") + F.size("_b") - F.col("_common"))
-        )
-        .select("a", "b")
-    )
-
-
-def connected(links: DataFrame) -> DataFrame:
-    """``node`` and ``comp``, the smallest node its links reach.
-
-    Each round a node takes the smallest label around it and then the label of
-    that label, until nothing changes. Labels are written each round.
-    """
-    edges = freeze(
-        links.select(F.col("a").alias("node"), F.col("b").alias("other"))
-        .union(links.select("b", "a"))
-        .distinct(),
-        "links",
-    )
-    labels = freeze(
-        edges.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")), "labels"
-    )
-    while True:
-        around = (
-            edges.join(labels.withColumnRenamed("node", "other"), "other")
-            .groupBy("node")
-            .agg(F.min("comp").alias("near"))
-        )
-        lower = labels.join(around, "node").select(
-            "node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")
-        )
-        lower = freeze(lower, "labels")
-        onward = lower.select(F.col("node").alias("comp"), F.col("comp").alias("beyond"))
-        jumped = freeze(
-            lower.join(onward, "comp", "left").select(
-                "node", "was", F.least("comp", F.coalesce("beyond", "comp")).alias("comp")
-            ),
-            "labels",
-        )
-        labels = jumped.select("node", "comp")
-        if jumped.filter(F.col("was") != F.col("comp")).isEmpty():
-            return labels
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Size of each document's shingle set and the component its links put it in.
 
@@ -326,10 +152,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     so copies are never paired with each other. Classes with the same prefix and
     size form a group; groups that share a prefix element form a list. Short lists
     give their pairs, and those with too few common elements for their places are
-    dropped. A long list first pairs one member with each other, and the
-    links found unite most of what is alike. Then only pairs across components are
-    asked for, within blocks of bounded size, and a sketch that never rejects a link
-    leaves few of them. All candidates are verified on the whole sets.
+    dropped; long lists stay as they are. Their members are the candidates, which are
+    verified on the whole sets until no two components can be linked.
 
     Returns ``id_col``, ``n_shingles`` and ``component_id``, the smallest id in the
     component. A text without words, or null, has no shingles and is linked with nothing, not
@@ -364,26 +188,23 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     groups = freeze(counted, "groups")
     prefixes = filled.groupBy("g1", "g2").agg(F.max("prefix").alias("prefix"))
-    whole_list = Window.partitionBy("h")
-    met = freeze(
-        prefixes.join(groups, ["g1", "g2"])
-        .select("gid", F.posexplode("prefix").alias("pos", "h"))
-        .withColumn("groups", F.count(F.lit(1)).over(whole_list))
-        .filter(F.col("groups") > 1)
-        .drop("groups"),
-        "met",
+    entries = prefixes.join(groups.select("g1", "g2", "gid"), ["g1", "g2"]).select(
+        "gid", F.posexplode("prefix").alias("pos", "h")
     )
+    shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    met = freeze(entries.join(shared.select("h"), "h"), "met")
     # The sets of one group make a list as well, under the name of the group.
     alone = groups.filter(F.col("k") > 1).select(
         "gid", F.lit(0).alias("pos"), F.col("gid").alias("h")
     )
-    lists = freeze(
+    named = (
         met.select("gid", "pos", "h", F.lit(False).alias("own"))
         .union(alone.withColumn("own", F.lit(True)))
         .join(groups.select("gid", "k", "n"), "gid")
-        .withColumn("sets", F.sum("k").over(Window.partitionBy("h", "own"))),
-        "lists",
     )
+    sizes = named.groupBy("h", "own").agg(F.sum("k").alias("sets"))
+    lists = freeze(named.join(sizes, ["h", "own"]), "lists")
+    release(met)
     members = classes.select(
         F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), F.col("cid")
     ).join(
@@ -445,97 +266,31 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     long = freeze(
         lists.filter(F.col("sets") > SHORT_LIST)
         .join(members, "gid")
-        .select("h", "own", "cid", "n", "pos", "sets"),
+        .select(F.xxhash64("h", "own").alias("h"), F.col("cid").alias("key"))
+        .distinct(),
         "long-lists",
     )
-
+    release(lists)
     asked = (
         short_pairs.select(F.col("a").alias("cid"))
         .union(short_pairs.select("b"))
-        .union(long.select("cid"))
+        .union(long.select("key"))
         .distinct()
-        .join(classes.select("cid", "rep", "text_hash"), "cid")
-        .withColumnRenamed("text_hash", "_hash")
     )
-    asked = freeze(asked, "asked")
-    if asked.count() <= BROADCAST_KEYS:
-        asked = F.broadcast(asked)
-    hashed = docs.select(id_col, text_col).withColumn("_text_hash", F.xxhash64(text_col))
-    wanted = hashed.join(
-        asked,
-        F.col(id_col).eqNullSafe(F.col("rep")) & (F.col("_text_hash") == F.col("_hash")),
+    sketches = rows.filter(F.col("sketch").isNotNull()).select("d1", "d2", "sketch")
+    described = freeze(
+        asked.join(classes, "cid")
+        .join(sketches, ["d1", "d2"])
+        .select(F.col("cid").alias("key"), "n", "sketch", "rep", "text_hash")
+        .dropDuplicates(["key"]),
+        "described",
     )
+    verify = Verifier(docs, described, lambda: WordShingles(WORDS), id_col, text_col)
+    comps = linked_components(long, short_pairs, described, verify)
+    for done in (long, short_pairs, described, groups):
+        release(done)
 
-    def whole_set() -> Callable:
-        shingles = Shingler()
-
-        def row(cid, text):
-            own = shingles(text or "")
-            return cid, own, _sketch(own)
-
-        return row
-
-    found = map_rows(
-        wanted.select("cid", text_col),
-        ["cid", text_col],
-        whole_set,
-        "cid bigint, own array<bigint>, sketch binary",
-    )
-    alike = rows.groupBy(id_col, "text_hash").agg(F.count(F.lit(1)).alias("rows"))
-    if not alike.filter("rows > 1").isEmpty():
-        found = found.dropDuplicates(["cid"])
-    sets = freeze(found, "whole-sets")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("sets") / F.lit(BLOCK)).cast("bigint"))
-    dealt = freeze(
-        long.join(sets.select("cid", "sketch"), "cid")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))),
-        "dealt-lists",
-    )
-    # Of the short lists' pairs, one for each set at first; the others only if that and
-    # the stars leave them apart.
-    first_pairs = short_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    stars = _pairs_of_lists(dealt, ["h", "own", "block"], star=True)
-    tried = freeze(stars.union(first_pairs).distinct(), "tried")
-    links = freeze(_verified(tried, sets), "first-links")
-    comps = connected(links)
-    labelled = dealt.join(comps, F.col("cid") == F.col("node"), "left").withColumn(
-        "comp", F.coalesce("comp", "cid")
-    )
-    open_lists = (
-        labelled.groupBy("h", "own")
-        .agg((F.min("comp") < F.max("comp")).alias("open"))
-        .filter("open")
-        .select("h", "own")
-    )
-    meets = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
-        lambda x: F.struct(
-            F.least("block", x).alias("low"), F.greatest("block", x).alias("high")
-        ),
-    )
-    spread = labelled.join(open_lists, ["h", "own"], "left_semi").withColumn("meet", F.explode(meets))
-    apart = (
-        short_pairs.join(comps.toDF("a", "comp_a"), "a", "left")
-        .join(comps.toDF("b", "comp_b"), "b", "left")
-        .filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
-        .select("a", "b")
-    )
-    rest = _pairs_of_lists(
-        spread.select(
-            "h", "own", "cid", "n", "pos", "sketch", "comp", "block", "meet.low", "meet.high"
-        ),
-        ["h", "own", "low", "high"],
-        star=False,
-    )
-    rest = rest.union(apart).distinct().join(tried, ["a", "b"], "left_anti")
-    more = freeze(_verified(freeze(rest, "rest"), sets), "more-links")
-    if not more.isEmpty():
-        comps = connected(links.union(more))
-
-    labelled_classes = classes.join(
-        comps, F.col("cid") == F.col("node"), "left"
-    ).withColumn("comp", F.coalesce("comp", "cid"))
+    labelled_classes = label_of(classes, "cid", comps, "comp")
     smallest = labelled_classes.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_class = labelled_classes.join(smallest, "comp").select(
         "d1", "d2", "component_id", F.col("comp").alias("_comp")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,6 +13,8 @@ from tillroll.session import freeze, release
 
 #: Similarity as a fraction: 80 parts in 100.
 PARTS, WHOLE = 80, 100
+#: Classes of a list are compared in blocks of so many.
+BLOCK = 1024
 #: Whole texts of at most so many documents are fetched by a broadcast of their keys.
 BROADCAST_KEYS = 200_000
 
@@ -262,3 +265,143 @@ class Verifier:
         release(texts)
         release(pairs)
         return found
+
+
+def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs across components of one list, or of two of its blocks, that can be linked."""
+    rows = rows.sort_values("n", kind="stable")
+    comp, block = pd.factorize(rows["comp"])[0], rows["block"].to_numpy(np.int64)
+    crossing = block.min() != block.max()
+    sketches = Sketches(rows["n"].to_numpy(np.int64), rows["sketch"].tolist())
+    keys = rows["key"].tolist()
+    left, right = [], []
+    for i in range(len(rows) - 1):
+        j = sketches.larger(i)
+        j = j[comp[j] != comp[i]]
+        if crossing:
+            j = j[block[j] != block[i]]
+        if len(j):
+            for x in sketches.near(i, j):
+                a, b = sorted((keys[i], keys[x]))
+                left.append(a)
+                right.append(b)
+    return pd.DataFrame({"a": left, "b": right}, dtype=object)
+
+
+def _with_leads(lists: DataFrame, rank: DataFrame) -> DataFrame:
+    """``h``, ``key``, and the leader of the list with its rank: the class of least rank."""
+    ranked = freeze(lists.select("h", "key").join(rank, "key"), "ranked")
+    leads = ranked.groupBy("h").agg(F.min(F.struct("rank", "key")).alias("lead"))
+    led = freeze(
+        ranked.join(leads, "h").select(
+            "h", "key", F.col("lead.key").alias("lead"), F.col("lead.rank").alias("lead_rank")
+        ),
+        "led-lists",
+    )
+    release(ranked)
+    return led
+
+
+def _oriented(pairs: DataFrame, rank: DataFrame) -> DataFrame:
+    """Pairs as ``lead`` and ``key``, the class of lesser rank first."""
+    one = rank.select(F.col("key").alias("a"), F.col("rank").alias("_ra"))
+    other = rank.select(F.col("key").alias("b"), F.col("rank").alias("_rb"))
+    ends = [F.struct(F.col(r).alias("rank"), F.col(k).alias("key")) for r, k in (("_ra", "a"), ("_rb", "b"))]
+    met = pairs.join(one, "a").join(other, "b")
+    low, high = F.least(*ends), F.greatest(*ends)
+    return met.select(
+        high["key"].alias("key"), low["key"].alias("lead"), low["rank"].alias("lead_rank")
+    )
+
+
+def _open_pairs(led: DataFrame, classes: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Pairs across components in the lists that still hold several, leaders left out."""
+    rest = freeze(label_of(led.filter(F.col("key") != F.col("lead")), "key", comps, "comp"), "open")
+    lists = (
+        rest.groupBy("h")
+        .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"))
+        .filter(F.col("c0") < F.col("c1"))
+        .select("h", F.ceil(F.col("m") / F.lit(BLOCK)).cast("bigint").alias("blocks"))
+    )
+    meet = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1),
+        lambda x: F.struct(F.least("block", x).alias("low"), F.greatest("block", x).alias("high")),
+    )
+    dealt = (
+        rest.join(lists, "h")
+        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+        .join(classes.select("key", "n", "sketch"), "key")
+        .withColumn("meet", F.explode(meet))
+        .select("h", "meet.low", "meet.high", "block", "key", "n", "sketch", "comp")
+    )
+    kind = led.schema["key"].dataType.simpleString()
+    pairs = dealt.groupBy("h", "low", "high").applyInPandas(_block_pairs, f"a {kind}, b {kind}")
+    found = freeze(pairs.distinct(), "open-pairs")
+    release(rest)
+    return found
+
+
+def _walked(
+    pairs: DataFrame, comps: DataFrame | None, classes: DataFrame, verify: Verifier, label: str
+) -> DataFrame | None:
+    """Components after all links among ``pairs``.
+
+    Of the pairs that can be linked, one of each two components is verified first; what
+    that unites is asked no more.
+    """
+    near = freeze(passing(apart(pairs, comps), classes), f"{label}-near")
+    one_each = freeze(
+        apart(near, comps)
+        .groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+        .agg(F.min(F.struct("a", "b")).alias("pair"))
+        .select("pair.a", "pair.b"),
+        f"{label}-each",
+    )
+    comps = united(comps, verify(one_each, f"{label}-first"))
+    rest = apart(near, comps).select("a", "b").join(one_each, ["a", "b"], "left_anti")
+    comps = united(comps, verify(rest, f"{label}-rest"))
+    for done in (near, one_each):
+        release(done)
+    return comps
+
+
+def linked_components(
+    lists: DataFrame, pairs: DataFrame | None, classes: DataFrame, verify: Verifier
+) -> DataFrame | None:
+    """Components of all links among classes that share a list or make a pair; None without.
+
+    ``lists`` has ``h`` and ``key``, no row twice, ``pairs`` has ``a`` and ``b``, and ``classes``
+    ``key``, ``n``, ``sketch``, ``rep`` and ``text_hash`` of all keys in them. The class that
+    shares most with others leads a list: the middle of a family. A class is first verified
+    with the foremost of its leaders, then with the others, then all that is left across
+    components is compared in blocks of the lists. Sketches never reject a link, so no
+    link between components is lost; links inside a component are not looked for.
+    """
+    shared = lists.join(lists.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "h").select("key", "m")
+    if pairs is not None:
+        for end in ("a", "b"):
+            shared = shared.union(pairs.select(F.col(end), F.lit(1).cast("bigint")))
+    rank = freeze(shared.groupBy("key").agg((-F.sum("m")).alias("rank")), "ranks")
+    led = _with_leads(lists, rank)
+    stars = led.filter(F.col("key") != F.col("lead")).select("key", "lead", "lead_rank")
+    if pairs is not None:
+        stars = stars.union(_oriented(pairs, rank))
+    stars = freeze(stars.distinct(), "stars")
+    foremost = freeze(
+        stars.groupBy(F.col("key").alias("b"))
+        .agg(F.min(F.struct("lead_rank", "lead")).alias("best"))
+        .select(F.col("best.lead").alias("a"), "b"),
+        "foremost",
+    )
+    comps = united(None, verify(passing(foremost, classes), "foremost-links"))
+    others = stars.select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    others = others.join(foremost, ["a", "b"], "left_anti")
+    comps = _walked(others, comps, classes, verify, "stars")
+    tried = stars.select(
+        F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")
+    )
+    open_ = _open_pairs(led, classes, comps)
+    comps = _walked(open_.join(tried, ["a", "b"], "left_anti"), comps, classes, verify, "open")
+    for done in (rank, led, stars, foremost, open_):
+        release(done)
+    return comps
