@@ -338,6 +338,58 @@ def test_disclosing_terms_are_those_the_measure_says(spark):
     assert privacy.disclosing_terms(copies, privacy.find_personal_data(copies)).count() == 0
 
 
+def test_values_are_told_apart_by_what_they_name(spark):
+    spelt = [
+        ("Falcon", "4111 1111 1111 1111"), ("Falcon", "4111-1111-1111-1111"),
+        ("Heron", "+1 (234) 555-7890"), ("Heron", "+1 234 555 7890"),
+        ("Osprey", "10.0.0.7"), ("Osprey", "010.000.0.07"),
+        ("Kestrel", "Who@Ex.org"), ("Kestrel", "who@ex.ORG"),
+    ]
+    rows = [(i, f"case {i} of {name}: {value} item{i}", "a") for i, (name, value) in enumerate(spelt)]
+    rows += [(100 + i, f"case {i} of none, item{i}", "a") for i in range(80)]
+    docs = documents(spark, rows)
+    told = privacy.disclosing_terms(docs, privacy.find_personal_data(docs)).collect()
+    assert {(r.kind, r.term) for r in told} == {
+        ("card", "falcon"), ("phone", "heron"), ("ip", "osprey"), ("email", "kestrel")
+    }
+
+
+def told_by_hand(rows, least_together, disclosure):
+    """(kind, value, term) that reach the measure, from all pairs of all texts."""
+    words = {}
+    for _, text, _ in rows:
+        words[text] = {w for w in re.findall(r"[^\W_]+", re.sub(r"\S+@\S+", " ", text).lower())}
+    copies, n = Counter(t for _, t, _ in rows), len(rows)
+    values = defaultdict(set)
+    for text in copies:
+        for v in re.findall(r"\S+@\S+", text):
+            values[v.lower()].add(text)
+    for value, texts in values.items():
+        holders = sum(copies[t] for t in texts)
+        for term in set().union(*(words[t] for t in texts)):
+            both = [t for t in texts if term in words[t]]
+            seen = sum(copies[t] for t in copies if term in words[t])
+            together = sum(copies[t] for t in both)
+            told = np.log(together * n / (seen * holders)) / max(np.log(n / holders), 1e-9)
+            if len(term) > 1 and len(both) >= least_together and told >= disclosure:
+                yield value, term
+
+
+def test_bounds_drop_no_term_that_reaches_the_measure(spark):
+    draw = random.Random(11)
+    rows = []
+    for i in range(150):
+        words = [f"t{min(draw.randrange(60), draw.randrange(60))}" for _ in range(12)]
+        words += [f"v{draw.randrange(9)}@x.org" for _ in range(draw.choice([0, 0, 1, 2]))]
+        rows.append((i, " ".join(words), "a"))
+    rows += rows[:20]
+    docs = documents(spark, rows)
+    found = privacy.find_personal_data(docs)
+    for least, share in ((2, 0.8), (2, 0.4), (3, 0.5), (1, 0.0)):
+        told = privacy.disclosing_terms(docs, found, least, share).collect()
+        assert {(r.value, r.term) for r in told} == set(told_by_hand(rows, least, share))
+
+
 def test_sanitised_text(spark):
     docs = documents(spark, told_texts()[:6] + told_texts()[6:] + [(999, None, "a")])
     clean = privacy.sanitise(docs)

@@ -115,6 +115,20 @@ def running_totals(
     )
 
 
+#: A side of a join is broadcast up to so many rows and bytes of text, and shuffled beyond.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8_000_000
+
+
+def bounded_side(stored: DataFrame, text_col: str) -> DataFrame:
+    """A written table as a side of a join: broadcast if it has been measured to be small."""
+    size = stored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("bytes"),
+    ).first()
+    small = size["rows"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
+    return F.broadcast(stored) if small else stored
+
+
 _HASH_RANGE = 1 << 30
 
 

@@ -320,7 +320,9 @@ def distinct_documents(
     without any id. All columns are kept.
     """
     docs, restored = set_aside(docs, {"doc_id": id_col, "text": text_col})
-    found = freeze(_components(docs, "doc_id", "text"), "components")
+    made = _components(docs, "doc_id", "text")
+    found = freeze(made, "components")
+    release(made)
     linked = (F.col("n_shingles") > 0) & F.col("component_id").isNotNull()
     chosen = (
         found.filter(linked & (F.col("doc_id") == F.col("component_id")))

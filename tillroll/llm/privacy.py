@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillroll.llm.common import set_aside
-from tillroll.session import freeze
+from tillroll.llm.common import bounded_side, set_aside
+from tillroll.session import freeze, release
 
 #: Fixed patterns, in the order in which kinds are listed.
 PATTERNS = {
@@ -43,6 +43,8 @@ _HINT = {
 LEAST_TOGETHER = 2
 #: A term is disclosing when it tells at least this share of the value's information.
 DISCLOSURE = 0.8
+# Far above the rounding of the measure: bounds on it drop nothing that reaches it.
+_SLACK = 1e-6
 _TERM = r"[\p{L}\p{N}]++"
 # Stands for a base span while the terms around it are listed.
 _HOLE = "\ue000"
@@ -200,10 +202,12 @@ def disclosing_terms(
     as are those met with the value in fewer than ``least_together`` different
     texts: one meeting is no estimate, and copies of a text are not more of them.
 
-    Copies of a text are counted first, so each text is paired once. Only values in as
-    many different texts as asked for are paired; values and terms of a text are
-    joined on it, so a long text may be split. The vocabulary is counted in each task
-    before it is shuffled.
+    Values are told apart by what they name: cards and phones by their digits, addresses
+    of machines by their numbers, mail without regard to case. Copies of a text are
+    counted first, so each text is paired once. Terms are counted in the texts with values
+    before any pair is made: one in fewer texts than asked for, or already in too many for
+    the measure to be reached, makes none. The rest of the corpus is then searched for
+    the terms of the pairs alone.
     """
     pair = ["kind", "value", "term"]
     holding = found.filter(F.size("base") > 0)
@@ -216,38 +220,80 @@ def disclosing_terms(
     held = F.array_distinct(
         F.transform(
             "base",
-            lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value")),
+            lambda s: F.struct(
+                s["kind"].alias("kind"), _named(s["kind"], s["value"]).alias("value")
+            ),
         )
     )
     values = texts.select("text_hash", "copies", F.explode(held).alias("held")).select(
         "text_hash", "copies", "held.*"
     )
-    holders = (
+    holders = freeze(
         values.groupBy("kind", "value")
         .agg(F.sum("copies").alias("holders"), F.count(F.lit(1)).alias("texts"))
         .filter(F.col("texts") >= least_together)
-        .drop("texts")
+        .drop("texts"),
+        "holders",
+    )
+    n = F.lit(float(max(1, found.count())))
+
+    def told(together: Column, seen: Column, of: Column) -> Column:
+        return F.ln(together * n / (seen * of)) / F.greatest(F.ln(n / of), F.lit(1e-9))
+
+    shared = values.join(holders, ["kind", "value"]).select(
+        "text_hash", "copies", "kind", "value", "holders"
+    )
+    most = shared.groupBy("text_hash").agg(F.max("holders").alias("most"))
+    beside = texts.join(most, "text_hash").select(
+        "text_hash", "most", F.explode("beside").alias("term")
+    )
+    met = (
+        texts.select("copies", F.explode("beside").alias("term"))
+        .groupBy("term")
+        .agg(F.sum("copies").alias("met"), F.count(F.lit(1)).alias("texts"))
+        .filter(F.col("texts") >= least_together)
+        .select("term", "met")
     )
+    # The best a term can reach here is with all holders of the value, seen nowhere else.
+    able = told(F.col("most"), F.col("met"), F.col("most")) >= disclosure - _SLACK
+    near = beside.join(met, "term").filter(able | (F.col("met") <= F.col("most")))
     pairs = (
-        values.join(holders.select("kind", "value"), ["kind", "value"], "left_semi")
-        .join(texts.select("text_hash", F.explode("beside").alias("term")), "text_hash")
+        shared.join(near.select("text_hash", "term", "met"), "text_hash")
         .groupBy(*pair)
-        .agg(F.sum("copies").alias("together"), F.count(F.lit(1)).alias("texts"))
+        .agg(
+            F.sum("copies").alias("together"), F.count(F.lit(1)).alias("texts"),
+            F.first("holders").alias("holders"), F.first("met").alias("met"),
+        )
         .filter(F.col("texts") >= least_together)
+        .filter(told(F.col("together"), F.col("met"), F.col("holders")) >= disclosure - _SLACK)
     )
+    pairs = freeze(pairs, "pairs")
+    release(texts)
+    release(holders)
+    asked = freeze(pairs.select("term").distinct(), "asked-terms")
     seen = (
         docs.select(F.explode(_all_terms(F.coalesce(text_col, F.lit("")))).alias("term"))
+        .join(bounded_side(asked, "term"), "term")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("seen"))
     )
-    n = F.lit(float(max(1, found.count())))
-    told = F.ln(F.col("together") * n / (F.col("seen") * F.col("holders")))
+    measured = pairs.drop("met").join(seen, "term").withColumn(
+        "told", told(F.col("together"), F.col("seen"), F.col("holders"))
+    )
+    result = freeze(measured.filter(F.col("told") >= disclosure).select(*pair, "told"), "telling")
+    release(pairs)
+    release(asked)
+    return result
+
+
+def _named(kind: Column, value: Column) -> Column:
+    """What a value names, whatever its spelling."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    numbers = F.regexp_replace(value, r"(?<![0-9])0+(?=[0-9])", "")
     return (
-        pairs.join(holders, ["kind", "value"])
-        .join(seen, "term")
-        .withColumn("told", told / F.greatest(F.ln(n / F.col("holders")), F.lit(1e-9)))
-        .filter(F.col("told") >= disclosure)
-        .select(*pair, "told")
+        F.when(kind.isin("card", "phone"), digits)
+        .when(kind == "ip", numbers)
+        .otherwise(F.lower(value))
     )
 
 
@@ -267,23 +313,26 @@ def personal_data(
     """
     found = freeze(find_personal_data(docs, id_col, text_col), "personal-data")
     telling = disclosing_terms(docs, found, least_together, disclosure, text_col)
-    terms = telling.select("term").distinct()
+    none = F.array().cast(_PLACES)
+    if telling.isEmpty():
+        return found.select(id_col, "text_hash", "base", none.alias("terms"))
+    terms = freeze(telling.select("term").distinct(), "terms")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # One text of each hash is searched; its rows take the places from it.
     met = (
         docs.select(F.xxhash64(text).alias("_hash"), F.explode(_all_terms(text)).alias("term"))
-        .join(terms, "term", "left_semi")
+        .join(bounded_side(terms, "term"), "term", "left_semi")
         .groupBy("_hash")
         .agg(F.collect_set("term").alias("_wanted"))
     )
+    met = freeze(met, "texts-with-terms")
+    # Places are found where the text is; rows with the same text take them from one of it.
     spans = (
         docs.select(F.xxhash64(text).alias("_hash"), text.alias("_text"))
-        .join(freeze(met, "telling-terms"), "_hash")
-        .groupBy("_hash")
-        .agg(F.first("_text").alias("_text"), F.first("_wanted").alias("_wanted"))
+        .join(bounded_side(met, "_wanted"), "_hash")
         .select("_hash", _places_of(F.col("_text"), F.col("_wanted")).alias("_terms"))
+        .groupBy("_hash")
+        .agg(F.first("_terms").alias("_terms"))
     )
-    none = F.array().cast(_PLACES)
     free = F.filter(
         F.coalesce("_terms", none),
         lambda t: ~F.exists(
