@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes what the one before it kept and returns documents, but for the
-last, which returns the packed pieces.
+last, which returns the packed pieces. Null and empty texts, texts of any length, repeated
+rows, null ids and an empty table go through all of them; columns beyond those of
+documents are dropped by the first.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from tillroll.llm.mixing import mixed_documents
 from tillroll.llm.packing import pack_documents
 from tillroll.llm.privacy import sanitise
 from tillroll.llm.quality import fit_quality, graded, select_quality
-from tillroll.session import freeze
+from tillroll.session import freeze, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -67,5 +69,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written and read again by the next."""
     docs = open_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = freeze(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = stage(spark, docs, sf_dir)
+        docs = freeze(made, f"stage-{name}")
+        # What the stage read is done with: the documents before it and its own tables.
+        release(made)
     return STAGES[-1][1](spark, docs, sf_dir)
