@@ -33,6 +33,22 @@ def _as_byte_marks(part: str) -> str:
     return part.encode().decode("latin-1").translate(_BYTE_MARKS)
 
 
+class _PartIds(dict):
+    """Parts of words to their ids as little-endian bytes. A full memo starts again."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self._merge = merge
+
+    def __missing__(self, part: str) -> bytes:
+        packed = little_endian([token.id for token in self._merge(part)])
+        if len(self) >= MEMO_ENTRIES:
+            self.clear()
+        if len(part) <= 64:
+            self[part] = packed
+        return packed
+
+
 class WordIds(dict):
     """Words between blanks to ids as little-endian bytes, made when first met.
 
@@ -45,7 +61,8 @@ class WordIds(dict):
     """
 
     _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    _PLAIN_TEXT = re.compile(r"[!-~À-ÖØ-öø-ÿ\x20\t-\r]*")
+    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\x20\t-\r]+")
     # Blanks to Python but not to the tokenizer.
     _CONTROL = re.compile(r"[\x1c-\x1f]")
     _BLANK = re.compile(r"[ \t\n]+")
@@ -56,31 +73,19 @@ class WordIds(dict):
         self._normal = self._tokenizer.normalizer.normalize_str
         self._cut = self._tokenizer.pre_tokenizer.pre_tokenize_str
         self._merge = self._tokenizer.model.tokenize
-        self._parts: dict[str, list[int]] = {}
+        self._read = _PartIds(lambda part: self._merge(part if part.isascii() else _as_byte_marks(part)))
+        self._marked = _PartIds(self._merge)
 
-    def _ids(self, word: str) -> list[int]:
+    def _packed(self, word: str) -> bytes:
         if "<|" in word:
-            return self._tokenizer.encode(word, add_special_tokens=False).ids
-        plain = self._PLAIN.fullmatch(word) is not None
-        if plain:
-            parts = self._PARTS.findall(word.lower())
-        else:
-            parts = [part for part, _ in self._cut(self._normal(word))]
-        ids: list[int] = []
-        for part in parts:
-            known = self._parts.get(part)
-            if known is None:
-                spelt = part if not plain or part.isascii() else _as_byte_marks(part)
-                known = [token.id for token in self._merge(spelt)]
-                if len(self._parts) >= MEMO_ENTRIES:
-                    self._parts.clear()
-                if len(part) <= 64:
-                    self._parts[part] = known
-            ids += known
-        return ids
+            return little_endian(self._tokenizer.encode(word, add_special_tokens=False).ids)
+        if self._PLAIN.fullmatch(word):
+            return b"".join(map(self._read.__getitem__, self._PARTS.findall(word.lower())))
+        parts = [part for part, _ in self._cut(self._normal(word))]
+        return b"".join(map(self._marked.__getitem__, parts))
 
     def __missing__(self, word: str) -> bytes:
-        packed = little_endian(self._ids(word))
+        packed = self._packed(word)
         if len(self) >= MEMO_ENTRIES:
             self.clear()
         if len(word) <= 64:
@@ -88,6 +93,9 @@ class WordIds(dict):
         return packed
 
     def encode(self, text: str) -> bytes:
+        if "<|" not in text and self._PLAIN_TEXT.fullmatch(text):
+            # All words are plain and no part has a blank, so they need not be cut first.
+            return b"".join(map(self._read.__getitem__, self._PARTS.findall(text.lower())))
         plain = self._CONTROL.search(text) is None
         words = text.split() if plain else self._BLANK.split(text)
         return b"".join(map(self.__getitem__, words))
