@@ -12,7 +12,7 @@ import pytest
 from edge_rows import TEXTS, documents, no_documents, small  # noqa: F401
 from tokenizers import Tokenizer
 
-from tillroll.llm.packing import WordIds, pack_documents, plan_bins, token_pieces
+from tillroll.llm.packing import WordIds, pack_documents, pack_pieces, plan_bins, token_pieces
 from tillroll.llm.queries import QUERIES
 from tillroll.llm.token_counts import PretokenCounter, token_counts, whole_tokens
 
@@ -158,3 +158,25 @@ def test_packing_query_over_the_tables(spark, small):
     total = sum(len(WORDS.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts.values())
     assert sum(r.length for r in rows) == total
     assert len({r.sequence_id for r in rows}) <= 1.05 * total / 4096 + 1
+
+
+@pytest.mark.parametrize("most", [7, 60, 4096])
+def test_groups_waste_next_to_nothing(spark, most):
+    draw = random.Random(most)
+    n = 6_000 if most < 1000 else 700
+    lengths = [draw.randint(2, most) for _ in range(n)]
+    pieces = spark.createDataFrame([(i % 50, 0, length) for i, length in enumerate(lengths)],
+                                   "doc_id bigint, piece int, length bigint")
+    rows = pack_pieces(pieces, group_pieces=n // 40).collect()
+    assert Counter((r.doc_id, r.length) for r in rows) == Counter(
+        (i % 50, length) for i, length in enumerate(lengths))
+    used = {}
+    for r in rows:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in used.values():
+        assert [at for at, _ in sorted(own)] == [sum(x for _, x in sorted(own)[:k]) for k in range(len(own))]
+        assert sum(x for _, x in own) <= 4096 and sum(3 * x > 4096 for _, x in own) <= 2
+    if most < 1000:
+        assert len(used) <= 1.01 * (-(-sum(lengths) // 4096)) + 1
+    half = [own for own in used.values() if 2 * sum(x for _, x in own) <= 4096]
+    assert len(half) <= 1

@@ -10,7 +10,7 @@ from bisect import bisect_left, insort
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tillroll.llm.common import map_rows
+from tillroll.llm.common import bounded_side, map_rows
 from tillroll.llm.token_counts import load_tokenizer
 from tillroll.session import freeze
 
@@ -196,7 +196,9 @@ def pack_pieces(
     are written once to the shared folder, since their number decides into how many
     groups of about ``group_pieces`` they are dealt. Dealing is by the
     place of the row, so a key that repeats is spread as well. Each group is packed
-    in one task whose memory the group size bounds.
+    in one task whose memory the group size bounds. Sequences that are at most half full,
+    one or two of a group, are then packed with each other in the same way, round by round
+    until one group holds them; so groups of short pieces waste no more than long ones.
     """
     kept = freeze(pieces.withColumn("_place", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-kept.count() // group_pieces))
@@ -215,7 +217,34 @@ def pack_pieces(
 
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
     schema = ", ".join([*columns, "sequence_id bigint", "offset bigint"])
-    return dealt.groupBy("_group").applyInArrow(pack, schema)
+    packed = dealt.groupBy("_group").applyInArrow(pack, schema)
+    return packed if groups == 1 else _merged(freeze(packed, "packed"), capacity, group_pieces)
+
+
+def _merged(packed: DataFrame, capacity: int, group_pieces: int) -> DataFrame:
+    """Put sequences that are at most half full together, each as it is."""
+    half = (
+        packed.groupBy("sequence_id")
+        .agg(F.sum("length").alias("length"))
+        .filter(2 * F.col("length") <= capacity)
+        .select(F.col("sequence_id").alias("_old"), F.lit(0).alias("piece"), "length")
+    )
+    again = freeze(pack_pieces(half, capacity, group_pieces, "_old"), "merged")
+    # A merged sequence has the least number of those in it, which no other has.
+    least = again.groupBy("sequence_id").agg(F.min("_old").alias("_new"))
+    moved = freeze(
+        again.join(least, "sequence_id").select("_old", "_new", F.col("offset").alias("_shift")),
+        "moved",
+    )
+    found = packed.join(
+        bounded_side(moved, "_old"), F.col("sequence_id") == F.col("_old"), "left"
+    )
+    columns = [c for c in packed.columns if c not in ("sequence_id", "offset")]
+    return found.select(
+        *columns,
+        F.coalesce("_new", "sequence_id").alias("sequence_id"),
+        (F.col("offset") + F.coalesce("_shift", F.lit(0))).alias("offset"),
+    )
 
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:
