@@ -354,6 +354,26 @@ def test_values_are_told_apart_by_what_they_name(spark):
     }
 
 
+@pytest.mark.parametrize("copies", [2, 12])
+def test_near_copies_tell_nothing_more(spark, copies):
+    rare = [f"rare{i}" for i in range(100)]
+    rows = []
+    for i in range(copies):
+        words = rare[:i] + [f"own{i}"] + rare[i + 1 :]
+        rows.append((i, " ".join([*words, "mail who@ex.org"]), "a"))
+    rows += [(100 + i, f"mail of day {i} to all, item{i}", "a") for i in range(60)]
+    docs = documents(spark, rows)
+    assert privacy.disclosing_terms(docs, privacy.find_personal_data(docs)).count() == 0
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs).collect()}
+    assert clean[0] == rows[0][1].replace("who@ex.org", "<EMAIL>")
+    # A name that stands in unlike texts as well still tells.
+    rows = [(i, f"Falcon {t}", s) if i < 50 else (i, t, s) for i, t, s in rows]
+    rows += [(200 + i, f"Falcon mail{i} of who@ex.org to{i}", "a") for i in range(copies)]
+    docs = documents(spark, rows)
+    told = privacy.disclosing_terms(docs, privacy.find_personal_data(docs)).collect()
+    assert {r.term for r in told} == {"falcon"}
+
+
 def told_by_hand(rows, least_together, disclosure):
     """(kind, value, term) that reach the measure, from all pairs of all texts."""
     words = {}

@@ -41,6 +41,8 @@ _HINT = {
 
 #: Different texts that must hold both the term and the value.
 LEAST_TOGETHER = 2
+#: Texts that share more telling terms of a value than this may be near copies.
+MANY_TERMS = 16
 #: A term is disclosing when it tells at least this share of the value's information.
 DISCLOSURE = 0.8
 # Far above the rounding of the measure: bounds on it drop nothing that reaches it.
@@ -200,7 +202,8 @@ def disclosing_terms(
     the value, out of -log p(v) that there is to tell; the ratio is ``told``. It
     is 1 for a term met only with the value. Terms below ``disclosure`` are left,
     as are those met with the value in fewer than ``least_together`` different
-    texts: one meeting is no estimate, and copies of a text are not more of them.
+    texts: one meeting is no estimate, and copies of a text, exact or near, are not more
+    of them.
 
     Values are told apart by what they name: cards and phones by their digits, addresses
     of machines by their numbers, mail without regard to case. Copies of a text are
@@ -268,8 +271,6 @@ def disclosing_terms(
         .filter(told(F.col("together"), F.col("met"), F.col("holders")) >= disclosure - _SLACK)
     )
     pairs = freeze(pairs, "pairs")
-    release(texts)
-    release(holders)
     asked = freeze(pairs.select("term").distinct(), "asked-terms")
     seen = (
         docs.select(F.explode(_all_terms(F.coalesce(text_col, F.lit("")))).alias("term"))
@@ -280,12 +281,54 @@ def disclosing_terms(
     measured = pairs.drop("met").join(seen, "term").withColumn(
         "told", told(F.col("together"), F.col("seen"), F.col("holders"))
     )
-    result = freeze(measured.filter(F.col("told") >= disclosure).select(*pair, "told"), "telling")
-    release(pairs)
-    release(asked)
+    reached = freeze(
+        measured.filter(F.col("told") >= disclosure).select(*pair, "told"), "reached"
+    )
+    result = freeze(_from_unlike_texts(reached, shared, texts, least_together), "telling")
+    for done in (pairs, asked, reached, texts, holders):
+        release(done)
     return result
 
 
+def _from_unlike_texts(
+    reached: DataFrame, shared: DataFrame, texts: DataFrame, least_together: int
+) -> DataFrame:
+    """The terms whose meetings with the value are not those of near copies of one text.
+
+    A text that shares many telling terms of a value with others is named by the least
+    hash among them, which near copies have in common; any other text is its own.
+    Texts of the same name count once, and a quarter of all must lie outside the
+    most frequent name: however large a family of copies, it is one piece of evidence.
+    """
+    pair = ["kind", "value", "term"]
+    terms = freeze(reached.select("term").distinct(), "reached-terms")
+    heard = texts.select("text_hash", F.explode("beside").alias("term")).join(
+        bounded_side(terms, "term"), "term"
+    )
+    met = freeze(
+        shared.select("text_hash", "kind", "value")
+        .join(heard, "text_hash")
+        .join(reached.select(*pair), pair)
+        .select("text_hash", *pair),
+        "met-terms",
+    )
+    names = met.groupBy("text_hash", "kind", "value").agg(
+        F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("term")).alias("least")
+    )
+    names = names.withColumn(
+        "name", F.when(F.col("m") > MANY_TERMS, F.col("least")).otherwise(F.col("text_hash"))
+    )
+    alike = met.join(
+        names.select("text_hash", "kind", "value", "name"), ["text_hash", "kind", "value"]
+    ).groupBy(*pair, "name").agg(F.count(F.lit(1)).alias("c"))
+    of_pair = alike.groupBy(*pair).agg(F.sum("c").alias("all"), F.max("c").alias("most"))
+    outside = F.col("all") - F.col("most")
+    unlike = (outside + 1 >= least_together) & (
+        (4 * outside >= F.col("all")) | F.lit(least_together < 2)
+    )
+    return reached.join(of_pair.filter(unlike).select(*pair), pair)
+
+
 def _named(kind: Column, value: Column) -> Column:
     """What a value names, whatever its spelling."""
     digits = F.regexp_replace(value, "[^0-9]", "")
