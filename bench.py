@@ -19,6 +19,7 @@ from tillroll.plans import ORACLE_SQL, REPORTS, publish, run_report
 from tillroll.plans.oracle import SALES_SQL
 from tillroll.session import local_session, remove_at_exit, scratch_path
 from tillroll.sources import read_retail, save_retail, star_sales
+from tillroll.sources.versions import version_folders
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -87,7 +88,7 @@ def main() -> None:
         "view_value": round(sum(views.values()), 3),
     }
     if os.environ.get("BENCH_ORACLE") == "1":
-        line["sql_engine"] = sql_times(path)
+        line["sql_engine"] = sql_times(version_folders(spark, path)[0])
     print(json.dumps(line))
     spark.stop()
 

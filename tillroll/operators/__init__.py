@@ -22,6 +22,16 @@ from tillroll.operators.orders import (
     invoice_buckets,
     invoice_grain,
 )
+from tillroll.operators.partials import (
+    avg_order_value_from,
+    invoice_bitmaps,
+    invoices_from_bitmaps,
+    merge_bitmaps,
+    merge_partials,
+    new_invoice_numbers,
+    revenue_from_partials,
+    revenue_partials,
+)
 from tillroll.operators.products import (
     distinct_country_lines,
     top_lines_by_country,
@@ -57,6 +67,7 @@ from tillroll.operators.windows import (
 
 __all__ = [
     "avg_order_value",
+    "avg_order_value_from",
     "best_worst_month",
     "clean_cancelled_check",
     "clean_sales",
@@ -68,12 +79,17 @@ __all__ = [
     "distinct_invoices",
     "distinct_lines",
     "exact_ntile",
+    "invoice_bitmaps",
     "invoice_bucket_counts",
     "invoice_bucket_share",
     "invoice_buckets",
     "invoice_grain",
+    "invoices_from_bitmaps",
+    "merge_bitmaps",
+    "merge_partials",
     "month_over_month",
     "monthly_revenue",
+    "new_invoice_numbers",
     "numbered",
     "pct_of_total",
     "preview",
@@ -83,6 +99,8 @@ __all__ = [
     "quartile_share",
     "quartile_summary",
     "revenue_by_country",
+    "revenue_from_partials",
+    "revenue_partials",
     "row_count",
     "running_days",
     "running_invoices",
