@@ -57,8 +57,9 @@ def training_rows(
 ) -> pd.DataFrame:
     """Encoded features of the sampled documents, on the driver.
 
-    ``sample`` has at most as many rows as the documented bound, so it may be
-    broadcast and its features collected. ``start`` gives ``text -> bytes``.
+    ``sample`` has at most as many rows as the documented bound and one for each id, so it
+    may be broadcast. Of several documents with one id the one with the smallest features
+    counts, so no more than ``sample`` has are collected. ``start`` gives ``text -> bytes``.
     """
     wanted = F.broadcast(sample.select(F.col(id_col).alias("_id"), F.col(target).alias("_target")))
     texts = docs.select(id_col, text_col)
@@ -71,8 +72,9 @@ def training_rows(
     kind = docs.schema[id_col].dataType.simpleString()
     made = map_rows(
         rows, ["_id", "_target", text_col], encoder, f"id {kind}, target double, features binary"
-    ).toPandas()
-    return made.sort_values(["id", "features"], kind="stable", ignore_index=True)
+    )
+    made = made.groupBy("id", "target").agg(F.min("features").alias("features")).toPandas()
+    return made.sort_values("id", kind="stable", ignore_index=True)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -17,6 +17,8 @@ PREFIXES = (4, 5, 6, 7)
 TRAINING_ROWS = 20_000
 #: Mini-batches that a fit on few rows goes on for at least.
 LEAST_STEPS = 200
+#: Standard errors from which a term counts in full, and the least that any counts.
+FULL_Z, FLOOR = 6.0, 0.05
 
 
 @dataclass(frozen=True)
@@ -78,9 +80,9 @@ class TermEncoder:
         return np.unique(np.concatenate([found, *repeated])).astype(np.int32)
 
 
-def _differing(rows: list[np.ndarray], y: np.ndarray, least_z: float) -> np.ndarray:
-    """Sorted buckets met whose share of documents differs between the labels by at
-    least ``least_z`` standard errors of that difference; at 0, all that are met."""
+def _evidence(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted buckets met, and by how many standard errors their share of documents
+    differs between the labels."""
     toxic, clean = max(1.0, y.sum()), max(1.0, (1 - y).sum())
     total, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row, label in zip(rows, y):
@@ -89,7 +91,8 @@ def _differing(rows: list[np.ndarray], y: np.ndarray, least_z: float) -> np.ndar
     share = (total + 1.0) / (toxic + clean + 2.0)
     error = np.sqrt(share * (1 - share) * (1 / toxic + 1 / clean))
     z = np.abs(hits / toxic - (total - hits) / clean) / error
-    return np.flatnonzero((total > 0) & (z >= least_z)).astype(np.int32)
+    met = np.flatnonzero(total > 0).astype(np.int32)
+    return met, z[met]
 
 
 def fit(
@@ -100,20 +103,26 @@ def fit(
     epochs: int = 6,
     rate: float = 1.0,
     factor_rate: float = 0.03,
-    shrink: float = 0.35,
+    shrink: float = 0.0,
+    full_z: float = FULL_Z,
+    floor: float = FLOOR,
 ) -> FactorizationMachine:
     """Fit by mini-batches with sparse AdaGrad steps on the logistic loss.
 
     Texts are sets of buckets, and every bucket met gets weights unless ``least_z``
     asks for fewer: what matters only beside another term has no share of its own
-    that differs. Weights are learnt for texts scaled by one factor to about unit
-    length, and shrunk when touched, by ``shrink`` over the number of rows. Rates
-    fall to zero over the epochs. Without both labels in the sample the model is its
+    that differs. A bucket enters with a value: the square of how many standard errors
+    its share of documents differs between the labels, 1 from ``full_z`` on and never
+    below ``floor``. So a term that is rare, or alike in both, has to be paid for with a
+    larger weight, and cannot explain a label by chance. One factor brings texts to about
+    unit length; ``shrink`` over the number of rows also shrinks weights when touched.
+    Rates fall to zero over the epochs. Without both labels in the sample the model is its
     bias, the share of toxic rows.
     """
     positive = (float(y.sum()) + 0.5) / (len(y) + 1.0)
     bias = float(np.log(positive / (1 - positive)))
-    kept = _differing(rows, y, least_z) if 0 < y.sum() < len(y) else np.empty(0, np.int32)
+    kept, z = _evidence(rows, y) if 0 < y.sum() < len(y) else (np.empty(0, np.int32), np.empty(0))
+    kept, z = kept[z >= least_z], z[z >= least_z]
     random = np.random.default_rng(7)
     # The linear weight of each bucket, then its factors.
     p = np.zeros((len(kept), 1 + factors), np.float32)
@@ -122,7 +131,9 @@ def fit(
         return FactorizationMachine(kept, bias, p[:, 0], p[:, 1:])
     place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    scale = np.float32(max(1.0, sum(map(len, rows)) / len(rows)) ** -0.5)
+    value = np.clip((z / full_z) ** 2, floor, 1.0)
+    met_by = np.bincount(place[np.concatenate(rows)] + 1, minlength=len(kept) + 1)[1:]
+    value = (value / np.sqrt((met_by * value**2).sum() / len(rows))).astype(np.float32)
     rates = np.array([rate] + [factor_rate] * factors, np.float32)
     gb, gp = 1e-8, np.full_like(p, 1e-6)
     met, slot = np.zeros(len(kept), bool), np.zeros(len(kept), np.int64)
@@ -137,7 +148,7 @@ def fit(
             row = np.repeat(np.arange(len(batch)), [len(rows[i]) for i in batch])
             at, row = at[at >= 0], row[at >= 0]
             full, first = np.unique(row, return_index=True)
-            used = p[at] * scale
+            used = p[at] * value[at][:, None]
             sums, squares = np.zeros((len(batch), 1 + factors)), np.zeros(len(batch))
             if len(at):
                 sums[full] = np.add.reduceat(used, first, axis=0)
@@ -149,20 +160,22 @@ def fit(
             touched = np.flatnonzero(met)
             slot[touched] = np.arange(len(touched))
             where, now = slot[at], p[touched]
+            each = value[touched]
             own = np.bincount(where, weights=slope[row], minlength=len(touched))
             d = np.empty(now.shape)
             d[:, 0] = own
             for k in range(1, 1 + factors):
                 through = (slope * sums[:, k])[row]
                 d[:, k] = np.bincount(where, weights=through, minlength=len(touched))
-            d[:, 1:] -= scale * now[:, 1:] * own[:, None]
-            d = d * scale + shrink / len(rows) * now
+            d[:, 1:] -= now[:, 1:] * (each * own)[:, None]
+            d = d * each[:, None] + shrink / len(rows) * now
             gp[touched] += d * d
             p[touched] = now - slow * rates * d / np.sqrt(gp[touched])
             db = slope.sum()
             gb += db * db
             bias -= 0.1 * slow * db / np.sqrt(gb)
-    return FactorizationMachine(kept, float(bias), p[:, 0] * scale, p[:, 1:] * scale)
+    p *= value[:, None]
+    return FactorizationMachine(kept, float(bias), p[:, 0], p[:, 1:])
 
 
 def fit_toxicity(
