@@ -38,8 +38,8 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix(open_table(spark, sf_dir, "documents"))
-    columns = ("doc_id", "size", "source_size", "target", "taken", "position")
-    return by_position(plan.select(*columns), "doc_id").drop("position")
+    columns = ("doc_id", "size", "source_size", "target", "taken", "position", "second_position")
+    return by_position(plan.select(*columns), "doc_id")
 
 
 

@@ -56,7 +56,8 @@ WITH sized AS (
 ), sources AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
            CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
-               WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+               WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
+           (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS third
     FROM sized GROUP BY source
 ), ordered AS (
     SELECT *,
@@ -71,6 +72,8 @@ WITH sized AS (
                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
 ), targets AS (
     SELECT source, source_size,
+           CASE third WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 1.5 END::DOUBLE AS first,
+           CASE third WHEN 0 THEN 1.5 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS last,
            least(2.0 * source_size,
                  weight * max(level) OVER ()) AS target
     FROM ordered
@@ -79,11 +82,24 @@ WITH sized AS (
                PARTITION BY source ORDER BY digest, doc_id NULLS FIRST, size
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
     FROM sized JOIN targets USING (source)
+), readings AS (
+    SELECT *, CAST(round(target) AS BIGINT) AS due,
+           greatest(0, least(size, round(target) - ahead)) AS read_first,
+           greatest(0, least(size, round(target) - source_size - ahead)) AS read_second,
+           least(1.0::DOUBLE, ahead::DOUBLE / greatest(due, 1)) * (first + last) / 2 AS met,
+           least(1.0::DOUBLE, (ahead + source_size)::DOUBLE / greatest(due, 1))
+               * (first + last) / 2 AS met_again
+    FROM placed
 )
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
-       CAST(greatest(0, least(size, round(target) - ahead))
-            + greatest(0, least(size, round(target) - source_size - ahead)) AS BIGINT) AS taken
-FROM placed
+       CAST(read_first + read_second AS BIGINT) AS taken,
+       CASE WHEN read_first <= 0 THEN NULL WHEN met <= 0 THEN 0
+            ELSE 2 * met / (first + sqrt(greatest(
+                0, first * first + 2 * (last - first) * met))) END AS position,
+       CASE WHEN read_second <= 0 THEN NULL WHEN met_again <= 0 THEN 0
+            ELSE 2 * met_again / (first + sqrt(greatest(
+                0, first * first + 2 * (last - first) * met_again))) END AS second_position
+FROM readings
 """
 
 
