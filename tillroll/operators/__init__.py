@@ -57,6 +57,7 @@ from tillroll.operators.revenue import (
     running_total,
 )
 from tillroll.operators.shape import with_invoice_timestamp, with_month, with_revenue
+from tillroll.operators.tiles import invoice_quartiles, ntile_by_counting, rows_at
 from tillroll.operators.windows import (
     exact_ntile,
     numbered,
@@ -84,12 +85,14 @@ __all__ = [
     "invoice_bucket_share",
     "invoice_buckets",
     "invoice_grain",
+    "invoice_quartiles",
     "invoices_from_bitmaps",
     "merge_bitmaps",
     "merge_partials",
     "month_over_month",
     "monthly_revenue",
     "new_invoice_numbers",
+    "ntile_by_counting",
     "numbered",
     "pct_of_total",
     "preview",
@@ -102,6 +105,7 @@ __all__ = [
     "revenue_from_partials",
     "revenue_partials",
     "row_count",
+    "rows_at",
     "running_days",
     "running_invoices",
     "running_total",

@@ -176,6 +176,12 @@ FROM (SELECT CAST(invoicedate AS DATE) AS day, round(sum(value), 2) AS total
 FROM (SELECT invoiceno, min(invoicedate) AS invoicedate, round(sum(value), 2) AS total
       FROM clean GROUP BY invoiceno)""",
     ),
+    "invoice_quartiles": _with(
+        ("clean",),
+        """SELECT invoiceno, CAST(total AS DOUBLE) AS total_invoice_value,
+       CAST(ntile(4) OVER (ORDER BY total DESC, invoiceno) AS BIGINT) AS value_quartile
+FROM (SELECT invoiceno, round(sum(value), 2) AS total FROM clean GROUP BY invoiceno)""",
+    ),
     "incremental_revenue": _with(
         ("clean",),
         """SELECT CAST(date_trunc('month', invoicedate) AS TIMESTAMP) AS month, country,

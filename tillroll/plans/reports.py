@@ -286,6 +286,7 @@ REPORTS: dict[str, Report] = {
     ),
     "invoice_bucket_counts": ops.invoice_bucket_counts,
     "invoice_bucket_share": ops.invoice_bucket_share,
+    "invoice_quartiles": ops.invoice_quartiles,
     # products per country
     "top_lines_by_country": ops.top_lines_by_country,
     "top_products_by_country_rank": ops.top_products_by_country,
