@@ -12,6 +12,7 @@ import pytest
 from edge_rows import LONG, TEXTS, documents, no_documents, small  # noqa: F401
 
 from tillroll.llm import fingerprints, jaccard, links, neighbours, privacy
+from tillroll.llm.common import bounded_sample
 from tillroll.llm.queries import QUERIES
 
 # Fingerprints
@@ -134,6 +135,40 @@ def test_recall_on_the_tables(spark, monkeypatch):
     assert len(got & truth) >= 0.9 * len(truth) and len(got) == len(truth)
 
 
+@pytest.mark.parametrize("folder, least", [("sf0.01", 2), ("sf0.1", 8)])
+def test_shipped_trees_have_leaves_and_recall(spark, folder, least, monkeypatch):
+    """As shipped, on the tables: more than one leaf, and recall on queries not calibrated with."""
+    monkeypatch.setattr(neighbours, "CALIBRATION_QUERIES", 64)
+    table = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding, "") for r in table.collect()]
+    sample = np.array([v for _, v, _ in rows], float)
+    leaves = neighbours.KMeansTree.fit(sample, neighbours.leaves_for(len(rows), len(rows))).leaves
+    assert leaves >= least
+    queries = table.filter("vec_id % 4 = 0")
+    used = {r.vec_id for r in bounded_sample(queries, "vec_id", 64).collect()}
+    truth = {(i, j) for i, own in true_nearest(rows, 4, 20) for j in own if i not in used}
+    found = neighbours.nearest(table, every=4).collect()
+    got = {(r.query_id, r.vec_id) for r in found if r.query_id not in used}
+    assert len(truth) >= 20 * 60
+    assert len(got & truth) >= 0.9 * len(truth) and len(got) == len(truth)
+
+
+def test_leaves_grow_with_the_root_of_the_table():
+    sample = neighbours.SAMPLE_ROWS
+    asked = [neighbours.leaves_for(n, min(n, sample)) for n in (100, 500, 10**4, 10**6, 10**8)]
+    assert asked == [1, 3, 25, 250, 2500]
+
+
+def test_repeated_query_ids(spark):
+    """One id with two vectors asks twice; equal rows ask once; repeats are candidates each."""
+    rows = [(20, [1.0, 0.0], ""), (20, [1.0, 0.0], ""), (20, [0.0, 1.0], "")]
+    rows += [(1, [2.0, 0.0], ""), (2, [0.0, 3.0], ""), (3, [1.0, 1.0], ""), (3, [1.0, 1.0], "")]
+    found = neighbours.nearest(vectors(spark, rows), k=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == [
+        (20, 1, 1, 2.0), (20, 1, 2, 3.0), (20, 2, 3, 1.0), (20, 2, 3, 1.0),
+    ]
+
+
 # Near duplicates
 
 

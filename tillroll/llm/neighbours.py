@@ -20,9 +20,11 @@ from tillroll.session import freeze
 SAMPLE_ROWS = 20_000
 CALIBRATION_QUERIES = 256
 BRANCHES = 8
-#: Rows a leaf should hold; deeper trees have more leaves, so visits stay in proportion.
-LEAF_ROWS = 2048
-MOST_LEAVES = 4096
+#: Rows worth a leaf. Leaves grow with the root of the table, and so do the visits of a query;
+#: a leaf holds at least ``LEAST_SAMPLE`` vectors of the sample, or its centre means nothing.
+LEAF_ROWS = 128
+LEAVES_TO_ROOT = 4
+LEAST_SAMPLE = 4
 RECALL = 0.95
 #: Rows of one task when a leaf is searched; larger leaves are split.
 BLOCK_ROWS = 4096
@@ -135,7 +137,10 @@ def _exact(query: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _best(query_id, query, ids, x, rough, k, bar=-np.inf):
-    """Top ``k`` of a block for one query, none below ``bar``; ties to the smaller id."""
+    """Places and scores of a block's top ``k`` for one query, none below ``bar``.
+
+    Ties go to the smaller id.
+    """
     slack = 1e-9 * (1.0 + np.abs(rough).max(initial=0.0))
     keep = np.flatnonzero((rough >= bar - slack) & (ids != query_id))
     if len(keep) > k:
@@ -143,7 +148,7 @@ def _best(query_id, query, ids, x, rough, k, bar=-np.inf):
         keep = keep[rough[keep] >= least - slack]
     exact = _exact(query, x[keep])
     order = np.lexsort((ids[keep], -exact))[:k]
-    return ids[keep][order], exact[order]
+    return keep[order], exact[order]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -152,16 +157,27 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
 
-_FOUND = "query_id bigint, vec_id bigint, score double"
+_FOUND = "query_id bigint, form bigint, vec_id bigint, score double"
+# What tells queries apart: rows of one id with different vectors are queries of their own.
+_QUERY = ("query_id", "form")
+
+
+def leaves_for(rows: int, sampled: int) -> int:
+    """Leaves to ask of a tree over so many rows, of which so many are at hand."""
+    wanted = min(rows // LEAF_ROWS, math.isqrt(rows) // LEAVES_TO_ROOT)
+    return max(1, min(wanted, sampled // LEAST_SAMPLE))
 
 
-def _top(found: DataFrame, k: int) -> DataFrame:
-    best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+def _top(found: DataFrame, k: int, query: tuple[str, ...] = _QUERY) -> DataFrame:
+    best_first = Window.partitionBy(*query).orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
 
 
-def _scan(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """Exact top ``k`` of a bounded set of queries over all rows, in one pass."""
+def _true_leaves(placed: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """Leaves of the exact top ``k`` of a bounded set of queries, over all rows in one pass.
+
+    One row for each of those neighbours, ``k`` at most for each place in ``queries``.
+    """
     width = queries.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,16 +188,21 @@ def _scan(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> D
                 x = _matrix(part.column(1), width)
                 rough = queries @ x.T
                 rows = [_best(i, q, own, x, r, k) for i, q, r in zip(ids, queries, rough)]
+                at = np.concatenate([r[0] for r in rows])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(ids, [len(r[0]) for r in rows])),
-                        pa.array(np.concatenate([r[0] for r in rows])),
+                        pa.array(np.repeat(np.arange(len(ids)), [len(r[0]) for r in rows])),
+                        pa.array(own[at]),
+                        part.column(2).take(pa.array(at)),
                         pa.array(np.concatenate([r[1] for r in rows])),
                     ],
-                    names=["query_id", "vec_id", "score"],
+                    names=["query", "vec_id", "leaf", "score"],
                 )
 
-    return _top(vectors.select("vec_id", "vector").mapInArrow(run, _FOUND), k)
+    found = placed.select("vec_id", "vector", "leaf").mapInArrow(
+        run, "query bigint, vec_id bigint, leaf int, score double"
+    )
+    return _top(found, k, ("query",)).select("query", "leaf")
 
 
 def _sample(vectors: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,8 +223,8 @@ def nearest(
 ) -> DataFrame:
     """Nearest ``k`` rows, by inner product, of each row whose id ``every`` divides.
 
-    A tree is fitted on at most ``SAMPLE_ROWS`` vectors, with leaves in
-    proportion to the table. All rows fall into its leaves. For at most
+    A tree is fitted on at most ``SAMPLE_ROWS`` vectors, with leaves in proportion to the
+    root of the table's rows. All rows fall into its leaves. For at most
     ``CALIBRATION_QUERIES`` of the queries the true neighbours are found over all
     rows; where those lie among the leaves, in the order in which the search visits
     them, gives the number of visits that reaches ``recall``. Each query then
@@ -214,7 +235,10 @@ def nearest(
 
     Returns ``query_id``, ``rank`` from 1, ``vec_id``, ``score`` (double precision on the
     vectors as given), and fewer rows where there are fewer candidates. A query is
-    not its own candidate; other rows with its id are not either. Null, zero or
+    not its own candidate; other rows with its id are not either. Rows of one id with different
+    vectors are queries of their own, whose results stand side by side under that id; equal rows
+    ask once. Equal scores go to the smaller id, and rows that repeat a candidate are
+    candidates each. Null, zero or
     non-finite vectors and null ids take no part, nor do vectors of another length
     than the commonest.
     """
@@ -232,8 +256,7 @@ def nearest(
     width, rows = widths[0]
     good = good.filter(F.size("vector") == width)
     _, sample = _sample(good, SAMPLE_ROWS)
-    leaves = int(min(MOST_LEAVES, max(1, rows // LEAF_ROWS), max(1, len(sample) // 4)))
-    tree = KMeansTree.fit(sample, leaves)
+    tree = KMeansTree.fit(sample, leaves_for(rows, len(sample)))
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,18 +271,18 @@ def nearest(
     placed = freeze(
         good.mapInArrow(place, f"vec_id bigint, vector {element}, leaf int"), "leaves"
     )
-    queries = placed.filter(F.col("vec_id") % every == 0)
+    queries = placed.filter(F.col("vec_id") % every == 0).withColumn(
+        "form", F.xxhash64("vector")
+    ).dropDuplicates(["vec_id", "form"])
     query_ids, query_vectors = _sample(queries, CALIBRATION_QUERIES)
     if not len(query_ids):
         return spark.createDataFrame([], schema)
 
-    truth = _scan(placed, query_ids, query_vectors, k)
-    where = truth.join(placed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf")
-    order = {
-        int(i): {leaf: n for n, leaf in enumerate(tree.visit(q, tree.leaves), 1)}
-        for i, q in zip(query_ids, query_vectors)
-    }
-    needed = np.sort([order[r["query_id"]][r["leaf"]] for r in where.collect()])
+    truth = _true_leaves(placed, query_ids, query_vectors, k).collect()
+    order = [
+        {leaf: n for n, leaf in enumerate(tree.visit(q, tree.leaves), 1)} for q in query_vectors
+    ]
+    needed = np.sort([order[r["query"]][r["leaf"]] for r in truth])
     visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,29 +294,30 @@ def nearest(
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(at),
+                    batch.column(2).take(at),
                     batch.column(1).take(at),
                     pa.array(np.concatenate(found or [[]]).astype(np.int32)),
                     pa.array(turn),
                 ],
-                names=["query_id", "query", "leaf", "turn"],
+                names=["query_id", "form", "query", "leaf", "turn"],
             )
 
-    asked = queries.select("vec_id", "vector").mapInArrow(
-        ask, f"query_id bigint, query {element}, leaf int, turn int"
+    asked = queries.select("vec_id", "vector", "form").mapInArrow(
+        ask, f"query_id bigint, form bigint, query {element}, leaf int, turn int"
     )
     sizes = placed.groupBy("leaf").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks")
     )
     members = placed.join(F.broadcast(sizes), "leaf").select(
         "leaf",
-        F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"),
+        F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("int").alias("block"),
         "vec_id",
         "vector",
     )
     spread = (
         asked.join(F.broadcast(sizes), "leaf")
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("leaf", "block", "query_id", "query", "turn")
+        .select("leaf", "block", *_QUERY, "query", "turn")
     )
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -309,16 +333,20 @@ def nearest(
                 _best(i, v, ids, x, r, k, bar)
                 for i, v, r, bar in zip(asking[at:], q[at:], rough, bars[at:])
             ]
+        times, at = [len(h[0]) for h in hits], np.concatenate([h[0] for h in hits])
         return pa.table(
             {
-                "query_id": np.repeat(asking, [len(h[0]) for h in hits]),
-                "vec_id": np.concatenate([h[0] for h in hits]),
+                "query_id": np.repeat(asking, times),
+                "form": np.repeat(left["form"].to_numpy(), times),
+                "vec_id": ids[at],
                 "score": np.concatenate([h[1] for h in hits]),
             },
             schema=arrow,
         )
 
-    arrow = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    arrow = pa.schema(
+        [("query_id", pa.int64()), ("form", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]
+    )
 
     def searched(asking: DataFrame) -> DataFrame:
         return (
@@ -332,11 +360,11 @@ def nearest(
     lowest = F.lit(float("-inf"))
     near = freeze(
         _top(searched(spread.filter(F.col("turn") < first).withColumn("bar", lowest)), k), "near"
-    ).select("query_id", "vec_id", "score")
-    bars = near.groupBy("query_id").agg(
+    ).select(*_QUERY, "vec_id", "score")
+    bars = near.groupBy(*_QUERY).agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(lowest).alias("bar")
     )
-    rest = spread.filter(F.col("turn") >= first).join(bars, "query_id", "left")
+    rest = spread.filter(F.col("turn") >= first).join(bars, list(_QUERY), "left")
     rest = rest.withColumn("bar", F.coalesce("bar", lowest))
     found = near.union(searched(rest.select(*spread.columns, "bar")))
     return _top(found, k).select("query_id", "rank", "vec_id", "score")
