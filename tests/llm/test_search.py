@@ -52,6 +52,35 @@ def test_fingerprints_of_repeats_and_of_nothing(spark):
     assert fingerprints.fingerprint_edits(no_documents(spark)).collect() == []
 
 
+def test_one_id_on_a_third_of_the_rows_is_spread(spark):
+    """Ranges cut through a hot id and a row repeated often; the results follow the order."""
+    draw = random.Random(3)
+    made = [(7, " ".join(draw.choices("abcdefg", k=12)), "a") for _ in range(300)]
+    made += [(7, "the same row again and again", "a")] * 300
+    made += [(i, f"document {i} " + "x" * (i % 9), "b") for i in range(100, 700)]
+    table = documents(spark, made, clashes=()).repartition(5)
+    placed = fingerprints._with_next(table, "doc_id", "text").filter("not _tail")
+    sizes = [r["count"] for r in placed.groupBy("_range").count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(sizes) <= 1.5 * sum(sizes) / len(sizes)
+    order = [r._text for r in placed.orderBy(placed._key.desc(), placed._hash.desc()).collect()]
+    wanted = Counter()
+    for t, after in zip(order, order[1:] + order[:1]):
+        m = len(t) // 2
+        wanted[hashlib.sha256((t[: len(t) - m] + after[:m]).encode()).hexdigest()] += 1
+    found = fingerprints.fingerprint_edits(table).collect()
+    assert Counter(r.edited_sha256 for r in found) == wanted
+
+
+def test_tuples_keep_their_order_as_bytes():
+    draw = np.random.default_rng(1)
+    ends = np.array([-(2**63), -256, -1, 0, 1, 255, 256, 2**63 - 1])
+    rows = [draw.choice(ends, 400) for _ in range(3)]
+    packed = fingerprints._ordered(*rows)
+    tuples = list(zip(*[r.tolist() for r in rows]))
+    assert np.array_equal(np.argsort(packed, kind="stable"), sorted(range(400), key=tuples.__getitem__))
+
+
 def test_digest_laws():
     draw = random.Random(1)
     texts = [bytes(draw.choices(range(97, 117), k=draw.randint(0, 900))) for _ in range(40)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -63,48 +63,80 @@ def likeness(a: bytes, b: bytes) -> float:
     return 1.0 - ((1.0 - LENGTH_SHARE) * apart + LENGTH_SHARE * ratio)
 
 
+#: Rows looked at for each range to cut, and the most ranges.
+SAMPLED_PER_RANGE = 50
+MOST_RANGES = 20_000
+
+
+def _ordered(*parts: np.ndarray) -> np.ndarray:
+    """Whole numbers side by side as bytes that sort like the tuples of them."""
+    raised = np.stack([p.astype(np.int64) for p in parts], axis=1).view(np.uint64) ^ np.uint64(1 << 63)
+    return raised.astype(">u8").view(f"S{8 * len(parts)}").ravel()
+
+
+def _cuts(rows: DataFrame, order: Sequence[str], ranges: int) -> np.ndarray:
+    """Bounds of about equal ranges, from a sample of bounded size.
+
+    They only decide where a row is worked on, so the sample bears on no result.
+    """
+    wanted = SAMPLED_PER_RANGE * ranges
+    share = min(1.0, wanted / max(1, rows.count()))
+    seen = rows.select(*order)
+    if share < 1.0:
+        seen = seen.sample(share, seed=5)
+    picked = seen.limit(2 * wanted).toArrow()
+    keys = np.sort(_ordered(*[c.to_numpy() for c in picked.columns]))
+    return np.unique(keys[np.arange(1, ranges) * len(keys) // ranges]) if len(keys) else keys
+
+
 def _with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows in descending order of the key, so placed that each meets the next one.
 
-    The keys are cut into ranges at quantiles, at most one cut for each shuffle
-    partition; the cuts and the largest key of each range are all that comes to the
-    driver. Each range is one sorted partition and ends with a copy of the row that
-    begins the next range, marked ``_tail``. So the texts are shuffled once. Rows of
-    equal keys are in the order of their text's hash; a null key comes last.
+    Rows are in order of their key, the hash of their text and their place in the input,
+    and are cut into ranges of that order, so that neither a key nor a row that is
+    repeated very often fills one range. The cuts and the largest key and hash of each range
+    are all that comes to the driver. Each range is one sorted partition and ends with a
+    copy of the row that begins the next range, marked ``_tail``. So the texts are shuffled
+    once. A null key comes last.
     """
     spark = df.sparkSession
     rows = df.select(
         F.coalesce(F.col(id_col), F.lit(_LOWEST)).cast("bigint").alias("_key"),
         F.col(id_col).alias("_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
-    )
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / ranges for i in range(1, ranges)] or [0.5]
-    found = rows.agg(F.percentile_approx("_key", shares, 10 * ranges).alias("cuts")).first()
-    cuts = np.unique(np.array(found["cuts"] or [], np.int64))
+        F.monotonically_increasing_id().alias("_place"),
+    ).withColumn("_hash", F.xxhash64("_text"))
+    order = ["_key", "_hash", "_place"]
+    ranges = min(MOST_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = _cuts(rows, order, ranges)
 
     @F.pandas_udf("int")
-    def place(key: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts) - np.searchsorted(cuts, key.to_numpy(), side="left"))
-
-    placed = rows.withColumn("_range", place("_key"))
-    firsts = sorted(placed.groupBy("_range").agg(F.max("_key").alias("_key")).collect())
-    before = {r["_key"]: firsts[i - 1]["_range"] for i, r in enumerate(firsts)}
-    schema = "_first bigint, _to int"
-    heads = F.broadcast(spark.createDataFrame(list(before.items()), schema))
-    text_hash = F.xxhash64("_text")
+    def place(key: pd.Series, text_hash: pd.Series, at: pd.Series) -> pd.Series:
+        own = _ordered(key.to_numpy(), text_hash.to_numpy(), at.to_numpy())
+        return pd.Series(len(cuts) - np.searchsorted(cuts, own, side="left"))
+
+    placed = rows.withColumn("_range", place(*order))
+    first = F.max(F.struct("_key", "_hash")).alias("first")
+    firsts = sorted(placed.groupBy("_range").agg(first).collect())
+    before = [
+        (*r["first"], firsts[i - 1]["_range"]) for i, r in enumerate(firsts)
+    ]
+    schema = "_first bigint, _first_hash bigint, _to int"
+    heads = F.broadcast(spark.createDataFrame(before, schema))
+    # Rows of equal key and hash hold one text, so any of them may stand for the first.
     tails = (
-        rows.join(heads, F.col("_key") == F.col("_first"))
-        .groupBy("_to", "_key")
-        .agg(F.max(F.struct(text_hash.alias("hash"), "_text")).alias("row"))
+        rows.join(heads, (F.col("_key") == F.col("_first")) & (F.col("_hash") == F.col("_first_hash")))
+        .groupBy("_to")
+        .agg(F.first(F.struct("_key", "_text")).alias("row"))
         .select(
-            "_key", F.lit(None).cast("bigint").alias("_id"), "row._text",
+            "row._key", F.lit(None).cast("bigint").alias("_id"), "row._text",
+            F.lit(0).cast("bigint").alias("_place"), F.lit(0).cast("bigint").alias("_hash"),
             F.col("_to").alias("_range"), F.lit(True).alias("_tail"),
         )
     )
     every = placed.withColumn("_tail", F.lit(False)).unionByName(tails)
     return every.repartitionById(max(1, ranges), "_range").sortWithinPartitions(
-        "_range", "_tail", F.col("_key").desc(), text_hash.desc()
+        "_range", "_tail", *[F.col(c).desc() for c in order]
     )
 
 
@@ -123,8 +155,9 @@ def fingerprint_edits(
     first as many of the next document, by descending key; after the last comes
     the first. A null text is empty. A lone document is its own next. Rows that repeat
     follow each other and each has its result. Other columns are not read. Keys
-    must be whole numbers; rows of one key are handled in one task, as a stream. The
-    key ranges are measured when called. An empty table gives no rows.
+    must be whole numbers; rows of one key are in descending order of the hash of their text,
+    and may be spread over many tasks, each of which works on a stream. The ranges are
+    measured when called. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
