@@ -124,31 +124,37 @@ class KMeansTree:
         return found
 
 
-def _exact(query: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed part by part in order.
+def _exact(queries: np.ndarray, x: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Inner products of pairs in double precision, summed part by part in order.
 
     A matrix product may round the same pair differently from block to block; this
     gives equal vectors equal scores wherever they lie.
     """
-    total = np.zeros(len(x))
+    total = np.zeros(len(at))
     for d in range(x.shape[1]):
-        total += query[d] * x[:, d]
+        total += queries[at, d] * x[place, d]
     return total
 
 
-def _best(query_id, query, ids, x, rough, k, bar=-np.inf):
-    """Places and scores of a block's top ``k`` for one query, none below ``bar``.
+def _best(query_ids, queries, ids, x, k, bars):
+    """The top ``k`` of a block for each query, none below its bar; ties to the smaller id.
 
-    Ties go to the smaller id.
+    Three arrays side by side: places of queries, places in the block, scores.
     """
-    slack = 1e-9 * (1.0 + np.abs(rough).max(initial=0.0))
-    keep = np.flatnonzero((rough >= bar - slack) & (ids != query_id))
-    if len(keep) > k:
-        least = np.partition(rough[keep], len(keep) - k)[len(keep) - k]
-        keep = keep[rough[keep] >= least - slack]
-    exact = _exact(query, x[keep])
-    order = np.lexsort((ids[keep], -exact))[:k]
-    return keep[order], exact[order]
+    rough = queries @ x.T
+    slack = 1e-9 * (1.0 + np.abs(rough).max(axis=1, initial=0.0))
+    keep = (rough >= (bars - slack)[:, None]) & (ids[None, :] != query_ids[:, None])
+    many = np.flatnonzero(keep.sum(axis=1) > k)
+    if len(many):
+        among = np.where(keep[many], rough[many], -np.inf)
+        least = np.partition(among, len(ids) - k, axis=1)[:, len(ids) - k]
+        keep[many] = among >= (least - slack[many])[:, None]
+    at, place = np.nonzero(keep)
+    exact = _exact(queries, x, at, place)
+    order = np.lexsort((ids[place], -exact, at))
+    at, place, exact = at[order], place[order], exact[order]
+    first = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[first], place[first], exact[first]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -178,7 +184,7 @@ def _true_leaves(placed: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int
 
     One row for each of those neighbours, ``k`` at most for each place in ``queries``.
     """
-    width = queries.shape[1]
+    width, no_bar = queries.shape[1], np.full(len(ids), -np.inf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,15 +192,13 @@ def _true_leaves(placed: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int
                 part = batch.slice(at, BLOCK_ROWS)
                 own = part.column(0).to_numpy()
                 x = _matrix(part.column(1), width)
-                rough = queries @ x.T
-                rows = [_best(i, q, own, x, r, k) for i, q, r in zip(ids, queries, rough)]
-                at = np.concatenate([r[0] for r in rows])
+                at, place, score = _best(ids, queries, own, x, k, no_bar)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(np.arange(len(ids)), [len(r[0]) for r in rows])),
-                        pa.array(own[at]),
-                        part.column(2).take(pa.array(at)),
-                        pa.array(np.concatenate([r[1] for r in rows])),
+                        pa.array(at),
+                        pa.array(own[place]),
+                        part.column(2).take(pa.array(place)),
+                        pa.array(score),
                     ],
                     names=["query", "vec_id", "leaf", "score"],
                 )
@@ -327,19 +331,17 @@ def nearest(
         asking, q = left["query_id"].to_numpy(), _matrix(left["query"], width)
         bars = left["bar"].to_numpy()
         hits = []
-        for at in range(0, len(q), QUERY_BATCH):
-            rough = q[at : at + QUERY_BATCH] @ x.T
-            hits += [
-                _best(i, v, ids, x, r, k, bar)
-                for i, v, r, bar in zip(asking[at:], q[at:], rough, bars[at:])
-            ]
-        times, at = [len(h[0]) for h in hits], np.concatenate([h[0] for h in hits])
+        for start in range(0, len(q), QUERY_BATCH):
+            some = slice(start, start + QUERY_BATCH)
+            at, place, score = _best(asking[some], q[some], ids, x, k, bars[some])
+            hits.append((at + start, place, score))
+        at, place, score = (np.concatenate(h) for h in zip(*hits))
         return pa.table(
             {
-                "query_id": np.repeat(asking, times),
-                "form": np.repeat(left["form"].to_numpy(), times),
-                "vec_id": ids[at],
-                "score": np.concatenate([h[1] for h in hits]),
+                "query_id": asking[at],
+                "form": left["form"].to_numpy()[at],
+                "vec_id": ids[place],
+                "score": score,
             },
             schema=arrow,
         )
