@@ -88,6 +88,27 @@ def test_many_invoices_fill_several_buckets(spark, tmp_path):
     assert summary._table("bitmaps").count() == 3
 
 
+def test_bitmaps_are_few_where_invoices_mix_countries_and_months(spark):
+    n, groups = 70_000, 28
+    lines = spark.range(2 * n).select(
+        (F.col("id") % n).cast("string").alias("invoiceno"), F.lit("s").alias("stockcode"),
+        F.lit("d").alias("description"), F.lit(1).cast("bigint").alias("quantity"),
+        F.add_months(F.lit("2011-01-01").cast("date"), (F.col("id") % 7).cast("int"))
+        .cast("timestamp_ntz").alias("invoicedate"),
+        F.lit(Decimal("1.0000")).cast("decimal(12,4)").alias("unitprice"),
+        F.lit(7).cast("bigint").alias("customerid"),
+        F.when(F.col("id") % 4 > 0, F.concat(F.lit("c"), F.col("id") % 4)).alias("country"),
+    )
+    none = spark.createDataFrame([], "invoiceno string, number bigint")
+    maps = ops.invoice_bitmaps(lines, ops.new_invoice_numbers(lines, none, 1))
+    # One for each country and month, and one more for each further bucket of the numbers.
+    assert maps.count() == groups + 2
+    by = ["country", "month"]
+    month = F.col("invoicedate").cast("date").alias("month")
+    counted = lines.groupBy("country", month).agg(F.countDistinct("invoiceno").alias("unique_invoices"))
+    assert rows(ops.invoices_from_bitmaps(maps, *by)) == rows(counted)
+
+
 def test_partial_sums_too_long_are_refused(spark):
     big = spark.createDataFrame([(Decimal("9" * 34 + ".9999"),)] * 2, "v decimal(38,4)")
     with pytest.raises(Exception, match="38 digits|NUMERIC_VALUE_OUT_OF_RANGE"):

@@ -64,12 +64,19 @@ def revenue_from_partials(partials: DataFrame, *by: str) -> DataFrame:
 def new_invoice_numbers(df: DataFrame, known: DataFrame, first: int) -> DataFrame:
     """Numbers from ``first`` on for the clean invoices not in ``known`` (``invoiceno``, ``number``).
 
-    They are given over sorted ranges, so the numbers lie close together, which
-    keeps bitmaps of them small.
+    They are given over ranges sorted by country and month, so the invoices of both lie close
+    together: a bitmap holds many of them, and there are few bitmaps. An invoice with lines in
+    several goes by the smallest of each.
     """
-    fresh = clean_sales(df).select("invoiceno").distinct().join(known, "invoiceno", "left_anti")
-    return numbered(fresh, ["invoiceno"], "number").withColumn(
-        "number", F.col("number") + F.lit(first)
+    month = month_start(F.col("invoicedate"))
+    fresh = (
+        clean_sales(df)
+        .groupBy("invoiceno")
+        .agg(F.min("country").alias("_country"), F.min(month).alias("_month"))
+        .join(known, "invoiceno", "left_anti")
+    )
+    return numbered(fresh, ["_country", "_month", "invoiceno"], "number").select(
+        "invoiceno", (F.col("number") + F.lit(first)).alias("number")
     )
 
 
@@ -77,13 +84,17 @@ def invoice_bitmaps(df: DataFrame, numbers: DataFrame) -> DataFrame:
     """The clean invoices of each country and month as bitmaps over their numbers.
 
     A row holds the numbers of one bucket of 32,768. A country's rows are spread over its
-    months and buckets, so one with most invoices is in many tasks.
+    months and buckets, so one with most invoices is in many tasks. The numbers are shuffled,
+    at most 32,768 for a row, and made into bitmaps once they are together: a bitmap takes
+    4 KB however few invoices it holds, so no task makes one for its share of a bucket.
     """
     month = month_start(F.col("invoicedate")).alias("month")
     sold = clean_sales(df).select("invoiceno", "country", month).distinct()
     return (
         sold.join(numbers, "invoiceno")
-        .groupBy("country", "month", F.bitmap_bucket_number("number").alias("bucket"))
+        .select("country", "month", F.bitmap_bucket_number("number").alias("bucket"), "number")
+        .repartition("country", "month", "bucket")
+        .groupBy("country", "month", "bucket")
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("invoices"))
     )
 
