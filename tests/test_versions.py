@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from decimal import Decimal
 from importlib import import_module
 from pathlib import Path
 
@@ -11,7 +12,8 @@ from conftest import HEADER, MINI_ROWS, csv_bytes, rows
 from pyspark.sql import functions as F
 
 from tillroll.operators import monthly_revenue, with_invoice_timestamp
-from tillroll.schema import TYPED_SCHEMA
+from tillroll.plans.reports import _extract_with_faults
+from tillroll.schema import COLUMNS, TYPED_SCHEMA
 from tillroll.sources import (
     VersionConflict,
     current_version,
@@ -237,3 +239,32 @@ def test_quarantine_and_strict_load_agree(spark, mini_csv, tmp_path):
     assert rows(read_retail(spark, target)) == rows(strict)
     assert read_retail(spark, target).filter("invoiceno = '536366'").first().description == "CAFÉ TIN"
     assert read_retail(spark, target).agg(F.max("invoicedate")).first()[0] == datetime(2011, 3, 3, 9)
+
+
+def _numbered_lines(spark, n):
+    return spark.range(n).repartition(4).select(
+        F.col("id").cast("string").alias("invoiceno"), F.col("id").cast("string").alias("stockcode"),
+        F.lit('a "b", c').alias("description"), F.lit(2).cast("bigint").alias("quantity"),
+        F.lit(datetime(2011, 1, 1)).cast("timestamp_ntz").alias("invoicedate"),
+        F.lit(Decimal("1.0000")).cast("decimal(12,4)").alias("unitprice"),
+        F.lit(7).cast("bigint").alias("customerid"), F.lit("EIRE").alias("country"),
+    )
+
+
+@pytest.mark.parametrize("n", [0, 4, 4000])
+def test_lines_with_a_field_too_many_are_written_by_all_tasks(spark, tmp_path, n):
+    path = str(tmp_path / "extract")
+    _extract_with_faults(_numbered_lines(spark, n), path)
+    texts = [file.read_text("utf-8").splitlines() for file in Path(path).glob("part-*")]
+    texts = [lines for lines in texts if lines]
+    assert all(lines[0] == ",".join(COLUMNS) for lines in texts)
+    assert sum(len(lines) - 1 for lines in texts) == n
+    long = [lines for lines in texts if any(line.endswith(",x") for line in lines)]
+    assert sum(line.endswith(",x") for lines in long for line in lines) == n // 40
+    assert len(long) == (4 if n == 4000 else 0)
+    report = load_retail_csv(spark, path, str(tmp_path / "loaded"), empty_is_null=False)
+    # Of each 40 lines, one has each of the four faults; four lines have three of them.
+    faults = {kind: -(-n // 40) for kind in ("quantity", "invoicedate", "unitprice") if n}
+    if n >= 40:
+        faults["fields"] = n // 40
+    assert (report.good, report.quarantined) == (n - sum(faults.values()), faults)
