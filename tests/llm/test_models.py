@@ -268,6 +268,22 @@ def test_quality_of_edge_rows(spark):
     assert quality.select_quality(no_documents(spark), empty).collect() == []
 
 
+def test_features_of_the_sample_stay_off_the_driver(spark, monkeypatch):
+    docs = documents(spark)
+    ratings = spark.createDataFrame([(1, 2), (4, 0), (6, 1), (9, 2)], "doc_id bigint, grade int")
+    made = training_rows(docs, ratings, "grade", lambda: quality.FeatureEncoder().packed)
+    rows = [quality._unpacked(b) for b in made["features"]]
+    want = quality.fit_ordinal(rows, made["target"].to_numpy(int), 2)
+
+    def refused(*args, **kwargs):
+        raise AssertionError("the sample was collected")
+
+    monkeypatch.setattr(type(docs), "toPandas", refused)
+    model = quality.fit_quality(docs, ratings)
+    assert len(rows) > 2 and np.array_equal(model.weights, want.weights)
+    assert np.array_equal(model.thresholds, want.thresholds)
+
+
 def test_grades(spark):
     labels = spark.createDataFrame(
         [(1, 0, 1, ""), (2, 1, 1, ""), (3, 1, 0, ""), (3, 0, 0, ""), (4, 1, None, ""), (5, None, 0, "")],

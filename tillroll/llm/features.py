@@ -47,19 +47,19 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(
+def encoded_rows(
     docs: DataFrame,
     sample: DataFrame,
     target: str,
     start: Callable[[], Callable],
     id_col: str = "doc_id",
     text_col: str = "text",
-) -> pd.DataFrame:
-    """Encoded features of the sampled documents, on the driver.
+) -> DataFrame:
+    """Encoded features of the sampled documents: ``id``, ``target`` and ``features``.
 
     ``sample`` has at most as many rows as the documented bound and one for each id, so it
     may be broadcast. Of several documents with one id the one with the smallest features
-    counts, so no more than ``sample`` has are collected. ``start`` gives ``text -> bytes``.
+    counts, so there are no more rows than ``sample`` has. ``start`` gives ``text -> bytes``.
     """
     wanted = F.broadcast(sample.select(F.col(id_col).alias("_id"), F.col(target).alias("_target")))
     texts = docs.select(id_col, text_col)
@@ -73,7 +73,19 @@ def training_rows(
     made = map_rows(
         rows, ["_id", "_target", text_col], encoder, f"id {kind}, target double, features binary"
     )
-    made = made.groupBy("id", "target").agg(F.min("features").alias("features")).toPandas()
+    return made.groupBy("id", "target").agg(F.min("features").alias("features"))
+
+
+def training_rows(
+    docs: DataFrame,
+    sample: DataFrame,
+    target: str,
+    start: Callable[[], Callable],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> pd.DataFrame:
+    """The rows of ``encoded_rows`` in the order of their ids, on the driver."""
+    made = encoded_rows(docs, sample, target, start, id_col, text_col).toPandas()
     return made.sort_values("id", kind="stable", ignore_index=True)
 
 

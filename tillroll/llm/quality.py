@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tillroll.llm.common import bounded_sample, map_rows
-from tillroll.llm.features import MEMO_ENTRIES, BucketMemo, sigmoid, training_rows
+from tillroll.llm.features import MEMO_ENTRIES, BucketMemo, encoded_rows, sigmoid
 
 BUCKETS = 1 << 16
 #: The most rated rows the model is fitted on.
@@ -172,14 +174,30 @@ def graded(labels: DataFrame) -> DataFrame:
 def fit_quality(
     docs: DataFrame, ratings: DataFrame, top: int = 2, sample_rows: int = TRAINING_ROWS
 ) -> OrdinalModel:
-    """Learn ``ratings.grade`` (0 to ``top``) from at most ``sample_rows`` rated rows."""
+    """Learn ``ratings.grade`` (0 to ``top``) from at most ``sample_rows`` rated rows.
+
+    The model is fitted in a task, over the features of that many rows in the order of their
+    ids; only its weights and thresholds come to the driver.
+    """
 
     def start():
         return FeatureEncoder().packed
 
-    made = training_rows(docs, bounded_sample(ratings, "doc_id", sample_rows), "grade", start)
-    rows = [_unpacked(b) for b in made["features"]]
-    return fit_ordinal(rows, made["target"].to_numpy(int), top)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, grades = [], []
+        for batch in batches:
+            rows += [_unpacked(v.as_py()) for v in batch.column("features")]
+            grades += batch.column("target").to_pylist()
+        model = fit_ordinal(rows, np.array(grades, int), top)
+        made = {"weights": model.weights, "thresholds": model.thresholds}
+        yield pa.RecordBatch.from_pydict({k: [v.tobytes()] for k, v in made.items()})
+
+    made = encoded_rows(docs, bounded_sample(ratings, "doc_id", sample_rows), "grade", start)
+    ordered = made.repartition(1).sortWithinPartitions("id").select("target", "features")
+    found = ordered.mapInArrow(fitted, "weights binary, thresholds binary").first()
+    if found is None:
+        return fit_ordinal([], np.array([], int), top)
+    return OrdinalModel(np.frombuffer(found.weights), np.frombuffer(found.thresholds))
 
 
 def score_quality(
